@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_DELIMS, words_of
+from .common import words_of
 
 #: Common function words of four languages.
 STOP_WORDS = [
@@ -38,20 +38,24 @@ WINDOW = 8
 def _measured(df: DataFrame, text: str) -> DataFrame:
     own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules"]
     t = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(t, "\n"), lambda line: F.length(F.translate(line, WORD_DELIMS, "")) > 0)
+    # A line has a word if it has any character that is no delimiter.
+    lines = F.filter(F.split(t, "\n"), lambda line: line.rlike("[^ \\t-\\r]"))
     out = df.drop(*own).withColumns({"__words": words_of(F.col(text)), "__lines": lines})
     out = out.withColumns({
         "n_words": F.size("__words").cast("long"),
-        "word_chars": F.length(F.translate(t, WORD_DELIMS, "")).cast("long"),
-        "n_symbols": (F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))).cast("long"),
+        "word_chars": F.length(F.array_join("__words", "")).cast("long"),
+        "n_symbols": (F.size(F.split(t, "[#*$%&|<>]")) - 1).cast("long"),
         "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
         "__n_lines": F.size("__lines"),
-        "__stops": F.size(F.array_intersect("__words", F.array(*map(F.lit, STOP_WORDS)))),
-        "__windows": F.expr(
-            f"CASE WHEN size(__words) >= {WINDOW} THEN transform(sequence(1, size(__words) - {WINDOW - 1}), "
-            f"i -> xxhash64(slice(__words, i, {WINDOW}))) END"
-        ),
+        "__stops": F.arrays_overlap("__words", F.array(*map(F.lit, STOP_WORDS))),
+        "__h1": F.when(F.size("__words") >= WINDOW, F.transform("__words", lambda w: F.xxhash64(w))),
     }).drop("__words", "__lines")
+    # Hashes of windows by doubling: of 2 words from two of 1, of 4 from two of 2, of 8 from two of 4.
+    for k in (1, 2, 4):
+        out = out.withColumn(f"__h{2 * k}", F.expr(
+            f"slice(zip_with(__h{k}, slice(__h{k}, {k + 1}, size(__h{k})), (x, y) -> xxhash64(x, y)), 1, size(__h{k}) - {k})"
+        )).drop(f"__h{k}")
+    out = out.withColumnRenamed("__h8", "__windows")
     # Windows in hash order; equal neighbours are repeats. Most rows have none and skip the sort.
     out = out.withColumn(
         "__order",
@@ -80,7 +84,7 @@ def measures() -> dict[str, Column]:
         "dup_line_share": _share("n_dup_lines", "__n_lines"),
         "repeat_share": _share("n_repeat_words", "n_words"),
         # Texts of 100 words and more need one stop word; cleaner short texts may have none.
-        "stop_word_shortage": F.when((F.col("n_words") >= 100) & (F.col("__stops") < 1), 1.0).otherwise(0.0),
+        "stop_word_shortage": F.when((F.col("n_words") >= 100) & ~F.col("__stops"), 1.0).otherwise(0.0),
     }
 
 
