@@ -5,6 +5,16 @@ from .quality import STOP_WORDS
 STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
 
 ORACLES = {
+    "op1_warc": r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes, sha1(b) AS h FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS keep FROM d),
+x AS (SELECT *, list_transform(range(0, 32), lambda k: ((('0x' || substr(h || '0', CAST(k * 5 // 4 + 1 AS INT), 3))::BIGINT >> (7 - (k * 5) % 4)) & 31)) AS v FROM m)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(v, lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(i + 1 AS INT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> keep THEN keep END AS refers_to, true AS verified
+FROM x""",
     "op2_url_filter": r"""
 WITH parsed AS (
   SELECT page_id,
