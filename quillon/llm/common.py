@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import table
 
-__all__ = ["drop_table", "table", "work_dir", "written", "WORD_DELIMS", "words_of", "lower_az"]
+__all__ = ["drop_table", "release", "table", "work_dir", "written", "WORD_DELIMS", "words_of", "lower_az"]
 
 #: Characters that separate words in every contract of this subpackage: the blank and U+0009 to U+000D.
 WORD_DELIMS = " \t\n\x0b\x0c\r"
@@ -50,6 +51,12 @@ def drop_table(df: DataFrame) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nobody holds any more, instead of at some later collection."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def lower_az(col):
     """Lower-case A to Z only, whatever the locale and other letters."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
