@@ -1 +1,3 @@
 """Query modules; importing them registers their queries."""
+
+from . import sources  # noqa: F401
