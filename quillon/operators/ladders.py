@@ -56,7 +56,7 @@ def first_starved(df: DataFrame, by: list[str], order: str, a: str, b: str, ceil
 def sweep(df: DataFrame, by: list[str], bits: str, digits: str, wanted: float) -> DataFrame:
     """Per series: least and greatest gain in digits a bit, and whether the last value has the wanted digits."""
     w = W.partitionBy(*by).orderBy(bits)
-    slope = (F.col(digits) - F.lag(digits).over(w)) / (F.col(bits) - F.lag(bits).over(w))
+    slope = F.try_divide(F.col(digits) - F.lag(digits).over(w), F.col(bits) - F.lag(bits).over(w))
     return df.withColumn("slope", slope).groupBy(*by).agg(
         F.min("slope").alias("least_slope"), F.max("slope").alias("most_slope"), (F.max_by(digits, bits) >= wanted).alias("confirmed")
     )
