@@ -3,8 +3,8 @@
 1. Every text becomes a set of 64-bit shingle hashes. Equal sets are one node, named by their digest.
 2. Shingle frequencies are counted over all texts. The order of shingles, rarest first, puts shared passages
    last; frequencies below ``FREQUENT`` count as equal and are ordered by hash.
-3. Answers of similar sets come first: nodes that share a pair of least hashes are compared with the
-   least node among them, exactly. Links found make first components.
+3. Answers of similar sets come first: nodes that share a pair of least hashes are compared with a
+   leader among them (several in large groups), exactly. Links found make first components.
 4. The index: each node enters the lists of its prefix, long enough that two sets which link share a prefix
    shingle. Lists are sorted by set size; blocks that are too short or whose positions leave too few
    shingles are skipped by position. Pairs whose answer follows from step 3, as
@@ -47,6 +47,9 @@ FREQUENT_MOST = 1_000_000
 LONG_LIST = 24
 #: Pairs of least hashes for each set.
 BANDS = 6
+#: Sets of a band that lead it: one, or so many if it has more than MANY. With several leaders next to no set of a
+#: large group of near copies is left alone, as each pair of a lone set and the group must be compared later.
+LEADERS, MANY = 4, 16
 #: Shingles that a task gathers before it writes them out.
 FLUSH = 2_000_000
 #: Nodes whose sets are asked for by broadcast, 8 bytes each; more are joined by shuffle.
@@ -334,7 +337,9 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     """(key, n_shingles, component_id) for each row; component_id is the least key reachable by links."""
     nodes = written(nodes_of(docs, key, text), "jaccard-nodes")
     banded = nodes.filter("node IS NOT NULL").select("node", F.explode("bands").alias("band")).distinct()
-    leaders = banded.groupBy("band").agg(F.min("node").alias("a"), F.count("*").alias("m")).filter("m > 1").drop("m")
+    drawn = [F.min_by("node", F.xxhash64(F.col("node"), F.lit(k))) for k in range(LEADERS)]
+    leaders = banded.groupBy("band").agg(F.array(*drawn).alias("leaders"), F.count("*").alias("m")).filter("m > 1")
+    leaders = leaders.select("band", F.explode(F.array_distinct(F.when(F.col("m") > MANY, F.col("leaders")).otherwise(F.slice("leaders", 1, 1)))).alias("a"))
     stars = written(banded.join(leaders, "band").filter("node <> a").select("a", F.col("node").alias("b")).distinct(), "jaccard-stars")
     first = verified(docs, text, stars)
     parts = written(components(first), "jaccard-parts")
