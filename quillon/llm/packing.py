@@ -40,7 +40,7 @@ GROUPS = 64
 #: Columns that the program may generate; more would only shave off parts of a sequence.
 COLUMNS = 600
 #: Runs of text that a tokenizer's memo holds before it starts anew.
-MEMO = 400_000
+MEMO = 800_000
 
 # --- Tokens ---------------------------------------------------------------------------------------
 
@@ -157,14 +157,21 @@ def configurations(sizes: list[int], counts: list[int], capacity: int) -> list[t
     m = len(sizes)
     need = np.array(counts, float)
     basis = np.diag([float(capacity // s) for s in sizes])
-    for _ in range(COLUMNS):
-        worth = np.linalg.solve(basis.T, np.ones(m))
+    inverse = np.diag(1 / np.diag(basis))
+    for step in range(COLUMNS):
+        if step % 100 == 99:
+            inverse = np.linalg.inv(basis)  # against rounding
+        worth = inverse.sum(0)
         column = _best_column(sizes, worth, capacity)
         if column @ worth <= 1 + 1e-9:
             break
-        x, step = np.linalg.solve(basis, need), np.linalg.solve(basis, column.astype(float))
-        ratio = np.where(step > 1e-9, np.maximum(x, 0) / np.where(step > 1e-9, step, 1), np.inf)
-        basis[:, int(ratio.argmin())] = column
+        x, move = inverse @ need, inverse @ column
+        ratio = np.where(move > 1e-9, np.maximum(x, 0) / np.where(move > 1e-9, move, 1), np.inf)
+        out = int(ratio.argmin())
+        basis[:, out] = column
+        pivot = inverse[out] / move[out]
+        inverse = inverse - np.outer(move, pivot)
+        inverse[out] = pivot
     x = np.linalg.solve(basis, need)
     return [([int(a) for a in basis[:, k]], int(v + 1e-6)) for k, v in enumerate(x) if v >= 1 - 1e-6]
 
