@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Entries a memo holds before it starts anew.
-MEMO = 300_000
+MEMO = 700_000
 
 _CODECS: dict[tuple[str, str], Codec] = {}
 
