@@ -1,3 +1,3 @@
 """Query modules; importing them registers their queries."""
 
-from . import lookups, ordered, sources  # noqa: F401
+from . import lookups, numeric, ordered, sources  # noqa: F401
