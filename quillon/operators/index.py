@@ -50,7 +50,7 @@ def scan_packets(spark: SparkSession, path: str, rules: list[str] = (), most_byt
     files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path)
     files = files.select(F.col("_metadata.file_path").alias("path"), "value", F.sha2(F.col("value").cast("binary"), 256).alias("sha256"))
     parsed = files.withColumns({"p": F.from_json("value", PACKET), "big": F.octet_length("value") > most_bytes})
-    rows = parsed.filter("p IS NOT NULL AND NOT big").select(
+    rows = parsed.filter("p.kind IS NOT NULL AND NOT big").select(
         "path", F.col("p.kind").alias("kind"), F.col("p.lambda_squared").alias("C"), F.col("p.n_modes").alias("N"), F.col("p.precision_bits").alias("P"),
         F.explode_outer(F.concat(
             F.array(F.struct(F.lit("0").alias("ordinal"), F.lit(None).cast("string").alias("outcome"), F.coalesce("p.values", F.create_map().cast("map<string,string>")).alias("values"))),
@@ -63,7 +63,7 @@ def scan_packets(spark: SparkSession, path: str, rules: list[str] = (), most_byt
     rows = rows.withColumn("good", F.bool_and("ok").over(W.partitionBy("path")))
     measured = rows.filter("good").filter(allowed(F.col("observable"), list(rules)) & F.regexp_like("value", F.lit(DECIMAL)))
     bad = rows.filter("NOT good").select("path").distinct().withColumn("bad", F.lit(True))
-    reason = F.when(F.col("big"), "too large").when(F.col("p").isNull(), "not a packet").when(F.col("bad"), "a row is not valid")
+    reason = F.when(F.col("big"), "too large").when(F.col("p.kind").isNull(), "not a packet").when(F.col("bad"), "a row is not valid")
     inventory = parsed.join(bad, "path", "left").select("path", "sha256", F.when(reason.isNull(), "indexed").otherwise("failed").alias("status"), reason.alias("reason"))
     return measured.drop("ok", "good"), inventory
 
