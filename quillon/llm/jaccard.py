@@ -9,7 +9,8 @@
    shingle. Lists are sorted by set size; blocks that are too short or whose positions leave too few
    shingles are skipped by position. Pairs whose answer follows from step 3, as
    both lie in one component, are skipped too. Long lists first learn their nodes'
-   components and then give only pairs across them.
+   components and then give only pairs across them: first a few for each set, and, once these have been
+   compared and components joined, all that are left.
 5. What is left is compared exactly, and the links of 3 and 5 give the components.
 
 So every link between different texts is either found or lies inside a component that is already
@@ -52,6 +53,8 @@ BANDS = 6
 LEADERS, MANY = 4, 16
 #: Shingles that a task gathers before it writes them out.
 FLUSH = 2_000_000
+#: Rounds in which each set outside a long list's largest component meets so many others first.
+ROUNDS, TRIES = 2, 24
 #: Nodes whose sets are asked for by broadcast, 8 bytes each; more are joined by shuffle.
 ASKED_MOST = 2_000_000
 #: Members that one task compares with their hub at a time.
@@ -88,7 +91,7 @@ def nodes_of(docs: DataFrame, key: str, text: str) -> DataFrame:
                     node.append(None), bands.append(None)
                     continue
                 node.append(_digest(s))
-                least = np.array([(s * seed ^ (s * seed) >> np.uint64(32)).min() for seed in _SEEDS])
+                least = np.array([(s * seed).min() for seed in _SEEDS])  # hashes are mixed already
                 bands.append(mix(least[::2] * np.uint64(31) + least[1::2] + np.arange(BANDS, dtype=np.uint64)).view(np.int64).tolist())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=[key, "node", "n", "bands"]
@@ -213,6 +216,12 @@ def prefix_lists(docs: DataFrame, text: str, frequent: tuple[np.ndarray, np.ndar
     return docs.select(text).mapInArrow(gather, BLOBS)
 
 
+def _may_link(n, place, i, j) -> np.ndarray:
+    """Whether the positions of a common shingle leave enough shingles for two sets to link."""
+    least = (NUM * (n[i].astype(np.int64) + n[j]) + DEN + NUM - 1) // (DEN + NUM)
+    return np.minimum(n[i].astype(np.int64) - place[i], n[j].astype(np.int64) - place[j]) >= least
+
+
 def _list_pairs(list_of, node, n, place, apart=None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (i, j) of entries of one list that may link, from entries sorted by (list, n).
 
@@ -233,10 +242,7 @@ def _list_pairs(list_of, node, n, place, apart=None) -> tuple[np.ndarray, np.nda
         c = count[x:y]
         j = np.repeat(np.arange(x, y), c)
         i = np.arange(len(j)) - np.repeat(np.cumsum(c) - c, c) + np.repeat(low[x:y], c)
-        total = n[i].astype(np.int64) + n[j]
-        least = (NUM * total + DEN + NUM - 1) // (DEN + NUM)  # of common shingles
-        room = 1 + np.minimum(n[i].astype(np.int64) - place[i], n[j].astype(np.int64) - place[j]) - 1
-        ok = (room >= least) & (node[i] != node[j])
+        ok = _may_link(n, place, i, j) & (node[i] != node[j])
         if apart is not None:
             ok &= apart[i] != apart[j]
         out_a.append(i[ok]), out_b.append(j[ok])
@@ -270,15 +276,31 @@ def _index(key, pdf: pd.DataFrame) -> pd.DataFrame:
     })
 
 
-def _across(key, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a long list's entries that lie in different components."""
-    pdf = pdf.sort_values(["n", "a"])
-    node, n, place, comp = (pdf[c].to_numpy() for c in ("a", "n", "place", "component"))
-    if (comp == comp[0]).all():
-        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-    i, j = _list_pairs(np.zeros(len(node), np.int64), node, n, place, comp)
-    pairs = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])]), axis=1)
-    return pd.DataFrame({"a": pairs[0], "b": pairs[1]})
+def _across(tries: int | None, seed: int):
+    """Pairs of a long list's entries that lie in different components: all, or so many for each entry outside the
+    list's largest component, drawn by hash among the sets of fitting size.
+    """
+
+    def pairs_of(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["n", "a"])
+        node, n, place, comp = (pdf[c].to_numpy() for c in ("a", "n", "place", "component"))
+        if tries is None:
+            i, j = _list_pairs(np.zeros(len(node), np.int64), node, n, place, comp)
+        else:
+            names, size = np.unique(comp, return_counts=True)
+            alone = np.flatnonzero(comp != names[size.argmax()])
+            lo = np.searchsorted(n, (NUM * n[alone] + DEN - 1) // DEN)
+            hi = np.searchsorted(n, DEN * n[alone] // NUM, "right")
+            draw = mix(node[alone].view(np.uint64)[:, None] + np.arange(1, tries + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15 * (2 * seed + 1) % (1 << 64)))
+            other = lo[:, None] + (draw % (hi - lo).astype(np.uint64)[:, None]).astype(np.int64)
+            i, j = np.repeat(alone, tries), other.reshape(-1)
+            i, j = np.minimum(i, j), np.maximum(i, j)
+            ok = (comp[i] != comp[j]) & _may_link(n, place, i, j)
+            i, j = i[ok], j[ok]
+        pairs = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])]), axis=1)
+        return pd.DataFrame({"a": pairs[0], "b": pairs[1]})
+
+    return pairs_of
 
 
 def _compare(key, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -295,8 +317,8 @@ def _compare(key, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": np.full(len(found), key[0], np.int64), "b": np.array(found, np.int64)})
 
 
-def verified(docs: DataFrame, text: str, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes that link, by their whole sets. Large hubs are split into blocks."""
+def sets_of(docs: DataFrame, text: str, pairs: DataFrame) -> DataFrame:
+    """(node, shingles) of the nodes in pairs (a, b), written."""
     spark = docs.sparkSession
     asked = written(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "jaccard-asked")
     few = asked.count() <= ASKED_MOST
@@ -323,13 +345,19 @@ def verified(docs: DataFrame, text: str, pairs: DataFrame) -> DataFrame:
     if not few:
         sets = sets.join(asked, "node", "left_semi")
     sets = written(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "jaccard-sets")
+    drop_table(asked)
+    release(spark)
+    return sets
+
+
+def linked(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link, by their whole sets. Large hubs are split into blocks."""
     hubs = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     members = pairs.join(hubs, "a").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), F.col("b").alias("node"))
     selves = hubs.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("a").alias("node"))
     links = members.unionByName(selves).join(sets, "node").groupBy("a", "block").applyInPandas(_compare, "a long, b long")
     links = written(links, "jaccard-links")
-    drop_table(sets), drop_table(asked)
-    release(spark)
+    release(sets.sparkSession)
     return links
 
 
@@ -341,23 +369,35 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     leaders = banded.groupBy("band").agg(F.array(*drawn).alias("leaders"), F.count("*").alias("m")).filter("m > 1")
     leaders = leaders.select("band", F.explode(F.array_distinct(F.when(F.col("m") > MANY, F.col("leaders")).otherwise(F.slice("leaders", 1, 1)))).alias("a"))
     stars = written(banded.join(leaders, "band").filter("node <> a").select("a", F.col("node").alias("b")).distinct(), "jaccard-stars")
-    first = verified(docs, text, stars)
-    parts = written(components(first), "jaccard-parts")
+    sets = sets_of(docs, text, stars)
+    found = linked(sets, stars)
+    drop_table(sets)
 
     frequent = frequent_shingles(docs, text)
     lists = prefix_lists(docs, text, frequent).groupBy("bucket").applyInPandas(_index, INDEXED)
     lists = written(lists, "jaccard-lists")
     release(docs.sparkSession)
-    part = parts.select(F.col("id").alias("a"), "component")
-    long = lists.filter("list IS NOT NULL").join(part, "a", "left").withColumn("component", F.coalesce("component", "a"))
-    mixed = long.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("list")
-    across = long.join(mixed, "list", "left_semi").groupBy("list").applyInPandas(_across, "a long, b long")
-    short = lists.filter("list IS NULL").select("a", "b").distinct()
-    other = part.select(F.col("a").alias("b"), F.col("component").alias("other"))
-    short = short.join(part, "a", "left").join(other, "b", "left").filter(F.coalesce("component", "a") != F.coalesce("other", "b")).select("a", "b")
-    pairs = written(across.unionByName(short).distinct(), "jaccard-pairs")
-    second = verified(docs, text, pairs)
-    whole = components(first.unionByName(second))
+    sets = None
+    for seed in range(ROUNDS + 1):
+        # Components grow, so lists of one component give nothing any more; the last round leaves no pair out.
+        parts = components(found)
+        part = parts.select(F.col("id").alias("a"), "component")
+        long = lists.filter("list IS NOT NULL").join(part, "a", "left").withColumn("component", F.coalesce("component", "a"))
+        mixed = long.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("list")
+        pairs = long.join(mixed, "list", "left_semi").groupBy("list").applyInPandas(_across(TRIES if seed < ROUNDS else None, seed), "a long, b long")
+        if seed == 0:
+            other = part.select(F.col("a").alias("b"), F.col("component").alias("other"))
+            short = lists.filter("list IS NULL").select("a", "b").distinct().join(part, "a", "left").join(other, "b", "left")
+            pairs = pairs.unionByName(short.filter(F.coalesce("component", "a") != F.coalesce("other", "b")).select("a", "b"))
+            # Whatever long lists may ask for later, too: each entry of a mixed list.
+            more = long.join(mixed, "list", "left_semi").select("a", F.col("a").alias("b"))
+        pairs = written(pairs.distinct(), "jaccard-pairs")
+        if sets is None:
+            sets = sets_of(docs, text, pairs.unionByName(more))
+        if not pairs.isEmpty():
+            found = written(found.unionByName(linked(sets, pairs)), "jaccard-found")
+    drop_table(sets)
+    whole = components(found)
 
     named = nodes.join(whole.withColumnRenamed("id", "node"), "node", "left").withColumn("class", F.coalesce("component", "node")).select(key, "n", "class")
     named = written(named, "jaccard-named")
