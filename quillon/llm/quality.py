@@ -107,3 +107,13 @@ def quality(df: DataFrame, text: str = "text", thresholds=THRESHOLDS) -> DataFra
         .withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
         .drop("__n_lines", "__stops")
     )
+
+
+def keep_good(df: DataFrame, text: str = "text") -> DataFrame:
+    """The kept rows of ``df`` with all their columns.
+
+    The filter also names a column that is not deterministic, so it stays above the projections: pushed below, it would
+    hold their expressions many times over.
+    """
+    out = quality(df, text).withColumn("__row", F.monotonically_increasing_id())
+    return out.filter(F.col("kept") & (F.col("__row") >= 0)).select(*df.columns)
