@@ -1,3 +1,3 @@
 """Query modules; importing them registers their queries."""
 
-from . import analysis, lookups, numeric, ordered, sources  # noqa: F401
+from . import analysis, lookups, numeric, ordered, sources, spectra  # noqa: F401
