@@ -9,10 +9,27 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import table
+from ..sources import tables
 
 __all__ = ["drop_table", "release", "table", "work_dir", "written", "WORD_DELIMS", "words_of", "lower_az"]
 
+#: Rows of whole texts that a Python worker gets at a time; the default of 10,000 would hold very long texts many times over.
+BATCH_ROWS = 1_000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's rows a batch, unless it asks for fewer already."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def table(spark: SparkSession, base: str, name: str) -> DataFrame:
+    """A table of the input, with batches bounded."""
+    bounded_batches(spark)
+    return tables.table(spark, base, name)
+
+
 #: Characters that separate words in every contract of this subpackage: the blank and U+0009 to U+000D.
 WORD_DELIMS = " \t\n\x0b\x0c\r"
 
@@ -32,6 +49,7 @@ def written(df: DataFrame, label: str, partition_by: list[str] | None = None) ->
     The folder's name ends in a fresh id, so that tables of two runs never meet.
     """
     spark = df.sparkSession
+    bounded_batches(spark)
     path = f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     if partition_by:

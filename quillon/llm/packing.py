@@ -40,7 +40,7 @@ GROUPS = 64
 #: Columns that the program may generate; more would only shave off parts of a sequence.
 COLUMNS = 600
 #: Runs of text that a tokenizer's memo holds before it starts anew.
-MEMO = 800_000
+MEMO = 400_000
 
 # --- Tokens ---------------------------------------------------------------------------------------
 

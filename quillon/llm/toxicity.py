@@ -39,7 +39,7 @@ STEMS = range(4, 9)
 #: Words on each side of a hit that its context window holds.
 CONTEXT = 6
 QUOTED_WEIGHT = 0.25
-MEMO = 500_000
+MEMO = 200_000
 
 #: Marks that open or close a quotation, and verbs of reporting.
 QUOTES = "\"“”„«»‹›"
