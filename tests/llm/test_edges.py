@@ -103,6 +103,13 @@ def test_substrings_equal_brute_force(docs, none):
     assert cut.columns == docs.columns and cut.count() == len(data)
 
 
+def test_substrings_beyond_the_broadcast(docs, monkeypatch):
+    near = sorted(str(tuple(r)) for r in substrings.digests(docs).collect())
+    monkeypatch.setattr(substrings, "SENT_MOST", 0)
+    test_substrings_equal_brute_force(docs, docs.limit(0))
+    assert sorted(str(tuple(r)) for r in substrings.digests(docs).collect()) == near
+
+
 def test_deep_shallow_sorts_rows():
     import numpy as np
 
