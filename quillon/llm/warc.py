@@ -98,8 +98,11 @@ def _number(text: bytes | None) -> int | None:
 
 
 def parse_head(value: bytes) -> tuple[int, dict[bytes, bytes]] | None:
-    """(length of the header block with its blank line, fields), or None if this is no record."""
-    end = value.find(b"\r\n\r\n", 0, 1 << 16)
+    """(length of the header block with its blank line, fields), or None if this is no record.
+
+    URLs have no bound, so neither has the header.
+    """
+    end = value.find(b"\r\n\r\n")
     if end < 0:
         return None
     fields = {}

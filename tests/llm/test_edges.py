@@ -243,6 +243,13 @@ def test_warc_rejects_forged_records(spark):
     assert warc.read_archive(spark, warc.write_archive(df.limit(0))).collect() == []
 
 
+def test_warc_keeps_records_around_a_long_url(spark):
+    urls = ["u", "http://a/" + "b" * 200_000, None, "http://c: d/" + "é" * 70_000, "v"]
+    df = spark.createDataFrame([(k, u, f"page {k}") for k, u in enumerate(urls)], "page_id long, url string, html string").coalesce(1)
+    got = warc.read_archive(spark, warc.write_archive(df)).collect()
+    assert sorted((r.page_id, r.payload_bytes, r.verified) for r in got) == [(k, 6, True) for k in range(5)]
+
+
 def test_chat_round_trip(spark):
     r = random.Random(2)
     bits = ["\\", "<", "#", "### ", "</turn>", "\n", "User: ", "### User: ", "a", " ", "\\<", "\\\\", ": "]
