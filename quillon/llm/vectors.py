@@ -201,7 +201,7 @@ def range_search(x: np.ndarray, first: np.ndarray, to: np.ndarray, medoids: np.n
 
 def _searcher(beam: int):
     def search(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        """Of a piece: (a, b, n, kind); kind 0: n linked weight at home, 1: edge of a component, 2: link across homes, n the weight of b."""
+        """Of a piece: (a, b, n, kind); kind 0: n linked weight at home, 1: edge of a component, 2: link across homes or pieces, n the weight of b."""
         pdf = pdf.sort_values(["asks", "node"])
         members, asking = pdf[~pdf["asks"]], pdf[pdf["asks"]]
         rows: list[tuple[int, int, int, int]] = []
@@ -224,8 +224,8 @@ def _searcher(beam: int):
                 for j in hit.tolist():
                     if home[j] != key[0]:
                         rows += [(a, int(node[j]), int(weight[j]), 2), (int(node[j]), a, w, 2)]
-                    elif i is None:
-                        rows.append((a, int(node[j]), int(weight[j]), 2))
+                    elif i is None:  # its own piece is another
+                        rows += [(a, int(node[j]), int(weight[j]), 2), (int(node[j]), a, w, 2)]
                     else:
                         pairs.add((i, j) if i < j else (j, i))
                     if i is None:

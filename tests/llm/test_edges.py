@@ -298,6 +298,18 @@ def test_vectors_equal_brute_force(spark):
     assert vectors.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_a_find_in_another_piece_counts_for_both():
+    import numpy as np
+    import pandas as pd
+
+    unit = np.eye(4)[0].tobytes()
+    rows = [(7, 3, 2, 7, False), (7, 3, 5, 7, True)]
+    piece = pd.DataFrame([(s, n, w, h, unit, [], a) for (s, n, w, h, a) in rows], columns=["shard", "node", "weight", "home", "unit", "near", "asks"])
+    piece.loc[1, "node"] = 4  # asks from the other piece of its home shard
+    got = vectors._searcher(24)((7, 0), piece)
+    assert {tuple(r) for r in got.itertuples(index=False) if r.kind == 2} == {(4, 3, 2, 2), (3, 4, 5, 2)}
+
+
 def test_toxicity_finds_misspelt_and_spares_quoted(spark, none):
     r = random.Random(9)
     plain = ["tree", "house", "water", "stone", "river", "cloud", "paper", "light", "north", "green"]
