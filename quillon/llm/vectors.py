@@ -8,8 +8,9 @@
 3. Adjacency lists are united over the shards. Each node is searched for in its nearest pivot's
    shard: a greedy beam from the shard's medoids, then expansion of the range around what it found.
    Every pair kept has its cosine computed in double precision.
-4. Recall is audited against brute force for a bounded set of nodes over all rows, in blocks. Under ``RECALL`` the
-   index is built again with more overlap and a wider beam.
+4. Recall of every index is audited against brute force over all rows, in blocks: nodes are drawn until ``ENOUGH``
+   of them have true links, ``AUDITED_MOST`` are drawn, or none is left. Under ``RECALL`` the index is built again
+   with more overlap and a wider beam; if the last one is under ``REQUIRED``, all pairs are compared in blocks.
 
 Links and components then cover what was found; of a pair either side's find counts.
 
@@ -43,7 +44,12 @@ CANDIDATES, DEGREE, LONG_EDGES, ALPHA = 40, 24, 4, 1.2
 MEDOIDS, BEAM = 16, 24
 #: The range that is expanded around finds reaches so far below the threshold.
 SLACK = 0.08
-AUDITED, RECALL = 256, 0.97
+RECALL, REQUIRED = 0.97, 0.9
+#: Nodes that an audit draws at first, at a time and at most, and how many with true links it wants.
+AUDITED, AUDITED_AT_ONCE, AUDITED_MOST, ENOUGH = 256, 4_096, 16_384, 256
+#: Nodes that are compared with all others at a time where no index will do.
+BLOCK = 4_096
+LINKS = "a long, b long, n long, kind long"
 
 
 def nodes_of(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -281,25 +287,77 @@ def counted(nodes: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def audit(nodes: DataFrame, linked: DataFrame) -> float:
-    """Share of the true linked weight that the index has found, for the AUDITED nodes of smallest hash, against all nodes in blocks."""
-    rows = nodes.orderBy(F.xxhash64("node"), "node").limit(AUDITED).select("node", "unit").toArrow()
-    if not rows.num_rows:
-        return 1.0
-    ids, q = rows.column(0).to_numpy(), _matrix(rows.column(1).to_pylist())
-    sent = nodes.sparkSession.sparkContext.broadcast((ids, q))
+    """Share of the true links that the index has found, for nodes of smallest hash, against all nodes in blocks.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = sent.value
-        total = np.zeros(len(ids), np.int64)
-        for b in batches:
-            if b.num_rows:
-                near = (_matrix(b.column(2).to_pylist()) @ q.T >= THRESHOLD) & (b.column(0).to_numpy()[:, None] != ids)
+    The lesser of the share of the linked weight and the mean share of a node, so that one group of many copies does
+    not speak for all others.
+    """
+
+    def against(ids: np.ndarray, q: np.ndarray) -> list:
+        sent = nodes.sparkSession.sparkContext.broadcast((ids, q))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, q = sent.value
+            total = np.zeros(len(ids), np.int64)
+            for b in batches:
+                if b.num_rows:
+                    near = (_matrix(b.column(2).to_pylist()) @ q.T >= THRESHOLD) & (b.column(0).to_numpy()[:, None] != ids)
+                    total += b.column(1).to_numpy() @ near
+            some = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(total[some])], names=["node", "true"])
+
+        true = nodes.select("node", "weight", "unit").mapInArrow(run, "node long, true long").groupBy("node").agg(F.sum("true").alias("true"))
+        return true.join(linked, "node", "left").select("true", F.least("true", F.coalesce("linked", F.lit(0)))).collect()  # one row a drawn node at most
+
+    order, drawn, size, seen = nodes.orderBy(F.xxhash64("node"), "node").select("node", "unit"), 0, AUDITED, []
+    while drawn < AUDITED_MOST and len(seen) < ENOUGH:
+        size = min(size, AUDITED_MOST - drawn)
+        rows = order.offset(drawn).limit(size).toArrow()
+        if not rows.num_rows:
+            break
+        seen += against(rows.column(0).to_numpy(), _matrix(rows.column(1).to_pylist()))
+        drawn, size = drawn + rows.num_rows, min(4 * size, AUDITED_AT_ONCE)
+    if not seen:
+        return 1.0
+    true, found = np.array(seen, np.float64).T
+    return float(min(found.sum() / true.sum(), (found / true).mean()))
+
+
+def exact_links(nodes: DataFrame, n: int) -> DataFrame:
+    """(a, b, n, kind), as _searcher says but without kind 2, of all pairs: blocks of nodes against all nodes."""
+    spark, blocks, paths = nodes.sparkSession, -(-n // BLOCK), []
+    for k in range(blocks):
+        block = nodes.filter(F.pmod(F.xxhash64("node"), F.lit(blocks)) == k).select("node", "unit").toArrow()  # about BLOCK rows
+        if not block.num_rows:
+            continue
+        sent = spark.sparkContext.broadcast((block.column(0).to_numpy(), _matrix(block.column(1).to_pylist())))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            ids, q = sent.value
+            total = np.zeros(len(ids), np.int64)
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                own = b.column(0).to_numpy()
+                near = (_matrix(b.column(2).to_pylist()) @ q.T >= THRESHOLD) & (own[:, None] != ids)
                 total += b.column(1).to_numpy() @ near
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], names=["node", "true"])
+                # A forest of what links here: rows of the batch, then those of the block.
+                name, root = np.concatenate([own, ids]), np.arange(len(own) + len(ids))
+                for j in np.flatnonzero(near.any(0)):
+                    roots = np.unique(_roots(root, np.append(np.flatnonzero(near[:, j]), len(own) + j)))
+                    root[roots] = roots[0]
+                top = _roots(root, np.arange(len(root)))
+                moved = np.flatnonzero(top != np.arange(len(root)))
+                yield _link_rows(name[moved], name[top[moved]], np.zeros(len(moved), np.int64), 1)
+            some = np.flatnonzero(total)
+            yield _link_rows(ids[some], np.zeros(len(some), np.int64), total[some], 0)
 
-    true = nodes.select("node", "weight", "unit").mapInArrow(run, "node long, true long").groupBy("node").agg(F.sum("true").alias("true"))
-    both = true.join(linked, "node", "left").agg(F.sum("true"), F.sum(F.least("true", F.coalesce("linked", F.lit(0))))).first()
-    return both[1] / both[0] if both[0] else 1.0
+        paths.append(written(nodes.select("node", "weight", "unit").mapInArrow(run, LINKS), "vector-exact").quillon_path)
+    return spark.read.schema(LINKS).parquet(*paths)
+
+
+def _link_rows(a: np.ndarray, b: np.ndarray, n: np.ndarray, kind: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n), pa.array(np.full(len(a), kind, np.int64))], names=["a", "b", "n", "kind"])
 
 
 def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -312,9 +370,13 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
         pivots = pivots_of(nodes, n, overlap)
         found = written(links(nodes, pivots, overlap, beam) if n else df.sparkSession.createDataFrame([], "a long, b long, n long, kind long"), "vector-links")
         linked = written(counted(nodes, found), "vector-linked")
-        if attempt == 2 or audit(nodes, linked) >= RECALL:
+        recall = audit(nodes, linked)
+        if recall >= RECALL:
             break
         overlap, beam = 2 * overlap, 2 * beam
+    if recall < REQUIRED:
+        found = written(exact_links(nodes, n), "vector-links")
+        linked = written(counted(nodes, found), "vector-linked")
     parts = components(found.filter("kind > 0").select("a", "b")).withColumnRenamed("id", "node")
     named = (
         rows.select(key, "node").join(parts, "node", "left").join(linked, "node", "left").join(nodes.select("node", "weight"), "node", "left")

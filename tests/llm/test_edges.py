@@ -298,6 +298,25 @@ def test_vectors_equal_brute_force(spark):
     assert vectors.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_vectors_without_a_working_index(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "links", lambda nodes, *_: nodes.sparkSession.createDataFrame([], "a long, b long, n long, kind long"))
+    if hasattr(vectors, "BLOCK"):
+        monkeypatch.setattr(vectors, "BLOCK", 70)  # groups cross blocks
+    test_vectors_equal_brute_force(spark)
+
+
+def test_an_audit_draws_until_nodes_have_links(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(600, 16))
+    x[1] = x[0] + rng.normal(size=16) * 0.01
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    nodes = vectors.nodes_of(df, "vec_id", "embedding").select("node", F.lit(1).cast("long").alias("weight"), "unit")
+    monkeypatch.setattr(vectors, "AUDITED", 2)
+    assert vectors.audit(nodes, spark.createDataFrame([], "node long, linked long")) == 0
+
+
 def test_a_find_in_another_piece_counts_for_both():
     import numpy as np
     import pandas as pd
