@@ -110,6 +110,16 @@ def test_substrings_beyond_the_broadcast(docs, monkeypatch):
     assert sorted(str(tuple(r)) for r in substrings.digests(docs).collect()) == near
 
 
+def test_substrings_of_shared_and_missing_ids(spark):
+    r = random.Random(8)
+    some = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    p, q = some(80), some(120)
+    texts = [(1, some(30) + p), (6, q + some(90)), (6, some(200) + p + some(10)), (6, some(300)), (7, some(20) + q), (None, some(15) + p + some(40) + q), (None, q + some(25)), (None, some(60)), (None, None)]
+    texts += [(None, texts[4][1]), (1 << 60, some(9) + p), ((1 << 60) + 1, some(70) + q)]
+    docs = spark.createDataFrame([(i, t, None if t is None else len(t)) for i, t in texts], "doc_id long, text string, n_chars long").coalesce(1)
+    test_substrings_equal_brute_force(docs, docs.limit(0))
+
+
 def test_deep_shallow_sorts_rows():
     import numpy as np
 
