@@ -152,10 +152,19 @@ def profile_scale(spark, d):
 
 @query("simplex_forms", "SELECT 1::BIGINT AS k, 0::BIGINT AS wrong")
 def simplex_forms(spark, d):
-    """Monomial moments over the simplex: product of factorials over the factorial of the sum."""
+    """Monomial moments over the simplex (product of factorials over the factorial of the sum) against one integral an axis."""
     got = forms.simplex_moments(generators.multi_indices(spark, 3, 4))
-    bad = F.col("degree") == 0
-    return got.agg(F.lit(1).cast("long").alias("k"), F.count_if(bad & (F.abs(F.col("moment") - 1 / 6) > 1e-15)).alias("wrong"))
+    a, b, c = (F.col("index")[k] for k in range(3))
+    want = _power_integral(a, b + c + 2) * _power_integral(b, c + 1) * _power_integral(c, F.lit(0))
+    bad = F.coalesce(F.abs(F.col("moment") / want - 1) > 1e-9, F.lit(True))
+    return got.agg(F.lit(1).cast("long").alias("k"), F.count_if(bad).alias("wrong"))
+
+
+def _power_integral(p, m):
+    """Integral of x^p (1 - x)^m over [0, 1], by the binomial series."""
+    fact = lambda x: F.factorial(x.cast("int")).cast("double")
+    terms = F.transform(F.sequence(F.lit(0), m), lambda k: F.pow(F.lit(-1.0), k) * fact(m) / fact(k) / fact(m - k) / (p + k + 1))
+    return F.aggregate(terms, F.lit(0.0), lambda x, t: x + t)
 
 
 @query("rank_one_spectrum")

@@ -100,6 +100,15 @@ def test_spectra(spark):
     assert spark.range(1).select(numbers.sturm_count(F.array(F.lit(2.0), F.lit(2.0)), F.array(F.lit(-1.0)), F.lit(2.0))).first()[0] == 1
 
 
+def test_simplex_forms_checks_every_index(spark, monkeypatch):
+    from quillon.catalogue import analysis
+
+    assert tuple(analysis.simplex_forms(spark, "").first()) == (1, 0)
+    right = analysis.forms.simplex_moments
+    monkeypatch.setattr(analysis.forms, "simplex_moments", lambda df: right(df).withColumn("moment", F.when(F.col("degree") == 0, F.col("moment")).otherwise(0.5)))
+    assert tuple(analysis.simplex_forms(spark, "").first()) == (1, 34)
+
+
 def test_store_and_reuse(spark, tmp_path):
     objects = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "k int, p string")
     first = store.put(spark, str(tmp_path / "s"), objects, "k", "p")
