@@ -327,16 +327,34 @@ def test_an_audit_draws_until_nodes_have_links(spark, monkeypatch):
     assert vectors.audit(nodes, spark.createDataFrame([], "node long, linked long")) == 0
 
 
-def test_a_find_in_another_piece_counts_for_both():
+@pytest.fixture()
+def small_pieces(monkeypatch):
+    for name, value in (("SHARD", 8), ("PIECE", 6), ("ASKING", 2), ("SUBSAMPLE", 16), ("SUBPIVOTS", 4)):
+        monkeypatch.setattr(vectors, name, value)
+
+
+def test_vectors_in_many_leaves_and_pieces(spark, small_pieces):
+    test_vectors_equal_brute_force(spark)
+
+
+def test_links_are_counted_not_written(spark, small_pieces):
     import numpy as np
-    import pandas as pd
-
-    unit = np.eye(4)[0].tobytes()
-    rows = [(7, 3, 2, 7, False), (7, 3, 5, 7, True)]
-    piece = pd.DataFrame([(s, n, w, h, unit, [], a) for (s, n, w, h, a) in rows], columns=["shard", "node", "weight", "home", "unit", "near", "asks"])
-    piece.loc[1, "node"] = 4  # asks from the other piece of its home shard
-    got = vectors._searcher(24)((7, 0), piece)
-    assert {tuple(r) for r in got.itertuples(index=False) if r.kind == 2} == {(4, 3, 2, 2), (3, 4, 5, 2)}
+
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=16) + rng.normal(size=(400, 16)) * 0.01
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    nodes = vectors.nodes_of(df, "vec_id", "embedding").select("node", F.lit(1).cast("long").alias("weight"), "unit")
+    found = vectors.links(nodes, vectors.pivots_of(nodes, 3), 3, 24)
+    pieces = 400 / vectors.PIECE
+    assert found.count() <= 400 * 3 * (pieces / vectors.ASKING + pieces)  # each node, in each task that holds it
+    got = vectors.near_duplicates(df).collect()
+    assert sum(r.n_links for r in got) >= 0.97 * 400 * 399 and all(r.n_links <= 399 and r.component_id == 0 for r in got)
+
+
+def test_vectors_of_one_length_are_compared(spark):
+    data = [(1, [1.0] * 8), (2, [1.0] * 7 + [1.1]), (3, [1.0, 2.0]), (4, [1.0, 2.01]), (5, [1.0, -2.0]), (6, [3.0] * 8), (7, [1.0, 2.0, 0.0]), (8, [2.0, 4.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 6: (2, 1), 3: (2, 3), 4: (2, 3), 8: (2, 3), 5: (0, 5), 7: (0, 7)}
 
 
 def test_toxicity_finds_misspelt_and_spares_quoted(spark, none):
