@@ -13,15 +13,17 @@ from ..sources import tables
 
 __all__ = ["drop_table", "release", "table", "work_dir", "written", "WORD_DELIMS", "words_of", "lower_az"]
 
-#: Rows of whole texts that a Python worker gets at a time; the default of 10,000 would hold very long texts many times over.
-BATCH_ROWS = 1_000
+#: Rows and bytes of whole texts that a Python worker gets at a time; the default of 10,000 rows would hold very long texts many times over.
+BATCH_ROWS, BATCH_BYTES = 1_000, 32 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Lower the session's rows a batch, unless it asks for fewer already."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    """Lower the session's rows and bytes a batch, unless it asks for fewer already."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(name).removesuffix("b")
+        if now.lstrip("-").isdigit() and not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
 
 
 def table(spark: SparkSession, base: str, name: str) -> DataFrame:
@@ -35,9 +37,11 @@ WORD_DELIMS = " \t\n\x0b\x0c\r"
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; where none is named (tests), one of our own is set."""
+    """The shared folder that the cluster names; where none is named in local mode (tests), one of our own is set."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         base = f"file://{tempfile.mkdtemp(prefix='quillon-')}"
         spark.sparkContext.setCheckpointDir(base)
     return base

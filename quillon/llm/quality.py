@@ -110,10 +110,11 @@ def quality(df: DataFrame, text: str = "text", thresholds=THRESHOLDS) -> DataFra
 
 
 def keep_good(df: DataFrame, text: str = "text") -> DataFrame:
-    """The kept rows of ``df`` with all their columns.
+    """The kept rows of ``df`` with all their columns, whatever their names; a null, empty or blank text is not kept.
 
     The filter also names a column that is not deterministic, so it stays above the projections: pushed below, it would
     hold their expressions many times over.
     """
-    out = quality(df, text).withColumn("__row", F.monotonically_increasing_id())
-    return out.filter(F.col("kept") & (F.col("__row") >= 0)).select(*df.columns)
+    rows = df.select(F.struct("*").alias("__all"), F.col(text).alias("__text"))
+    out = quality(rows, "__text").withColumn("__nth", F.monotonically_increasing_id())
+    return out.filter(F.col("kept") & (F.col("__nth") >= 0)).select("__all.*")

@@ -285,13 +285,14 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     ]
     # At most MAX_TOXIC + MAX_CLEAN keys.
     sample = docs.select(key, text).join(F.broadcast(drawn[0].unionAll(drawn[1])), key)
-    # Near copies count once, else their chance words would pass for terms: one row for each least
-    # hash of three words.
+    # Near copies count once, else their chance words would pass for terms: one row for each label and least
+    # hash of three words, or for each label and text of fewer words.
     words = F.transform(words_of(F.lower(text)), lambda w: F.xxhash64(w))
     sample = sample.withColumn("__w", words).withColumn(
         "__least", F.expr("array_min(zip_with(zip_with(__w, slice(__w, 2, size(__w)), (a, b) -> xxhash64(a, b)), slice(__w, 3, size(__w)), (a, b) -> xxhash64(a, b)))")
     )
-    sample = sample.groupBy("__least").agg(F.max(F.struct(key, text, "toxic")).alias("row")).select(f"row.{text}", "row.toxic")
+    sample = sample.withColumn("__least", F.coalesce("__least", F.xxhash64(F.array_join("__w", " "))))
+    sample = sample.groupBy("__least", "toxic").agg(F.max(F.struct(key, text)).alias("row")).select(f"row.{text}", "toxic")
     sample = written(sample, "toxicity-sample")
     counts = sample.mapInArrow(_term_counts, "term string, stem boolean, pos long, neg long")
     counts = written(counts.groupBy("term", "stem").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), "toxicity-terms")
