@@ -101,9 +101,9 @@ def nodes_of(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, node long, n long, bands array<long>")
 
 
-def _bits(docs: DataFrame) -> int:
-    """Buckets are the hash's first bits: several for each shuffle partition."""
-    return max(8, (4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))).bit_length())
+def _bits(docs: DataFrame, entries: int = 0) -> int:
+    """Buckets are the hash's first bits: several for each shuffle partition, and one for each million entries."""
+    return max(8, (4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))).bit_length(), (entries >> 20).bit_length())
 
 
 def _packed(columns: list[np.ndarray]) -> bytes:

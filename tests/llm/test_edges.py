@@ -110,6 +110,35 @@ def test_substrings_beyond_the_broadcast(docs, monkeypatch):
     assert sorted(str(tuple(r)) for r in substrings.digests(docs).collect()) == near
 
 
+def test_substrings_of_frequent_anchors(docs, monkeypatch):
+    monkeypatch.setattr(substrings, "HOT", 2)  # all anchors are dealt out by the bytes beside them
+    monkeypatch.setattr(substrings, "FLUSH_FOUND", 150)  # many lots
+    test_substrings_equal_brute_force(docs, docs.limit(0))
+
+
+def test_multikey_orders_groups_and_words():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for n, values in ((0, 2), (1, 2), (50, 2), (3000, 4), (3000, 1 << 40)):
+        group, words = rng.integers(0, 7, n), rng.integers(0, values, (n, 3)).astype(np.uint64)
+        order = substrings.multikey(group, words)
+        keys = [(int(group[i]), *words[i].tolist()) for i in order]
+        assert sorted(order.tolist()) == list(range(n)) and keys == sorted(keys)
+
+
+def test_stages_keep_clashing_columns(spark):
+    names = ["doc_id", "text", "n_chars", "n_words", "kept", "__own", "__copy", "__row", "c0", "__text", "__all", "__id", "__component"]
+    text = " ".join(f"the word {k} stays" for k in range(30))
+    data = [(k, t, 7, 111, False, "o", "c", "r", "z", "x", "y", "i", "p") for k, t in ((1, text), (2, text + " more"), (None, text), (3, None), (4, ""))]
+    df = spark.createDataFrame(data, "doc_id long, text string, n_chars long, n_words int, kept boolean, " + ", ".join(f"`{n}` string" for n in names[5:]))
+    good = quality.keep_good(df)
+    assert good.columns == names and sorted(map(str, good.collect())) == sorted(str(r) for r in df.collect() if r.text)
+    cut = substrings.without_repeats(df)
+    assert cut.columns == names and {(r.doc_id, r.n_chars) for r in cut.collect()} == {(1, len(text)), (2, 5), (None, 0), (3, None), (4, 0)}
+    assert all(r[3:] == data[0][3:] for r in cut.collect())
+
+
 def test_substrings_of_shared_and_missing_ids(spark):
     r = random.Random(8)
     some = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
