@@ -4,14 +4,17 @@
 2. Shingle frequencies are counted over all texts. The order of shingles, rarest first, puts shared passages
    last; frequencies below ``FREQUENT`` count as equal and are ordered by hash.
 3. Answers of similar sets come first: nodes that share a pair of least hashes are compared with a
-   leader among them (several in large groups), exactly. Links found make first components.
+   leader among them (several in large groups), exactly. Links found make first components, and each node that
+   links with a leader keeps the one it shares most with, and how many of its own shingles that one lacks.
 4. The index: each node enters the lists of its prefix, long enough that two sets which link share a prefix
-   shingle. Lists are sorted by set size; blocks that are too short or whose positions leave too few
-   shingles are skipped by position. Pairs whose answer follows from step 3, as
+   shingle. A list is cut into blocks of one set size and one position; two blocks whose sizes differ too much, or whose
+   positions leave too few shingles, are skipped whole, before any pair is made. Pairs whose answer follows from step 3, as
    both lie in one component, are skipped too. Long lists first learn their nodes'
    components and then give only pairs across them: first a few for each set, and, once these have been
-   compared and components joined, all that are left.
-5. What is left is compared exactly, and the links of 3 and 5 give the components.
+   compared and components joined, all that are left. Very long ones are salted: a task holds two parts of a list.
+5. Answers of the pairs that are left are derived: leaders are compared first, exactly; two sets share at most
+   what their leaders share and what either has beyond its leader, and where that is too little they are not
+   compared. All others are compared exactly, and the links of 3 and 5 give the components.
 
 So every link between different texts is either found or lies inside a component that is already
 joined; nothing is capped or sampled.
@@ -57,8 +60,12 @@ FLUSH = 2_000_000
 ROUNDS, TRIES = 2, 24
 #: Nodes whose sets are asked for by broadcast, 8 bytes each; more are joined by shuffle.
 ASKED_MOST = 2_000_000
-#: Members that one task compares with their hub at a time.
+#: Members that are compared with one copy of their hub.
 BLOCK = 256
+#: Entries of a block of a list, at most, and of a salted part of a list, about.
+RUN, PART = 1_000, 2_048
+#: Components whose least ids are broadcast, 16 bytes each.
+CLASSES_MOST = 500_000
 
 _SEEDS = mix(np.arange(1, 2 * BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -128,9 +135,8 @@ def _blobs(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "blob"])
 
 
-def frequent_shingles(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
+def frequent_shingles(docs: DataFrame, text: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash prefixes, sorted; how many texts) of the shingles of FREQUENT texts or more, counted over all rows."""
-    bits = _bits(docs)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -176,9 +182,8 @@ def frequent_shingles(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarra
     return short[order], df[order]
 
 
-def prefix_lists(docs: DataFrame, text: str, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def prefix_lists(docs: DataFrame, text: str, frequent: tuple[np.ndarray, np.ndarray], bits: int) -> DataFrame:
     """(bucket, blob) of the prefix entries (shingle, node, set size, position) of all sets."""
-    bits = _bits(docs)
     sent = docs.sparkSession.sparkContext.broadcast(frequent)  # at most FREQUENT_MOST entries
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,40 +228,65 @@ def _may_link(n, place, i, j) -> np.ndarray:
 
 
 def _list_pairs(list_of, node, n, place, apart=None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j) of entries of one list that may link, from entries sorted by (list, n).
+    """Pairs (i, j) of entries of one list that may link, from entries sorted by (list, n, place).
 
-    Entry j meets the entries before it back to the first whose set is not too small: the list's earlier
-    blocks are skipped. Of these, pairs whose positions leave too few shingles go.
+    Entries of one list, size and position are a block (RUN at most). A block meets the blocks before it
+    back to the first whose sets are not too small; of these, blocks whose positions leave too few
+    shingles are skipped whole, and so are two blocks that lie in one part.
     """
     m = len(node)
-    start = np.searchsorted(list_of, list_of)
+    if not m:
+        return np.zeros(0, int), np.zeros(0, int)
+    new = np.r_[True, (list_of[1:] != list_of[:-1]) | (n[1:] != n[:-1]) | (place[1:] != place[:-1])]
+    start = np.flatnonzero(new)
+    within = np.arange(m) - np.repeat(start, np.diff(np.append(start, m)))
+    start = np.flatnonzero(new | (within % RUN == 0))
+    size = np.diff(np.append(start, m))
+    of, sets, at = list_of[start], n[start].astype(np.int64), place[start]
     width = np.int64(1) << 33
-    need = (NUM * n.astype(np.int64) + DEN - 1) // DEN
-    low = np.maximum(start, np.searchsorted(list_of * width + n, list_of * width + need))
+    low = np.searchsorted(of * width + sets, of * width + (NUM * sets + DEN - 1) // DEN)  # never before its own list
+    if apart is not None:
+        lo, hi = np.minimum.reduceat(apart, start), np.maximum.reduceat(apart, start)
     out_a, out_b = [], []
-    count = np.arange(m) - low
-    cut = np.searchsorted(np.cumsum(count), np.arange(0, int(count.sum()) + 1, 1_000_000)[1:]).tolist()
-    for x, y in zip([0, *[c + 1 for c in cut]], [*[c + 1 for c in cut], m], strict=True):
-        if y <= x:
-            continue
+    count = np.arange(len(start)) - low + 1
+    for x, y in _cut(count, 1_000_000):
         c = count[x:y]
         j = np.repeat(np.arange(x, y), c)
         i = np.arange(len(j)) - np.repeat(np.cumsum(c) - c, c) + np.repeat(low[x:y], c)
-        ok = _may_link(n, place, i, j) & (node[i] != node[j])
+        ok = _may_link(sets, at, i, j)
         if apart is not None:
-            ok &= apart[i] != apart[j]
-        out_a.append(i[ok]), out_b.append(j[ok])
+            ok &= (lo[i] != hi[i]) | (lo[j] != hi[j]) | (lo[i] != lo[j])
+        i, j = i[ok], j[ok]
+        pairs = size[i] * size[j]
+        for u, v in _cut(pairs, 1_000_000):
+            c = pairs[u:v]
+            of_pair = np.repeat(np.arange(u, v), c)
+            k = np.arange(len(of_pair)) - np.repeat(np.cumsum(c) - c, c)
+            a, b = start[i[of_pair]] + k // size[j[of_pair]], start[j[of_pair]] + k % size[j[of_pair]]
+            ok = (a < b) & (node[a] != node[b])
+            if apart is not None:
+                ok &= apart[a] != apart[b]
+            out_a.append(a[ok]), out_b.append(b[ok])
     return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (np.zeros(0, int), np.zeros(0, int))
 
 
-INDEXED = "list long, a long, b long, n long, place long"
+def _cut(count: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of entries whose counts add up to about so many."""
+    total, lo = np.cumsum(count), 0
+    while lo < len(count):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + most, "right")))
+        yield lo, hi
+        lo = hi
+
+
+INDEXED = "list long, a long, b long, n long, m long, place long"
 
 
 def _index(key, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one bucket: pairs from short lists (a, b), and the entries of long lists (list, a, n, place)."""
+    """Of one bucket: pairs from short lists (a, b, sizes n and m), and the entries of long lists (list, a, n, place)."""
     parts = [_unpacked(x, ["u8", "i8", "u4", "u4"]) for x in pdf["blob"]]
     token, node, n, place = (np.concatenate([p[k] for p in parts]) for k in range(4))
-    order = np.lexsort((node, n, token))
+    order = np.lexsort((node, place, n, token))
     token, node, n, place = token[order], node[order], n[order], place[order]
     keep = np.r_[True, (token[1:] != token[:-1]) | (node[1:] != node[:-1])]
     token, node, n, place = token[keep], node[keep], n[keep], place[keep]
@@ -265,27 +295,45 @@ def _index(key, pdf: pd.DataFrame) -> pd.DataFrame:
     size = np.bincount(which)[which]
     short, long = (size > 1) & (size <= LONG_LIST), size > LONG_LIST
     i, j = _list_pairs(which[short], node[short], n[short], place[short])
-    a, b = node[short][i], node[short][j]
-    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+    a, b, n_a, n_b = _distinct(node[short], n[short], i, j)
+    k, m = len(a), int(long.sum())
     return pd.DataFrame({
-        "list": pd.array([pd.NA] * pairs.shape[1] + token[long].view(np.int64).tolist(), "Int64"),
-        "a": np.concatenate([pairs[0], node[long]]),
-        "b": pd.array(pairs[1].tolist() + [pd.NA] * int(long.sum()), "Int64"),
-        "n": np.concatenate([np.zeros(pairs.shape[1], np.int64), n[long].astype(np.int64)]),
-        "place": np.concatenate([np.zeros(pairs.shape[1], np.int64), place[long].astype(np.int64)]),
+        "list": pd.array([pd.NA] * k + token[long].view(np.int64).tolist(), "Int64"),
+        "a": np.concatenate([a, node[long]]),
+        "b": pd.array(b.tolist() + [pd.NA] * m, "Int64"),
+        "n": np.concatenate([n_a, n[long].astype(np.int64)]),
+        "m": np.concatenate([n_b, np.zeros(m, np.int64)]),
+        "place": np.concatenate([np.zeros(k, np.int64), place[long].astype(np.int64)]),
     })
 
 
+def _distinct(node, n, i, j) -> tuple[np.ndarray, ...]:
+    """(lesser node, greater node, their sizes) of the pairs of entries, each once."""
+    swap = node[i] > node[j]
+    i, j = np.where(swap, j, i), np.where(swap, i, j)
+    order = np.lexsort((node[j], node[i]))
+    i, j = i[order], j[order]
+    keep = np.r_[True, (node[i[1:]] != node[i[:-1]]) | (node[j[1:]] != node[j[:-1]])] if len(i) else np.zeros(0, bool)
+    i, j = i[keep], j[keep]
+    return node[i], node[j], n[i].astype(np.int64), n[j].astype(np.int64)
+
+
+PAIRS = "a long, b long, n long, m long"
+
+
 def _across(tries: int | None, seed: int):
-    """Pairs of a long list's entries that lie in different components: all, or so many for each entry outside the
-    list's largest component, drawn by hash among the sets of fitting size.
+    """Pairs of a long list's entries (or those of two of its parts) that lie in different components: all, or so many for
+    each entry outside the part's largest component, drawn by hash among the sets of fitting size.
     """
 
     def pairs_of(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n", "a"])
-        node, n, place, comp = (pdf[c].to_numpy() for c in ("a", "n", "place", "component"))
+        pdf = pdf.sort_values(["n", "place", "a"])
+        node, n, place, comp, part = (pdf[c].to_numpy() for c in ("a", "n", "place", "component", "part"))
         if tries is None:
             i, j = _list_pairs(np.zeros(len(node), np.int64), node, n, place, comp)
+            if key[1] != key[2]:  # pairs within a part are found where it is alone
+                ok = part[i] != part[j]
+                i, j = i[ok], j[ok]
         else:
             names, size = np.unique(comp, return_counts=True)
             alone = np.flatnonzero(comp != names[size.argmax()])
@@ -297,24 +345,41 @@ def _across(tries: int | None, seed: int):
             i, j = np.minimum(i, j), np.maximum(i, j)
             ok = (comp[i] != comp[j]) & _may_link(n, place, i, j)
             i, j = i[ok], j[ok]
-        pairs = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])]), axis=1)
-        return pd.DataFrame({"a": pairs[0], "b": pairs[1]})
+        return pd.DataFrame(dict(zip(("a", "b", "n", "m"), _distinct(node, n, i, j), strict=True)))
 
     return pairs_of
 
 
-def _compare(key, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Members of a block against their hub, exactly."""
-    own = pdf["node"] == key[0]
-    hub = np.frombuffer(pdf.loc[own, "shingles"].iloc[0], np.uint64)
-    found = []
-    for node, data in zip(pdf.loc[~own, "node"], pdf.loc[~own, "shingles"], strict=True):
-        s = np.frombuffer(data, np.uint64)
-        at = np.minimum(np.searchsorted(hub, s), len(hub) - 1)
-        common = int((hub[at] == s).sum())
-        if DEN * common >= NUM * (len(hub) + len(s) - common):
-            found.append(node)
-    return pd.DataFrame({"a": np.full(len(found), key[0], np.int64), "b": np.array(found, np.int64)})
+def _salted(long: DataFrame, all_parts: bool) -> DataFrame:
+    """Entries with the two parts of their list that a task holds; short lists have one part. Without ``all_parts`` each part is alone."""
+    parts = long.groupBy("list").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")).filter("parts > 1")
+    dealt = long.join(parts, "list", "left").withColumn("part", F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1))).cast("int"))
+    others = F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1) if all_parts else F.array("part")
+    dealt = dealt.withColumn("other", F.explode(others))
+    return dealt.select("list", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), "part", "a", "n", "place", "component")
+
+
+COMPARED = "a long, b long, n long, m long, common long, links boolean"
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members against their hub, exactly, from rows sorted by (hub, block, whether a member): only the hub is held."""
+    now, hub = None, np.zeros(0, np.uint64)
+    names = [c.split(" ")[0] for c in COMPARED.split(", ")]
+    for batch in batches:
+        rows = []
+        for a, block, member, node, data in zip(*(batch.column(k).to_pylist() for k in range(4)), batch.column(4), strict=True):
+            s = np.frombuffer(data.as_buffer(), np.uint64)
+            if not member:
+                now, hub = (a, block), s.copy()
+                continue
+            if now != (a, block):
+                raise ValueError("a block has no hub")
+            at = np.minimum(np.searchsorted(hub, s), len(hub) - 1)
+            common = int((hub[at] == s).sum())
+            rows.append((a, node, len(hub), len(s), common, DEN * common >= NUM * (len(hub) + len(s) - common)))
+        columns = list(zip(*rows, strict=True)) or [[]] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.bool_() if k == 5 else pa.int64()) for k, c in enumerate(columns)], names=names)
 
 
 def sets_of(docs: DataFrame, text: str, pairs: DataFrame) -> DataFrame:
@@ -350,31 +415,63 @@ def sets_of(docs: DataFrame, text: str, pairs: DataFrame) -> DataFrame:
     return sets
 
 
-def linked(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link, by their whole sets. Large hubs are split into blocks."""
+def compared(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, their sizes, how many shingles they share, whether they link) of pairs (a, b), by their whole sets. Large hubs are split into blocks."""
     hubs = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = pairs.join(hubs, "a").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), F.col("b").alias("node"))
-    selves = hubs.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("a").alias("node"))
-    links = members.unionByName(selves).join(sets, "node").groupBy("a", "block").applyInPandas(_compare, "a long, b long")
-    links = written(links, "jaccard-links")
+    members = pairs.join(hubs, "a").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), F.lit(True).alias("member"), F.col("b").alias("node"))
+    selves = hubs.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("member"), F.col("a").alias("node"))
+    rows = members.unionByName(selves).join(sets, "node").select("a", "block", "member", "node", "shingles")
+    rows = rows.repartition("a", "block").sortWithinPartitions("a", "block", "member")
+    out = written(rows.mapInArrow(_compare, COMPARED), "jaccard-compared")
     release(sets.sparkSession)
-    return links
+    return out
+
+
+def leaders_of(stars: DataFrame) -> DataFrame:
+    """(node, leader, beyond) from compared stars: the linked leader that a node shares most with, and how many of its own shingles that one lacks."""
+    best = stars.filter("links").groupBy(F.col("b").alias("node")).agg(F.max(F.struct("common", "a", "m")).alias("x"))
+    return best.select("node", F.col("x.a").alias("leader"), (F.col("x.m") - F.col("x.common")).alias("beyond"))
+
+
+def answers(sets: DataFrame, pairs: DataFrame, leaders: DataFrame) -> DataFrame:
+    """Links (a, b) of pairs (a, b, n, m: sizes) and of their leaders.
+
+    |a and b| is at most |their leaders' common shingles| and what a and b have beyond their leaders, so pairs for which that
+    is too little are never compared.
+    """
+    led = pairs
+    for side in ("a", "b"):
+        own = leaders.select(F.col("node").alias(side), F.col("leader").alias(f"l{side}"), F.col("beyond").alias(f"x{side}"))
+        led = led.join(own, side, "left").withColumns({f"l{side}": F.coalesce(f"l{side}", side), f"x{side}": F.coalesce(f"x{side}", F.lit(0))})
+    led = led.select("a", "b", "n", "m", F.least("la", "lb").alias("u"), F.greatest("la", "lb").alias("v"), (F.col("xa") + F.col("xb")).alias("beyond"))
+    led = written(led, "jaccard-led")
+    first = compared(sets, led.filter("u <> v").select(F.col("u").alias("a"), F.col("v").alias("b")).distinct())
+    known = first.select(F.col("a").alias("u"), F.col("b").alias("v"), "common")
+    rest = led.join(known, ["u", "v"], "left").filter("a <> u OR b <> v").filter(
+        F.col("common").isNull() | ((DEN + NUM) * (F.col("common") + F.col("beyond")) >= NUM * (F.col("n") + F.col("m")))
+    )
+    second = compared(sets, rest.select("a", "b").distinct())
+    drop_table(led)
+    return first.unionByName(second).filter("links").select("a", "b")
 
 
 def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id) for each row; component_id is the least key reachable by links."""
     nodes = written(nodes_of(docs, key, text), "jaccard-nodes")
+    bits = _bits(docs, nodes.agg(F.sum("n")).first()[0] or 0)
     banded = nodes.filter("node IS NOT NULL").select("node", F.explode("bands").alias("band")).distinct()
     drawn = [F.min_by("node", F.xxhash64(F.col("node"), F.lit(k))) for k in range(LEADERS)]
-    leaders = banded.groupBy("band").agg(F.array(*drawn).alias("leaders"), F.count("*").alias("m")).filter("m > 1")
-    leaders = leaders.select("band", F.explode(F.array_distinct(F.when(F.col("m") > MANY, F.col("leaders")).otherwise(F.slice("leaders", 1, 1)))).alias("a"))
-    stars = written(banded.join(leaders, "band").filter("node <> a").select("a", F.col("node").alias("b")).distinct(), "jaccard-stars")
+    heads = banded.groupBy("band").agg(F.array(*drawn).alias("leaders"), F.count("*").alias("m")).filter("m > 1")
+    heads = heads.select("band", F.explode(F.array_distinct(F.when(F.col("m") > MANY, F.col("leaders")).otherwise(F.slice("leaders", 1, 1)))).alias("a"))
+    stars = written(banded.join(heads, "band").filter("node <> a").select("a", F.col("node").alias("b")).distinct(), "jaccard-stars")
     sets = sets_of(docs, text, stars)
-    found = linked(sets, stars)
+    stars = compared(sets, stars)
     drop_table(sets)
+    leaders = written(leaders_of(stars), "jaccard-leaders")
+    found = stars.filter("links").select("a", "b")
 
-    frequent = frequent_shingles(docs, text)
-    lists = prefix_lists(docs, text, frequent).groupBy("bucket").applyInPandas(_index, INDEXED)
+    frequent = frequent_shingles(docs, text, bits)
+    lists = prefix_lists(docs, text, frequent, bits).groupBy("bucket").applyInPandas(_index, INDEXED)
     lists = written(lists, "jaccard-lists")
     release(docs.sparkSession)
     sets = None
@@ -384,24 +481,31 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         part = parts.select(F.col("id").alias("a"), "component")
         long = lists.filter("list IS NOT NULL").join(part, "a", "left").withColumn("component", F.coalesce("component", "a"))
         mixed = long.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("list")
-        pairs = long.join(mixed, "list", "left_semi").groupBy("list").applyInPandas(_across(TRIES if seed < ROUNDS else None, seed), "a long, b long")
+        mixed = written(long.join(mixed, "list", "left_semi"), "jaccard-mixed")
+        pairs = _salted(mixed, seed == ROUNDS).groupBy("list", "one", "two").applyInPandas(_across(TRIES if seed < ROUNDS else None, seed), PAIRS)
         if seed == 0:
             other = part.select(F.col("a").alias("b"), F.col("component").alias("other"))
-            short = lists.filter("list IS NULL").select("a", "b").distinct().join(part, "a", "left").join(other, "b", "left")
-            pairs = pairs.unionByName(short.filter(F.coalesce("component", "a") != F.coalesce("other", "b")).select("a", "b"))
-            # Whatever long lists may ask for later, too: each entry of a mixed list.
-            more = long.join(mixed, "list", "left_semi").select("a", F.col("a").alias("b"))
+            short = lists.filter("list IS NULL").select("a", "b", "n", "m").distinct().join(part, "a", "left").join(other, "b", "left")
+            pairs = pairs.unionByName(short.filter(F.coalesce("component", "a") != F.coalesce("other", "b")).select("a", "b", "n", "m"))
         pairs = written(pairs.distinct(), "jaccard-pairs")
         if sets is None:
-            sets = sets_of(docs, text, pairs.unionByName(more))
+            # Whatever long lists may ask for later, too: each entry of a mixed list; and all their leaders.
+            asked = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).unionByName(mixed.select("a")).distinct()
+            asked = asked.join(leaders, F.col("a") == F.col("node"), "left").select("a", F.coalesce("leader", "a").alias("b"))
+            sets = sets_of(docs, text, asked)
         if not pairs.isEmpty():
-            found = written(found.unionByName(linked(sets, pairs)), "jaccard-found")
+            found = written(found.unionByName(answers(sets, pairs, leaders)).distinct(), "jaccard-found")
+        drop_table(mixed)
+        drop_table(pairs)
     drop_table(sets)
+    drop_table(lists)
     whole = components(found)
 
-    named = nodes.join(whole.withColumnRenamed("id", "node"), "node", "left").withColumn("class", F.coalesce("component", "node")).select(key, "n", "class")
+    named = nodes.join(whole.withColumnRenamed("id", "node"), "node", "left").select(key, "n", "node", "component")
     named = written(named, "jaccard-named")
-    least = named.filter("class IS NOT NULL").groupBy("class").agg(F.min(key).alias("component_id"))
-    return named.join(least, "class", "left").select(
-        key, F.col("n").alias("n_shingles"), F.when(F.col("class").isNull(), F.col(key)).otherwise(F.col("component_id")).alias("component_id")
-    )
+    # Rows that share a class with no other row name themselves, so only classes of several are looked up.
+    several = named.filter("node IS NOT NULL").groupBy(F.coalesce("component", "node").alias("class")).agg(F.min(key).alias("component_id"), F.count("*").alias("rows"))
+    several = written(several.filter("rows > 1").drop("rows"), "jaccard-classes")
+    least = F.broadcast(several) if several.count() <= CLASSES_MOST else several
+    out = named.join(least, F.coalesce("component", "node") == F.col("class"), "left")
+    return out.select(key, F.col("n").alias("n_shingles"), F.when(F.col("class").isNull(), F.col(key)).otherwise(F.col("component_id")).alias("component_id"))

@@ -77,6 +77,60 @@ def test_jaccard_equals_brute_force(docs, none):
     assert jaccard.similar(none).collect() == []
 
 
+def test_jaccard_on_the_other_side_of_each_switch(docs, none, monkeypatch):
+    for name, value in (("LONG_LIST", 2), ("PART", 5), ("RUN", 3), ("BLOCK", 3), ("ASKED_MOST", 0), ("CLASSES_MOST", 0), ("FREQUENT", 2), ("BANDS", 1), ("MANY", 2)):
+        monkeypatch.setattr(jaccard, name, value)
+    test_jaccard_equals_brute_force(docs, none)
+
+
+def test_blocks_of_a_list_lose_no_pair(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(jaccard, "RUN", 7)
+    rng = np.random.default_rng(2)
+    n = rng.integers(5, 60, 600)
+    place = (rng.random(600) * jaccard.prefix_length(n)).astype(np.int64)
+    lists, apart, node = rng.integers(0, 6, 600), rng.integers(0, 5, 600), rng.permutation(600)
+    order = np.lexsort((place, n, lists))
+    n, place, lists, apart, node = (x[order] for x in (n, place, lists, apart, node))
+    i, j = jaccard._list_pairs(lists, node, n, place, apart)
+    need = lambda a, b: -(-80 * (n[a] + n[b]) // 180)
+    want = {
+        (a, b) for b in range(600) for a in range(b)
+        if lists[a] == lists[b] and apart[a] != apart[b] and min(n[a] - place[a], n[b] - place[b]) >= need(a, b) and 100 * n[a] >= 80 * n[b]
+    }
+    got = list(zip(i.tolist(), j.tolist()))
+    assert len(got) == len(set(got)) and {(min(p), max(p)) for p in got} == want
+
+
+def test_answers_are_derived_from_leaders(spark):
+    """Two groups of near copies that share a common passage: their leaders' answer spares all other pairs."""
+    r = random.Random(3)
+    some = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    shared, groups = some(40), []
+    for _ in range(2):
+        base = some(60)
+        groups += [" ".join(shared + base[:k] + some(1) + base[k + 1 :]) for k in range(0, 60, 6)]
+    sets = [shingle_set(t) for t in groups]
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    import numpy as np
+
+    own = list(jaccard.shingle_sets([t.encode() for t in groups], 5))
+    stored = frame([(k, s.tobytes()) for k, s in enumerate(own)], "node long, shingles binary")
+    stars = jaccard.compared(stored, frame([(g, g + k) for g in (0, 10) for k in range(1, 10)], "a long, b long"))
+    leaders = jaccard.leaders_of(stars)
+    assert {(x.node, x.leader) for x in leaders.collect()} == {(g + k, g) for g in (0, 10) for k in range(1, 10)}
+    pairs = frame([(a, b, len(sets[a]), len(sets[b])) for a in range(10) for b in range(10, 20)], "a long, b long, n long, m long")
+    asked = []
+    whole = jaccard.compared
+    jaccard.compared, keep = (lambda s, p: (asked.append(p.count()), whole(s, p))[1]), whole
+    try:
+        assert jaccard.answers(stored, pairs, leaders).collect() == []
+    finally:
+        jaccard.compared = keep
+    assert asked == [1, 0] and np.all([len(a & b) * 100 < 80 * len(a | b) for a in sets[:10] for b in sets[10:]])
+
+
 def test_substrings_equal_brute_force(docs, none):
     data = docs.select("doc_id", "text").collect()
     inf = 1 << 62
