@@ -466,3 +466,86 @@ def test_toxicity_finds_misspelt_and_spares_quoted(spark, none):
     blank = toxicity.fit(docs.limit(0), spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert [x.score for x in toxicity.score(docs.limit(2), blank).collect()] == [0.0, 0.0]
     assert toxicity.score(none, model).collect() == []
+
+
+def edit_distance(a, b):
+    """Insertions, deletions, substitutions and swaps of neighbours, no letter touched twice."""
+    rows = [list(range(len(b) + 1))]
+    for i in range(1, len(a) + 1):
+        rows.append([i] + [0] * len(b))
+        for j in range(1, len(b) + 1):
+            rows[i][j] = min(rows[i - 1][j] + 1, rows[i][j - 1] + 1, rows[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                rows[i][j] = min(rows[i][j], rows[i - 2][j - 2] + 1)
+    return rows[-1][-1]
+
+
+def test_the_automaton_equals_plain_edit_distance():
+    r = random.Random(12)
+    word = lambda lo, hi: "".join(r.choice("abcd") for _ in range(r.randint(lo, hi)))
+    terms = sorted({word(4, 11) for _ in range(25)})
+    lexicon = [(t, False, 1.0) for t in terms]
+    matcher = toxicity.Matcher(lexicon)
+    stems = toxicity.Matcher([(t, True, 1.0) for t in terms if len(t) <= 8])
+    hits = 0
+    for k in range(1500):
+        w = list(r.choice(terms) if k % 2 else word(1, 13))
+        for _ in range(r.randint(0, 3)):
+            p = r.randrange(len(w) + 1)
+            w[p : p + r.randint(0, 2)] = r.choices("abcd", k=r.randint(0, 2))
+        w = "".join(w)
+        near = [e for t in terms if (e := edit_distance(w, t)) <= toxicity.errors_allowed(t, False)]
+        hit = matcher.match(w)
+        assert (hit[1] if hit else None) == min(near, default=None), w
+        hits += bool(near)
+        near = [e for t in terms if len(t) <= 8 for n in range(len(w) + 1) if (e := edit_distance(w[:n], t)) <= toxicity.errors_allowed(t, True)]
+        hit = stems.match(w)
+        assert (hit[1] if hit else None) == min(near, default=None), w
+    assert hits > 400
+
+
+def test_short_labelled_texts_are_learnt(spark):
+    texts = [(k, ["grumblatz", "snorfblat you", "tree", "house here", "water", "stone"][k % 6] if k % 6 < 2 else f"{['tree', 'house', 'water', 'stone'][k % 4]} n{k}") for k in range(600)]
+    docs = spark.createDataFrame(texts + [(9000, None), (9001, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 6 < 2)) for k in range(600)] + [(9000, 0), (9001, 0)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert model.weights is not None  # both labels are in the sample, however short its texts
+
+
+def test_a_score_is_that_of_its_direct_features(docs):
+    """Hits found by plain edit distance, then the same sums: whole texts, without the automaton or its memo."""
+    import math
+
+    model = toxicity.Model([("grumblatz", False, 3.0), ("snorf", True, 2.0)], frozenset(["grumblate"]), [-2.0, 1.0, -0.5, 0.3, 0.2], 0.1)
+    scorer = toxicity.Scorer(model)
+    texts = ["", "a tree", "grumblatz you snorfing", "grumblate here", "grumbltaz grumblaz", "x " * 300 + "grumblatz " * 3 + "y " * 50, "snorfle"]
+    for text in texts:
+        places, used, words = [], 0.0, text.split()
+        for i, w in enumerate(words):
+            found = [(edit_distance(w, "grumblatz"), -3.0)] if edit_distance(w, "grumblatz") <= 2 and w not in model.exceptions else []
+            found += [(edit_distance(w[:n], "snorf"), -2.0) for n in range(len(w) + 1) if edit_distance(w[:n], "snorf") <= toxicity.errors_allowed("snorf", True)]
+            if found:
+                e, weight = min(found)
+                used += -weight / (1 + 2 * e)
+                places.append(i)
+        cluster = max((sum(0 <= q - p < 20 for q in places) for p in places), default=0)
+        want = [math.log1p(used), 0.0, math.log1p(100 * len(places) / len(words)) if places else 0.0, math.log1p(cluster)]
+        assert scorer.features(text) == pytest.approx(want), text
+        z = -2.0 + sum(a * b for a, b in zip(model.weights[1:], want))
+        assert scorer.score(text) == pytest.approx(1 / (1 + math.exp(-z)))
+
+
+def test_chat_query_equals_a_plain_reading(spark):
+    """op8 over the whole small table, with its own conversation: digests made from the rows, without the template."""
+    from quillon.llm import queries
+
+    sf_dir = "/root/testdata/sf0.001"
+    turns = [(x.conv_id, x.turn, x.role or "", x.text or "") for x in spark.read.parquet(f"{sf_dir}/conversations.parquet").collect()]
+    turns += [(-7, 0, "user", r"\### Assistant: </turn> ok"), (-7, 1, "assistant", r"\### Assistant: </turn> ok")]
+    want = defaultdict(lambda: [0, "", ""])
+    for conv, _, role, text in sorted(turns):
+        own = want[conv]
+        own[0], own[1], own[2] = own[0] + 1, own[1] + f"{role}\n{text}\n", own[2] + (text if role == "assistant" else "")
+    hexed = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    got = {(x.conv_id, x.n_turns, x.turns_sha256, x.loss_chars, x.loss_sha256) for x in queries.op8_chat_format(spark, sf_dir).collect()}
+    assert got == {(c, n, hexed(t), len(m), hexed(m)) for c, (n, t, m) in want.items()}
