@@ -106,14 +106,16 @@ def prefix_ladder(spark, d):
     return forms.prefix_pivots(laplacians(spark, d)).select("matrix_id", "dimension", F.round("pivot", 9).alias("pivot"))
 
 
-@query("truncated_transform", """SELECT p_partkey AS id, true AS close FROM part WHERE p_partkey <= 50""")
+@query("truncated_transform", """WITH u AS (SELECT exp(-ln(4.0::DOUBLE) + k * (2 * ln(4.0::DOUBLE) / 2000)) AS u, CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * (2 * ln(4.0::DOUBLE) / 2000) / 3 AS w FROM (SELECT unnest(range(0, 2001)) AS k)),
+ s AS (SELECT DISTINCT p_size, p_size / 50.0::DOUBLE AS sigma, p_size / 10.0::DOUBLE AS tau FROM part),
+ v AS (SELECT p_size, sum(w * u * exp((sigma - 1) * ln(u)) * cos(tau * ln(u)) * (u * exp(-u) / power(1 + exp(-u), 2))) AS re, sum(w * u * exp((sigma - 1) * ln(u)) * sin(tau * ln(u)) * (u * exp(-u) / power(1 + exp(-u), 2))) AS im FROM s, u GROUP BY 1)
+ SELECT p_partkey AS id, round(re, 7) AS re, round(im, 7) AS im FROM part JOIN v USING (p_size)""")
 def truncated_transform(spark, d):
-    """The integral of u^(s-1) over [1/5, 5] by 64 nodes against its closed form, for real s."""
-    nodes = generators.gauss_legendre(spark, 64, 0.2, 5.0)
-    s = table(spark, d, "part").filter("p_partkey <= 50").select(F.col("p_partkey").alias("id"), (F.col("p_size") / 10.0 + 0.5).alias("s"))
-    got = s.join(F.broadcast(nodes), F.lit(True)).groupBy("id", "s").agg(F.sum(F.col("weight") * F.exp((F.col("s") - 1) * F.log("x"))).alias("v"))  # 64 nodes
-    want = (F.pow(F.lit(5.0), "s") - F.pow(F.lit(0.2), "s")) / F.col("s")
-    return got.select("id", (F.abs(F.col("v") - want) <= 1e-9 * want).alias("close"))
+    """The integral of u^(s-1) omega(u) over [1/4, 4] by 64 nodes; the SQL takes Simpson's rule in ln u."""
+    from ..operators import transforms
+
+    s = table(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") / 50.0).alias("sigma"), (F.col("p_size") / 10.0).alias("tau"))
+    return transforms.truncated(s, "id", "sigma", "tau", 4.0, 64).select("id", F.round("re", 7).alias("re"), F.round("im", 7).alias("im"))
 
 
 @query("omega_transform_even", "SELECT round(sum(w * t * exp(-t) / power(1 + exp(-t), 2)), 8) AS integral FROM (SELECT k * 0.01 AS t, CASE WHEN k IN (0, 1000) THEN 0.005 ELSE 0.01 END AS w FROM (SELECT unnest(range(0, 1001)) AS k))")
@@ -150,14 +152,15 @@ def profile_scale(spark, d):
     return table(spark, d, "events").groupBy("user_id").agg(F.round(F.try_divide(F.sum(F.col("value") * k), F.sum(k * k)), 6).alias("scale"))
 
 
-@query("simplex_forms", "SELECT 1::BIGINT AS k, 0::BIGINT AS wrong")
+@query("simplex_forms", """SELECT concat_ws(',', a, b, c) AS index, round(factorial(a)::DOUBLE * factorial(b) * factorial(c) / factorial(a + b + c + 3), 12) AS moment, 0 AS gap
+ FROM (SELECT unnest(range(0, 5))::INT AS a), (SELECT unnest(range(0, 5))::INT AS b), (SELECT unnest(range(0, 5))::INT AS c) WHERE a + b + c <= 4""")
 def simplex_forms(spark, d):
     """Monomial moments over the simplex (product of factorials over the factorial of the sum) against one integral an axis."""
     got = forms.simplex_moments(generators.multi_indices(spark, 3, 4))
     a, b, c = (F.col("index")[k] for k in range(3))
     want = _power_integral(a, b + c + 2) * _power_integral(b, c + 1) * _power_integral(c, F.lit(0))
-    bad = F.coalesce(F.abs(F.col("moment") / want - 1) > 1e-9, F.lit(True))
-    return got.agg(F.lit(1).cast("long").alias("k"), F.count_if(bad).alias("wrong"))
+    gap = F.round(F.abs(F.col("moment") / want - 1), 6).cast("int")
+    return got.select("index", F.round("moment", 12).alias("moment"), gap.alias("gap")).withColumn("index", F.array_join(F.col("index").cast("array<string>"), ","))
 
 
 def _power_integral(p, m):
@@ -174,6 +177,14 @@ def rank_one_spectrum(spark, d):
     return roots.rank_one_spectrum(s, "matrix_id").select("matrix_id", "ordinal", F.round("value", 8).alias("value"))
 
 
+@query("rank_one_equal_diagonal", """WITH n AS (SELECT s_nationkey AS matrix_id, count(*) AS n, sum(power(s_suppkey % 7 + 1, 2)) AS u2 FROM supplier GROUP BY 1)
+ SELECT matrix_id, CAST(k AS BIGINT) AS ordinal, round(CASE WHEN k = n - 1 THEN 2 + 0.7 * u2 ELSE 2 END, 6) AS value FROM n, (SELECT unnest(range(0, 1000)) AS k) WHERE k < n""")
+def rank_one_equal_diagonal(spark, d):
+    """2 I + 0.7 u u^T has all but one eigenvalue 2, and that is 2 + 0.7 |u|^2."""
+    s = table(spark, d, "supplier").select(F.col("s_nationkey").alias("matrix_id"), F.lit(2.0).alias("d"), (F.col("s_suppkey") % 7 + 1.0).alias("u"), F.lit(0.7).alias("alpha"))
+    return roots.rank_one_spectrum(s, "matrix_id").select("matrix_id", "ordinal", F.round("value", 6).alias("value"))
+
+
 @query("finite_form_pipeline")
 def finite_form_pipeline(spark, d):
     """Prime powers to roots for several cutoffs, one form a group."""
@@ -186,13 +197,13 @@ def finite_form_pipeline(spark, d):
     return cuts.groupBy("cutoff").applyInPandas(run, "cutoff long, ordinal long, root double, eigenvalue double")
 
 
-@query("gram_spectrum", "SELECT 64::BIGINT AS n, true AS trace_agrees")
+@query("gram_spectrum", """WITH g AS (SELECT i, j, sum(x[i + 1]::DOUBLE * x[j + 1]::DOUBLE) AS v FROM (SELECT embedding AS x FROM embeddings), (SELECT unnest(range(0, 64)) AS i), (SELECT unnest(range(0, 64)) AS j) GROUP BY i, j)
+ SELECT count(DISTINCT i) AS n, round(sum(CASE WHEN i = j THEN v END), 4) AS trace, round(sum(v * v), 2) AS squares FROM g""")
 def gram_spectrum(spark, d):
-    """The eigenvalues of the Gram matrix add up to the sum of squares."""
+    """The Gram matrix's eigenvalues add up to its trace, and their squares to the squares of its entries."""
     g = linalg.gram(table(spark, d, "embeddings"), "vec_id", "embedding")
-    total = g.filter("i = j").agg(F.sum("v").alias("trace"))
-    w = linalg.eigenvalues(g.withColumn("matrix_id", F.lit(0))).agg(F.count("*").alias("n"), F.sum("value").alias("s"))
-    return w.join(total, F.lit(True)).select("n", (F.abs(F.col("s") - F.col("trace")) <= 1e-6 * F.col("trace")).alias("trace_agrees"))
+    w = linalg.eigenvalues(g.withColumn("matrix_id", F.lit(0)))
+    return w.agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("trace"), F.round(F.sum(F.col("value") * F.col("value")), 2).alias("squares"))
 
 
 @query("stored_vector_chunks", "SELECT CAST(vec_id // 100 AS BIGINT) AS chunk, count(*) AS n, round(sum(list_sum(list_transform(embedding, lambda x: x::DOUBLE))), 4) AS total FROM embeddings GROUP BY 1")

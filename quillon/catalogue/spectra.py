@@ -51,9 +51,10 @@ def power_iteration(spark, d):
     return by_matrix(spark, d, solve, "value double")
 
 
-@query("generalized_spectrum", f"SELECT matrix_id, k - 1 AS ordinal, round(w / 2, 8) AS value FROM {SPECTRUM}")
+@query("generalized_spectrum", f"SELECT matrix_id, k - 1 AS ordinal, round(w / (w + 1), 8) AS value FROM {SPECTRUM}")
 def generalized_spectrum(spark, d):
-    return by_matrix(spark, d, lambda a: [(k, round(float(v), 8)) for k, v in enumerate(linalg.generalized(a, 2 * np.eye(len(a))))], "ordinal long, value double")
+    """A x = w (A + I) x, by Cholesky whitening."""
+    return by_matrix(spark, d, lambda a: [(k, round(float(v), 8)) for k, v in enumerate(linalg.generalized(a, a + np.eye(len(a))))], "ordinal long, value double")
 
 
 @query("exact_inertia", f"SELECT matrix_id, count(*) FILTER (WHERE w > 1.1) AS positive, count(*) FILTER (WHERE w < 1.1) AS negative FROM {SPECTRUM} GROUP BY 1")
@@ -78,13 +79,16 @@ def eigenvalue_count_certificate(spark, d):
     return by_matrix(spark, d, solve, "n long")
 
 
-@query("eigenvector_validation", f"SELECT matrix_id, true AS valid FROM {SPECTRUM} GROUP BY 1")
+@query("eigenvector_validation", f"SELECT matrix_id, k - 1 AS ordinal, CAST(i AS BIGINT) AS i, round(abs(sqrt(2.0 / (n + 1)) * sin(k * (i + 1) * pi() / (n + 1))), 8) AS size, true AS valid FROM {SPECTRUM}, (SELECT unnest(range(0, 12)) AS i) WHERE i < n")
 def eigenvector_validation(spark, d):
+    """Entries of unit eigenvectors (up to their sign), with whether residual and orthogonality hold."""
+
     def solve(a):
         w, v = linalg.jacobi(a)
-        return [(bool(np.abs(a @ v - v * w).max() < 1e-10 and np.abs(v.T @ v - np.eye(len(a))).max() < 1e-10),)]
+        valid = bool(np.abs(a @ v - v * w).max() < 1e-10 and np.abs(v.T @ v - np.eye(len(a))).max() < 1e-10)
+        return [(k, i, round(abs(float(v[i, k])), 8) + 0.0, valid) for k in range(len(a)) for i in range(len(a))]
 
-    return by_matrix(spark, d, solve, "valid boolean")
+    return by_matrix(spark, d, solve, "ordinal long, i long, size double, valid boolean")
 
 
 @query("determinant_by_lu", f"SELECT matrix_id, CAST(max(n) + 1 AS DOUBLE) AS determinant FROM {SPECTRUM} GROUP BY 1")
@@ -98,9 +102,9 @@ def schur_complement(spark, d):
     return by_matrix(spark, d, lambda a: [(round(float(a[-1, -1] - a[-1, :-1] @ np.linalg.solve(a[:-1, :-1], a[:-1, -1])), 8),)], "last double")
 
 
-@query("leading_block_spectra", "SELECT n_nationkey AS matrix_id, k AS dimension, round(2 - 2 * cos(pi() / (k + 1)), 8) AS lowest FROM nation, (SELECT unnest([2, 4]) AS k)")
+@query("leading_block_spectra", "SELECT n_nationkey AS matrix_id, k AS dimension, round(2 - 2 * cos(pi() / (k + 1)), 8) AS lowest FROM nation, (SELECT unnest(range(1, 13))::INT AS k) WHERE k <= 5 + n_nationkey % 8")
 def leading_block_spectra(spark, d):
-    return by_matrix(spark, d, lambda a: [(k, round(float(np.linalg.eigvalsh(a[:k, :k])[0]), 8)) for k in (2, 4)], "dimension int, lowest double")
+    return by_matrix(spark, d, lambda a: [(k, round(float(np.linalg.eigvalsh(a[:k, :k])[0]), 8)) for k in range(1, len(a) + 1)], "dimension int, lowest double")
 
 
 @query("polynomial_root_count", "SELECT n_nationkey AS id, CAST((SELECT count(*) FROM (SELECT unnest(range(1, 6)) AS r) WHERE r <= n_nationkey / 4.0) AS BIGINT) AS roots FROM nation")

@@ -37,11 +37,11 @@ def character_at_power(q: int, p: Column, j: Column) -> Column:
 
 
 def zero_height(n: Column, steps: int = 30) -> Column:
-    """Newton's method on t/(2 pi) (ln(t/(2 pi)) - 1) = n - 7/8 from a fixed start."""
+    """Newton's method on t/(2 pi) (ln(t/(2 pi)) - 1) = n - 7/8 from a fixed start; null for n under 1."""
     two_pi = 2 * F.pi()
     start = two_pi * F.exp(F.lit(1.0)) + two_pi * n
     step = lambda t, _: t - ((t / two_pi) * (F.log(t / two_pi) - 1) - (n - 0.875)) / (F.log(t / two_pi) / two_pi)
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)
+    return F.when(n >= 1, F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step))
 
 
 def horner(coefficients: Column, x: Column) -> Column:

@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+_DIGITS = "[0-9]+"
+#: Fixed value: decimal text is a sign or none, ASCII digits with a point after, before or among them or none, an exponent or none.
+GRAMMAR = rf"[+-]?({_DIGITS}\.?|[0-9]*\.{_DIGITS})([eE][+-]?{_DIGITS})?"
+
+
 def csv_cell(c: Column) -> Column:
     """Quoted if it holds a quote, comma or line break; quotes doubled."""
     return F.when(c.rlike('[",\n\r]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)

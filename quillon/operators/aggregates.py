@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.work import written
+
 
 def pairwise(values: Column) -> Column:
     """Sum of an array by adjacent pairs: the same tree for the same array, so bits never depend on tasks. Empty: 0."""
@@ -22,11 +25,19 @@ def _halved(a: Column) -> Column:
 
 
 def chunked_sum(df: DataFrame, by: list[str], index: str, value: str, chunk: int) -> DataFrame:
-    """Two-phase sum: chunks of consecutive indices in order, then pairwise over chunks. Independent of partitioning."""
+    """Two-phase sum: chunks of consecutive indices in order, then pairwise over chunks. Independent of partitioning.
+
+    A level of the tree is an aggregation of neighbours, so no group of chunks is ever gathered; a group of one chunk is done.
+    """
     leaves = df.withColumn("__c", F.floor(F.col(index) / chunk)).groupBy(*by, "__c").agg(F.array_sort(F.collect_list(F.struct(index, value))).alias("v"))
     leaves = leaves.withColumn("leaf", F.aggregate("v", F.lit(0.0), lambda a, x: a + x[value]))
-    whole = leaves.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("__c", "leaf"))), lambda x: x["leaf"]).alias("leaves"))
-    return whole.withColumn("total", pairwise(F.col("leaves"))).drop("leaves")
+    # Chunks without a value leave no gap in the tree: they are numbered as they come.
+    place = F.row_number().over(W.partitionBy(*by).orderBy("__c")) - 1
+    level = written(leaves.select(*by, place.cast("long").alias("__c"), "leaf"), "chunked-sum")
+    for _ in range(int(level.agg(F.max("__c")).first()[0] or 0).bit_length()):
+        first, last = F.min_by("leaf", "__c"), F.max_by("leaf", "__c")
+        level = level.groupBy(*by, F.floor(F.col("__c") / 2).alias("__c")).agg(F.when(F.count("*") > 1, first + last).otherwise(first).alias("leaf"))
+    return level.select(*by, F.col("leaf").alias("total"))
 
 
 def dot(x: DataFrame, y: DataFrame, index: str, a: str, b: str) -> DataFrame:

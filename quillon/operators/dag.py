@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.work import written
+
 
 def closure(edges: DataFrame, roots: DataFrame, most_depth: int = 64) -> DataFrame:
     """(root, node, depth: least) of all that roots (column root) depend on, themselves included at depth 0.
@@ -27,17 +29,19 @@ def closure(edges: DataFrame, roots: DataFrame, most_depth: int = 64) -> DataFra
 
 
 def chain(spark, view_sql: str, start_sql: str, most: int = 64) -> DataFrame:
-    """(start, node, step) along single successors by a recursive query; a repeated node or too many steps end in an error row.
+    """(start, node, step, problem) along single successors by a recursive query.
 
-    ``view_sql`` selects (node, next), ``start_sql`` selects (start).
+    A node that the chain has met already ends it with a row whose problem is ``cycle``, a step beyond ``most`` (under 100) with
+    one whose problem is ``too deep``; all other rows have none. ``view_sql`` selects (node, next), ``start_sql`` selects (start).
     """
     return spark.sql(f"""
         WITH RECURSIVE s AS ({start_sql}), e AS ({view_sql}),
-        c AS (SELECT start, start AS node, 0 AS step, array(start) AS seen FROM s
+        c AS (SELECT start, start AS node, 0 AS step, array(start) AS seen, CAST(NULL AS STRING) AS problem FROM s
               UNION ALL
-              SELECT c.start, e.next, c.step + 1, array_append(c.seen, e.next) FROM c JOIN e ON c.node = e.node
-              WHERE NOT array_contains(c.seen, e.next) AND c.step < {most})
-        SELECT start, node, step FROM c""")
+              SELECT c.start, e.next, c.step + 1, array_append(c.seen, e.next),
+                     CASE WHEN array_contains(c.seen, e.next) THEN 'cycle' WHEN c.step >= {most} THEN 'too deep' END
+              FROM c JOIN e ON c.node = e.node WHERE c.problem IS NULL)
+        SELECT start, node, step, problem FROM c""")
 
 
 def levels(edges: DataFrame, nodes: DataFrame, most_depth: int = 64) -> DataFrame:
@@ -57,12 +61,8 @@ def levels(edges: DataFrame, nodes: DataFrame, most_depth: int = 64) -> DataFram
 
 
 def _kept(df: DataFrame) -> DataFrame:
-    """Computed now, once: later rounds must not repeat earlier ones. Goes to the checkpoint folder where there is one."""
-    if df.sparkSession.sparkContext.getCheckpointDir():
-        return df.checkpoint()
-    df = df.persist()
-    df.count()
-    return df
+    """Computed now, once: later rounds must not repeat earlier ones."""
+    return written(df, "dag")
 
 
 def divergence(comparisons: DataFrame, edges: DataFrame) -> DataFrame:

@@ -7,18 +7,33 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: ASCII digits only; other digits are no decimals.
-DECIMAL = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+from ..functions.text import GRAMMAR
+
+#: The whole text is a number.
+DECIMAL = f"^({GRAMMAR})$"
 #: Largest integer of the numeric columns.
 LIMIT = 2**63 - 1
 
 
+#: The words that begin a rule of a field policy.
+RULES = ("prefix", "indexed")
+
+
+def policy(text: str) -> list[str]:
+    """Rules of a policy text, one a line; blank lines and lines from # on say nothing. No, equal or unknown rules are errors."""
+    rules = [line for raw in text.splitlines() if (line := raw.split("#")[0].strip())]
+    if not rules:
+        raise ValueError("a policy has a rule")
+    allowed(F.lit(""), rules)
+    return rules
+
+
 def allowed(name: Column, rules: list[str]) -> Column:
     """Field policy: ``prefix:p`` drops names that start with p, ``indexed:p`` those of p and ASCII digits alone."""
     out = F.lit(True)
     for rule in rules:
         kind, _, p = rule.partition(":")
-        if kind not in ("prefix", "indexed") or not p:
+        if kind not in RULES or not p:
             raise ValueError(f"unknown rule {rule!r}")
         hit = F.startswith(name, F.lit(p))
         if kind == "indexed":

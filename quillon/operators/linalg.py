@@ -112,14 +112,15 @@ def jacobi(a: np.ndarray, sweeps: int = 60) -> tuple[np.ndarray, np.ndarray]:
 
 
 def cross_checked(matrices: DataFrame, by: str = "matrix_id", tolerance: float = 1e-9) -> DataFrame:
-    """(matrix, largest difference of the two routes, agrees)."""
+    """(matrix, largest difference of the two routes, ends of the spectrum by rotations, agrees)."""
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         a = _dense(pdf)
-        gap = float(np.abs(np.linalg.eigvalsh(a) - jacobi(a)[0]).max())
-        return pd.DataFrame({by: [key[0]], "gap": [gap], "agrees": [gap <= tolerance * max(1.0, np.abs(a).max())]})
+        own = jacobi(a)[0]
+        gap = float(np.abs(np.linalg.eigvalsh(a) - own).max())
+        return pd.DataFrame({by: [key[0]], "gap": [gap], "lowest": [own[0]], "highest": [own[-1]], "agrees": [gap <= tolerance * max(1.0, np.abs(a).max())]})
 
-    return matrices.groupBy(by).applyInPandas(run, f"{by} {matrices.schema[by].dataType.simpleString()}, gap double, agrees boolean")
+    return matrices.groupBy(by).applyInPandas(run, f"{by} {matrices.schema[by].dataType.simpleString()}, gap double, lowest double, highest double, agrees boolean")
 
 
 def lu_solve(systems: DataFrame, by: str = "matrix_id") -> DataFrame:
@@ -182,3 +183,74 @@ def generalized(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     low = np.linalg.cholesky(b)
     c = np.linalg.solve(low, np.linalg.solve(low, a).T)
     return np.linalg.eigvalsh((c + c.T) / 2)
+
+
+def matrix_free(vector: DataFrame, entry) -> DataFrame:
+    """(i, v) of A x for entries given by a function of two index columns. Every pair is computed, as the operator says; no side is stored."""
+    return vector.select("i").join(vector.select(F.col("i").alias("j"), F.col("v").alias("x"))).groupBy("i").agg(F.sum(entry(F.col("i"), F.col("j")) * F.col("x")).alias("v"))
+
+
+def composite(matrix: DataFrame, vector: DataFrame, sigma: float = 0.0, sign: float = 1.0, rank_one: tuple[float, DataFrame] | None = None) -> DataFrame:
+    """(i, v) of (sign (A - sigma I) + alpha u u^T) x; the rank-one part needs one number, u^T x."""
+    y = apply(matrix, vector).withColumnRenamed("v", "y")
+    out = vector.join(y, "i", "left").select("i", (F.lit(sign) * (F.coalesce("y", F.lit(0.0)) - sigma * F.col("v"))).alias("v"))
+    if rank_one is None:
+        return out
+    alpha, u = rank_one
+    u = u.select("i", F.col("v").alias("u"))
+    dot = u.join(vector, "i").agg(F.sum(F.col("u") * F.col("v")).alias("dot"))
+    return out.join(u, "i", "left").crossJoin(F.broadcast(dot)).select("i", (F.col("v") + alpha * F.coalesce("u", F.lit(0.0)) * F.col("dot")).alias("v"))  # one row
+
+
+def diagonal_apply(diagonal: DataFrame, vector: DataFrame) -> DataFrame:
+    return diagonal.join(vector.select("i", F.col("v").alias("x")), "i").select("i", (F.col("v") * F.col("x")).alias("v"))
+
+
+def chunked(df: DataFrame, index: str, value, size: int) -> DataFrame:
+    """(chunk, entries: values in order) of a vector stored by chunks of at most ``size`` entries."""
+    rows = df.select(F.floor(F.col(index) / size).alias("chunk"), F.struct(F.col(index).alias("i"), value.alias("v")).alias("e"))
+    return rows.groupBy("chunk").agg(F.transform(F.array_sort(F.collect_list("e")), lambda x: x["v"]).alias("entries"))
+
+
+def chunked_multiply(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Entry by entry, chunk by chunk."""
+    return a.join(b.select("chunk", F.col("entries").alias("other")), "chunk").select("chunk", F.zip_with("entries", "other", lambda x, y: x * y).alias("entries"))
+
+
+def batch(matrix: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(task, i, v) of A x for the vectors (task, i, v) of many tasks."""
+    x = vectors.select("task", F.col("i").alias("j"), F.col("v").alias("x"))
+    return matrix.join(x, "j").groupBy("task", "i").agg(F.sum(F.col("v") * F.col("x")).alias("v"))
+
+
+def compare_batches(one: DataFrame, two: DataFrame) -> DataFrame:
+    """(task, rows, different) of two runs: entries that differ in any bit or that one run lacks."""
+    both = one.join(two.select("task", "i", F.col("v").alias("w")), ["task", "i"], "full_outer")
+    return both.groupBy("task").agg(F.count("*").alias("rows"), F.count_if(~F.col("v").eqNullSafe(F.col("w"))).alias("different"))
+
+
+def resumed(rows: DataFrame, done: DataFrame, by: str, build) -> DataFrame:
+    """Blocks of an earlier run and those that ``build`` makes of the rows whose block is not done, with which is which."""
+    fresh = build(rows.join(done.select(by), by, "left_anti"))
+    return done.withColumn("resumed", F.lit(True)).unionByName(fresh.withColumn("resumed", F.lit(False)))
+
+
+def block_contraction(df: DataFrame, by: str, index: str, a: str, b: str, block: int = 512) -> DataFrame:
+    """(by, dot): products in blocks of consecutive rows, each block summed exactly and rounded once, blocks added in order."""
+    import math
+
+    @F.pandas_udf("double")
+    def summed(x: pd.Series) -> float:
+        return math.fsum(x)
+
+    place = F.row_number().over(W.partitionBy(by).orderBy(index)) - 1
+    parts = df.withColumn("__block", F.floor(place / block)).groupBy(by, "__block").agg(summed(F.col(a) * F.col(b)).alias("__sum"))
+    return parts.groupBy(by).agg(F.sum("__sum").alias("dot"))
+
+
+def rayleigh_parts(forms: DataFrame, vector: DataFrame, by: str) -> DataFrame:
+    """(form, quotient) of x^T A_k x / x^T x for forms (form, i, j, v)."""
+    left, right = vector.select("i", F.col("v").alias("x")), vector.select(F.col("i").alias("j"), F.col("v").alias("y"))
+    size = vector.agg(F.sum(F.col("v") * F.col("v")).alias("size"))
+    top = forms.join(left, "i").join(right, "j").groupBy(by).agg(F.sum(F.col("x") * F.col("v") * F.col("y")).alias("top"))
+    return top.crossJoin(F.broadcast(size)).select(by, (F.col("top") / F.col("size")).alias("quotient"))  # one row

@@ -22,7 +22,7 @@ def not_revoked(df: DataFrame, revocations: DataFrame, on: list[str], effective:
     return df.join(revocations.filter(F.col(effective) <= at), on, "left_anti")
 
 
-def against_reference(df: DataFrame, references: DataFrame, on: str, value: str, reference: str) -> DataFrame:
+def against_reference(df: DataFrame, references: DataFrame, on: str | list[str], value: str, reference: str) -> DataFrame:
     """``df`` with matching digits, -log10 of the difference: infinite if equal, null without a reference."""
     gap = F.abs(F.col(value) - F.col(reference))
     return df.join(references, on, "left").withColumn("digits", F.when(gap == 0, F.lit(float("inf"))).otherwise(-F.log10(gap)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Fixed value: bytes of a part that an object is split into.
 PART_BYTES = 94_371_840
 
 

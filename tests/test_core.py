@@ -37,7 +37,7 @@ def test_exact_decimals():
     assert exact.polynomial([Fraction(1), Fraction(0), Fraction(2)], Fraction(3)) == 19
     p = [Fraction(c) for c in (-6, 11, -6, 1)]
     assert exact.root_count(p, 0, 4) == 3 and len(exact.isolate(p, 0, 4)) == 3 and exact.root_count(p, Fraction(3, 2), 2) == 1
-    assert exact.inertia([[2, 1], [1, 2]]) == (2, 0, 0) and exact.inertia([[2, 1], [1, 2]], 2) is None and exact.inertia([[2, 1], [1, 2]], Fraction(3, 2)) == (1, 1, 0)
+    assert exact.inertia([[2, 1], [1, 2]]) == (2, 0, 0) and exact.inertia([[2, 1], [1, 2]], 2) == (1, 1, 0) and exact.inertia([[0, 0, 1], [0, 0, 0], [1, 0, 0]]) == (1, 1, 1) and exact.inertia([[2, 1], [1, 2]], Fraction(3, 2)) == (1, 1, 0)
 
 
 def test_exact_columns(spark):
