@@ -1,3 +1,3 @@
 """Query modules; importing them registers their queries."""
 
-from . import analysis, certificates, lookups, numeric, ordered, solving, sources, spectra  # noqa: F401
+from . import analysis, certificates, lookups, numeric, ordered, solving, sources, spectra, stores  # noqa: F401

@@ -60,11 +60,17 @@ PACKET = T.StructType([
 ])
 
 
-def scan_packets(spark: SparkSession, path: str, rules: list[str] = (), most_bytes: int = 64 << 20) -> tuple[DataFrame, DataFrame]:
-    """(measurements, inventory) of a folder of JSON packets; a file with any bad row gives none, and a reason."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path)
+def scan_packets(spark: SparkSession, path: str, rules: list[str] = (), most_bytes: int = 64 << 20, glob: str = "*.json") -> tuple[DataFrame, DataFrame]:
+    """(measurements, inventory) of a folder of JSON packets; a file with any bad row gives none, and a reason.
+
+    A packet with neither values nor rows is itself a map of retained fields: its fields of text, but the packet's own, are its values.
+    """
+    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
     files = files.select(F.col("_metadata.file_path").alias("path"), "value", F.sha2(F.col("value").cast("binary"), 256).alias("sha256"))
     parsed = files.withColumns({"p": F.from_json("value", PACKET), "big": F.octet_length("value") > most_bytes})
+    own = F.map_filter(F.from_json("value", "map<string,string>"), lambda k, _: ~k.isin(*PACKET.fieldNames()))
+    bare = (F.size(F.coalesce("p.values", F.create_map().cast("map<string,string>"))) == 0) & (F.size(F.coalesce("p.rows", F.array().cast(PACKET["rows"].dataType))) == 0)
+    parsed = parsed.withColumn("p", F.when(bare, F.col("p").withField("values", own)).otherwise(F.col("p")))
     rows = parsed.filter("p.kind IS NOT NULL AND NOT big").select(
         "path", F.col("p.kind").alias("kind"), F.col("p.lambda_squared").alias("C"), F.col("p.n_modes").alias("N"), F.col("p.precision_bits").alias("P"),
         F.explode_outer(F.concat(
