@@ -82,3 +82,10 @@ def energy_distance(rayleigh: Column, ground: Column, floor: Column) -> Column:
     """Bound on the distance of a unit vector to the ground state from its energy; null if the premises fail."""
     t = F.least((rayleigh - ground) / (floor - ground), F.lit(1.0))
     return F.when((floor > ground) & (rayleigh >= ground), F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.sqrt(1 - t))))
+
+
+def prolate_log_deficiency(mode: Column, c: Column) -> Column:
+    """Leading logarithm of 1 - |chi_n| for an even mode n (to 20) and c = lambda^2: log(2 sqrt(pi) 8^n (2 pi)^(n + 1/2) / n!) + (n + 1/2) log c - 4 pi c; null elsewhere."""
+    n = mode.cast("double")
+    size = F.log(2 * F.sqrt(F.pi())) + n * F.log(F.lit(8.0)) + (n + 0.5) * F.log(2 * F.pi()) - F.log(F.factorial(mode.cast("int")).cast("double"))
+    return F.when((mode % 2 == 0) & mode.between(0, 20) & (c >= 1), size + (n + 0.5) * F.log(c) - 4 * F.pi() * c)

@@ -86,3 +86,81 @@ def plan(candidates: DataFrame, by: str, order: str, cost: str, budget: float) -
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in candidates.schema) + ", taken boolean"
     return candidates.groupBy(by).applyInPandas(spend, schema)
+
+
+def planned(nodes: DataFrame, edges: DataFrame, candidates: DataFrame, order: list, budget: float) -> DataFrame:
+    """(node, level, candidate, cost, status) of a derivation plan: nodes in dependency order, each with its best candidate.
+
+    ``candidates`` are (node, candidate, cost, ...). Within a level nodes go by name; one whose cost the rest of the budget does not cover is
+    refused and costs nothing, one that needs a refused or unplannable node is blocked. The budget is spent in order by
+    nature, so a level's chosen costs (a name and a number a node) are one group.
+    """
+    from .selection import best
+
+    placed = _kept(levels(edges, nodes))
+    chosen = best(candidates, ["node"], order).select("node", "candidate", "cost")
+    placed = _kept(placed.join(chosen, "node", "left"))
+    done, left = None, budget
+    for level in range((placed.agg(F.max("level")).first()[0] or 0) + 1):
+        own = placed.filter(F.col("level") == level)
+        if done is not None:
+            bad = edges.join(done.filter("status <> 'planned'").select(F.col("node").alias("dep")), "dep").select("node").distinct().withColumn("__blocked", F.lit(True))
+            own = own.join(bad, "node", "left")
+        else:
+            own = own.withColumn("__blocked", F.lit(None).cast("boolean"))
+
+        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in placed.schema)
+        own = _kept(own.groupBy("level").applyInPandas(_spending(left), f"{kinds}, status string"))
+        left -= own.filter("status = 'planned'").agg(F.sum("cost")).first()[0] or 0
+        done = own if done is None else done.unionByName(own)
+    return done.select("node", "level", "candidate", "cost", "status")
+
+
+def _spending(budget: float):
+    """Statuses of one level's nodes, in order of their names, from what is left of the budget."""
+
+    def spend(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, rest, out = pdf.sort_values("node", kind="stable"), budget, []
+        for cost, blocked in zip(pdf["cost"], pdf["__blocked"].fillna(False).astype(bool), strict=True):
+            if blocked:
+                out.append("blocked")
+            elif cost is None or cost != cost:
+                out.append("no_candidate")
+            elif cost <= rest:
+                out.append("planned")
+                rest -= cost
+            else:
+                out.append("over_budget")
+        return pdf.assign(status=out).drop(columns="__blocked")
+
+    return spend
+
+
+def resolved(roots: DataFrame, edges: DataFrame, known: DataFrame, most_depth: int, most_nodes: int) -> DataFrame:
+    """(root, nodes, depth, outcome) of identities resolved with all they depend on: resolved, or missing, too_deep or too_many."""
+    tree = closure(edges, roots)
+    lost = tree.join(known.select("node"), "node", "left_anti").groupBy("root").agg(F.count("*").alias("missing"))
+    per = tree.groupBy("root").agg(F.count("*").alias("nodes"), F.max("depth").alias("depth")).join(lost, "root", "left")
+    outcome = F.when(F.col("depth") > most_depth, "too_deep").when(F.col("nodes") > most_nodes, "too_many").when(F.col("missing") > 0, "missing").otherwise("resolved")
+    return per.select("root", "nodes", "depth", outcome.alias("outcome"))
+
+
+def protected(candidates: DataFrame, edges: DataFrame, live: DataFrame) -> DataFrame:
+    """``candidates`` (node) with whether anything live (column root) reaches them."""
+    reached = closure(edges, live).select("node").distinct().withColumn("protected", F.lit(True))
+    return candidates.join(reached, "node", "left").withColumn("protected", F.coalesce("protected", F.lit(False)))
+
+
+def invalidated(edges: DataFrame, changed: DataFrame) -> DataFrame:
+    """(node, depth) of all that must be done again after a change of nodes (column node): what depends on them, however far."""
+    back = edges.select(F.col("dep").alias("node"), F.col("node").alias("dep"))
+    return closure(back, changed.select(F.col("node").alias("root"))).groupBy("node").agg(F.min("depth").alias("depth"))
+
+
+def ancestry(roots: DataFrame, edges: DataFrame, recorded: DataFrame, observed: DataFrame) -> DataFrame:
+    """(root, ancestors, wrong): how many ancestors a manifest has, and how many are not what was recorded (node, digest)."""
+    tree = closure(edges, roots).filter("depth > 0")
+    both = recorded.select("node", F.col("digest").alias("w")).join(observed.select("node", F.col("digest").alias("g")), "node", "left")
+    judged = tree.join(both, "node", "left")
+    per = judged.groupBy("root").agg(F.count("*").alias("ancestors"), F.count_if(F.coalesce(F.col("w") != F.col("g"), F.lit(True))).alias("wrong"))
+    return roots.select("root").distinct().join(per, "root", "left").fillna({"ancestors": 0, "wrong": 0})

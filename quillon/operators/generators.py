@@ -88,3 +88,56 @@ def multi_indices(spark: SparkSession, k: int, degree: int) -> DataFrame:
         out = out.select("index", "degree", F.explode(F.sequence(F.lit(0), F.lit(degree))).alias("n")).filter(F.col("degree") + F.col("n") <= degree)
         out = out.select(F.array_append("index", F.col("n")).alias("index"), (F.col("degree") + F.col("n")).alias("degree"))
     return out
+
+
+def log_grid(spark: SparkSession, a: float, b: float, steps: int, scheme: str = "trapezoid") -> DataFrame:
+    """(x, weight) of a rule that is uniform in ln x; weights hold dx = x d ln x, and the end points are exact."""
+    out = grid(spark, float(np.log(a)), float(np.log(b)), steps, scheme)
+    place = F.when(F.col("x") == float(np.log(a)), F.lit(a)).when(F.col("x") == float(np.log(b)), F.lit(b)).otherwise(F.exp("x"))
+    return out.select(place.alias("p"), "weight").select(F.col("p").alias("x"), (F.col("weight") * F.col("p")).alias("weight"))
+
+
+def character_powers(spark: SparkSession, bound: int, q: int) -> DataFrame:
+    """(n, p, j, chi) of prime powers with a real character's value."""
+    from ..functions.numbers import character_at_power
+
+    return prime_powers(spark, bound).withColumn("chi", character_at_power(q, F.col("p"), F.col("j")))
+
+
+def orbit(partitions_: DataFrame, parts: str, k: int) -> DataFrame:
+    """``partitions_`` with each distinct arrangement (column arrangement) of the parts and zeros in k places.
+
+    Places are filled one at a time, each rest once, so no arrangement is made twice.
+    """
+    rest = F.concat(F.col(parts), F.array_repeat(F.lit(0), F.lit(k) - F.size(parts)))
+    out = partitions_.filter(F.size(parts) <= k).withColumns({"__rest": F.array_sort(rest), "arrangement": F.array().cast("array<int>")})
+    for _ in range(k):
+        out = out.withColumn("__next", F.explode(F.array_distinct("__rest")))
+        at = F.array_position("__rest", F.col("__next")).cast("int")
+        out = out.withColumns({
+            "arrangement": F.array_append("arrangement", F.col("__next")),
+            "__rest": F.concat(F.slice("__rest", 1, at - 1), F.slice("__rest", at + 1, F.size("__rest"))),
+        }).drop("__next")
+    return out.drop("__rest")
+
+
+def quadrature_orders(df: DataFrame, modes: str, base: int, bits: str, bucket: int) -> DataFrame:
+    """A row for each mode 0..modes with its order: three a mode and half the bits, at least the base, rounded up to a bucket."""
+    out = df.withColumn("mode", F.explode(F.sequence(F.lit(0).cast("long"), F.col(modes).cast("long"))))
+    order = F.greatest(F.lit(base), 3 * F.col("mode") + F.floor(F.col(bits) / 2))
+    return out.withColumn("order", (F.ceil(order / bucket) * bucket).cast("long"))
+
+
+def basis_profile(points: DataFrame, u: str, coefficients: list[float], period: float = 1.0) -> DataFrame:
+    """``points`` with f(u) = sum of c_j cos(2 pi j u / period), scaled so that f(1) = 1; null where that sum vanishes."""
+    at = lambda x: sum((c * F.cos(2 * F.pi() * j * x / period) for j, c in enumerate(coefficients)), F.lit(0.0))
+    one = at(F.lit(1.0))
+    return points.withColumn("profile", F.when(F.abs(one) > 1e-300, at(F.col(u)) / one))
+
+
+def dirichlet_plan(df: DataFrame, half_width: str, points: str, least: int = 3) -> DataFrame:
+    """``df`` with the plan of a uniform grid that vanishes at both ends: step, scale of the second difference, and why it is refused."""
+    bad = F.array_compact(F.array(F.when(~(F.col(half_width) > 0), F.lit("width")), F.when(F.col(points) < least, F.lit("points"))))
+    step = 2 * F.col(half_width) / (F.col(points) + 1)
+    ok = F.size("problems") == 0
+    return df.withColumn("problems", bad).withColumns({"step": F.when(ok, step), "scale": F.when(ok, 1 / (step * step))})

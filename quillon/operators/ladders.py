@@ -143,3 +143,10 @@ def adjacent_overlap(df: DataFrame, by: list[str], lo: str, hi: str) -> DataFram
 def contiguous(df: DataFrame, by: list[str], start: str, end: str) -> Column:
     """Whether a partition follows the one before it without gap or overlap."""
     return F.coalesce(F.lag(end).over(W.partitionBy(*by).orderBy(start)) == F.col(start), F.lit(True))
+
+
+def exact_crossings(df: DataFrame, by: list[str], order: str, text: str) -> DataFrame:
+    """sign_crossings of decimal text of any length: signs are read from the text, never from a double."""
+    from ..functions.shown import sign
+
+    return sign_crossings(df.withColumn("__sign", sign(text).cast("double")), by, order, "__sign")

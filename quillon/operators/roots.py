@@ -92,3 +92,56 @@ def finite_form(cutoff: int, modes: int) -> tuple[np.ndarray, np.ndarray, float]
     w, v = np.linalg.eigh(a)
     xi = v[:, 0] * np.sign(v[np.abs(v[:, 0]).argmax(), 0])
     return secular_roots(k[1:].astype(float) ** 2, -np.abs(xi[1:]) - 1e-300, float(abs(xi[0]))), xi, float(w[0])
+
+
+def refined(tasks: DataFrame, key: str, f: Callable, slope: Callable, tolerance: float = 1e-13) -> DataFrame:
+    """(key, root, outcome) of brackets (key, lo, hi, parameter): Newton's method within the bracket, a batch of rows at a time.
+
+    ``f`` and ``slope`` take (x, parameter). Rows keep their keys, so their order doesn't matter; a row that fails doesn't stop others.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            got = [newton(lambda x, p=p: f(x, p), lambda x, p=p: slope(x, p), lo, hi, tolerance) for lo, hi, p in zip(pdf["lo"], pdf["hi"], pdf["parameter"], strict=True)]
+            yield pd.DataFrame({key: pdf[key], "root": [g[0] for g in got], "outcome": [g[1] for g in got]})
+
+    return tasks.select(key, "lo", "hi", "parameter").mapInPandas(run, f"{key} {tasks.schema[key].dataType.simpleString()}, root double, outcome string")
+
+
+def between_poles(poles: DataFrame, by: str, pole: str, f: Callable, cells: int = 16, halvings: int = 60) -> DataFrame:
+    """(by, lower, root) of sign changes of f strictly inside the gaps of neighbouring poles; f maps a column to a column over the rows' own.
+
+    Each gap is scanned by so many cells that keep off its ends, so a pole's own change of sign is never taken for a root.
+    """
+    from pyspark.sql import Window as W
+    from pyspark.sql import functions as F
+
+    from ..functions.numbers import bisect
+
+    gaps = poles.withColumn("__next", F.lead(pole).over(W.partitionBy(by).orderBy(pole))).filter(F.col("__next") > F.col(pole))
+    width, margin = F.col("__next") - F.col(pole), 1e-6
+    at = lambda k: F.col(pole) + width * (margin + (1 - 2 * margin) * k / cells)
+    scan = gaps.withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(cells - 1)))).withColumns({"__a": at(F.col("__k")), "__b": at(F.col("__k") + 1)})
+    signed = scan.withColumns({"__fa": F.signum(f(F.col("__a"))), "__fb": F.signum(f(F.col("__b")))}).filter("__fa = 0 OR __fa * __fb < 0")
+    root = F.when(F.col("__fa") == 0, F.col("__a")).otherwise(bisect(f, F.col("__a"), F.col("__b"), halvings))
+    return signed.select(by, F.col(pole).alias("lower"), root.alias("root"))
+
+
+def retried(tasks: DataFrame, attempt: Callable[[DataFrame, int], DataFrame], digits: tuple[int, ...]) -> DataFrame:
+    """Tasks through attempts of growing precision: each attempt (tasks, digits) adds a column accepted, and only what it refused goes on.
+
+    Attempts are written, so none is repeated; the last keeps what it refused, with accepted = false.
+    """
+    from pyspark.sql import functions as F
+
+    from ..sources.work import written
+
+    done, left = None, tasks
+    for k, n in enumerate(digits):
+        got = written(attempt(left, n).withColumn("digits", F.lit(n)), "retried")
+        own = got if k == len(digits) - 1 else got.filter("accepted")
+        done = own if done is None else done.unionByName(own)
+        left = got.filter("NOT accepted").select(*tasks.columns)
+        if left.isEmpty():
+            break
+    return done

@@ -103,10 +103,11 @@ def test_spectra(spark):
 def test_simplex_forms_checks_every_index(spark, monkeypatch):
     from quillon.catalogue import analysis
 
-    assert tuple(analysis.simplex_forms(spark, "").first()) == (1, 0)
+    # The query returns every moment now, each with its gap to the other route.
+    assert [r.gap for r in analysis.simplex_forms(spark, "").collect()] == [0] * 35
     right = analysis.forms.simplex_moments
     monkeypatch.setattr(analysis.forms, "simplex_moments", lambda df: right(df).withColumn("moment", F.when(F.col("degree") == 0, F.col("moment")).otherwise(0.5)))
-    assert tuple(analysis.simplex_forms(spark, "").first()) == (1, 34)
+    assert sum(r.gap > 0 for r in analysis.simplex_forms(spark, "").collect()) == 34
 
 
 def test_store_and_reuse(spark, tmp_path):
@@ -150,3 +151,110 @@ def test_entry_contract(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() > 0
     assert isinstance(pd.DataFrame(), pd.DataFrame)
+
+
+def test_positions_are_dense_whatever_else_a_row_holds(spark):
+    from pyspark.sql import functions as F
+
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        rows = spark.read.parquet("/root/testdata/sf0.1/lineitem.parquet").select("l_extendedprice", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_suppkey")
+        got = ranks.dense_position(rows, "l_extendedprice", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").select("position", "l_quantity")
+        n = rows.count()
+        assert got.agg(F.count_distinct("position"), F.min("position"), F.max("position")).first() == (n, 0, n - 1)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_chains_tell_cycles_and_depth(spark):
+    spark.range(0, 101).selectExpr("id AS node", "id + 1 AS next").createOrReplaceTempView("t_line")
+    got = dag.chain(spark, "SELECT * FROM t_line", "SELECT 0L AS start").collect()
+    assert [r.problem for r in got if r.problem] == ["too deep"] and max(r.step for r in got) == 65
+    spark.range(0, 3).selectExpr("id AS node", "(id + 1) % 3 AS next").createOrReplaceTempView("t_ring")
+    got = dag.chain(spark, "SELECT * FROM t_ring", "SELECT 0L AS start").collect()
+    assert sorted((r.step, r.node, r.problem) for r in got if r.problem) == [(3, 0, "cycle")] and len(got) == 4
+
+
+def test_plans_spend_a_budget_in_dependency_order(spark):
+    nodes = spark.createDataFrame([(n,) for n in "abcdef"], "node string")
+    edges = spark.createDataFrame([("c", "a"), ("d", "b"), ("e", "c"), ("f", "d")], "node string, dep string")
+    candidates = spark.createDataFrame([("a", 1, 9.0), ("a", 2, 3.0), ("b", 1, 50.0), ("c", 1, 4.0), ("d", 1, 1.0), ("f", 1, 1.0)], "node string, candidate int, cost double")
+    got = {r.node: (r.level, r.candidate, r.status) for r in dag.planned(nodes, edges, candidates, [F.col("cost")], 10.0).collect()}
+    assert got == {"a": (0, 2, "planned"), "b": (0, 1, "over_budget"), "c": (1, 1, "planned"), "d": (1, 1, "blocked"), "e": (2, None, "no_candidate"), "f": (2, 1, "blocked")}
+
+
+def test_invalid_hypotheses_are_refused(spark):
+    from quillon.operators import governance
+
+    case = "case_id int, partition string, prediction double, tolerance double"
+    good = spark.createDataFrame([(1, "train", 1.0, 0.1)], case)
+    assert len(governance.freeze(good, ["train"]).first().digest) == 64
+    for bad in ([(1, "train", 1.0, 0.1), (1, "train", 2.0, 0.1)], [(1, "other", 1.0, 0.1)], [(1, "train", None, 0.1)], [(1, "train", 1.0, -1.0)]):
+        with pytest.raises(Exception, match="not a valid case"):
+            governance.freeze(spark.createDataFrame(bad, case), ["train"]).collect()
+
+
+def test_limits_and_memo(spark):
+    import time
+
+    from quillon.plans import capture, limits
+
+    assert limits.limited(spark, lambda token: spark.range(10).count(), 60) == 10
+    with pytest.raises(limits.Cancelled):
+        limits.limited(spark, lambda token: (time.sleep(0.5), token.check()), 0.1)
+    bytes_ = limits.Reservations(100)
+    with bytes_.reserved(80):
+        assert not bytes_.try_reserve(30) and bytes_.try_reserve(20)
+        with pytest.raises(TimeoutError):
+            with bytes_.reserved(10, 0.05):
+                pass
+    with pytest.raises(MemoryError):
+        with bytes_.reserved(101):
+            pass
+    memo, calls = capture.Memo(), []
+    assert [memo.get("k", int, lambda: calls.append(1) or 7) for _ in range(2)] == [7, 7] and len(calls) == 1
+    with pytest.raises(TypeError):
+        memo.get("x", int, lambda: "no")
+
+
+class PluginStore:
+    """A store that a data source reads."""
+
+    def keys(self):
+        return [f"k{n}" for n in range(5)]
+
+    def read(self, key):
+        return key.encode() * 2
+
+
+def test_plugins_and_command_line(spark, tmp_path):
+    import io
+
+    from quillon import __main__ as cli
+    from quillon import plugins
+
+    known = plugins.Registry()
+    known.add(plugins.RealFunction("f", lambda x: x))
+    with pytest.raises(ValueError):
+        known.add(plugins.RealFunction("f", lambda x: x))
+    assert known.names(plugins.RealFunction) == ["f"]
+    with pytest.raises(PermissionError):
+        plugins.Evaluator("e", lambda u: u).column(F.lit(1.0), False)
+    with pytest.raises(Exception, match="finite"):
+        spark.range(3).select(plugins.Evaluator("e", lambda u: u / 0).column(F.col("id").cast("double"), True)).collect()
+    reader = plugins.StoreReader({"factory": f"{PluginStore.__module__}:PluginStore", "partitions": "2"})
+    assert sorted(row for p in reader.partitions() for row in reader.read(p)) == [(f"k{n}", f"k{n}k{n}".encode()) for n in range(5)]
+    (tmp_path / "r.json").write_text(json.dumps({"name": "family_kinds", "input": "/root/testdata/sf0.001"}))
+    out = io.StringIO()
+    assert cli.main(["query", str(tmp_path / "r.json")], spark, out) == 0
+    assert [json.loads(x) for x in out.getvalue().splitlines()] == [r.asDict() for r in spark.read.parquet("/root/testdata/sf0.001/part.parquet").filter("p_type LIKE 'ECO%'").select(F.col("p_type").alias("kind")).distinct().collect()]
+
+
+def test_bare_packets_are_maps_of_retained_fields(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps({"kind": "k", "lambda_squared": "2", "n_modes": "3", "precision_bits": "64", "ground": "1.5", "note": "x"}))
+    measured, _ = index.scan_packets(spark, str(tmp_path))
+    assert [(r.observable, r.value) for r in measured.collect()] == [("ground", "1.5")]
+    for text in ("", "# nothing", "prefix:a\nprefix:a", "other:b"):
+        with pytest.raises(ValueError):
+            index.policy(text)
+    assert index.policy("prefix:a # why\n\nindexed:b") == ["prefix:a", "indexed:b"]
