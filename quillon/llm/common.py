@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +18,36 @@ from ..sources import tables
 __all__ = ["drop_table", "release", "table", "work_dir", "written", "WORD_DELIMS", "words_of", "lower_az"]
 
 #: Rows and bytes of whole texts that a Python worker gets at a time; the default of 10,000 rows would hold very long texts many times over.
-BATCH_ROWS, BATCH_BYTES = 1_000, 32 << 20
+BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
+
+#: What a worker remembers between tasks, by the operator that uses it: how to forget it.
+KEPT: dict[str, list[Callable[[], None]]] = {}
+
+
+def kept_by(owner: str, forget: Callable[[], None]) -> None:
+    """Let ``forget`` be called where a worker that served ``owner`` begins a task of another operator."""
+    KEPT.setdefault(owner, []).append(forget)
+
+
+def trim() -> None:
+    """Give memory that nothing uses back to the system, as an idle worker would keep it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # where there is no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tasks(owner: str, run: Callable) -> Callable:
+    """``run`` for mapInArrow, in workers that hold no other operator's memos meanwhile and no free memory afterwards."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for other, forgets in KEPT.items():
+            if other != owner:
+                for forget in forgets:
+                    forget()
+        yield from run(batches)
+        trim()
+
+    return task
 
 
 def bounded_batches(spark: SparkSession) -> None:

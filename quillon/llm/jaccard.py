@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, release, written
+from .common import drop_table, release, tasks, written
 from .components import components
 from .shingles import mix, shingle_sets
 
@@ -105,7 +105,7 @@ def nodes_of(docs: DataFrame, key: str, text: str) -> DataFrame:
             )
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, node long, n long, bands array<long>")
+    return docs.select(key, text).mapInArrow(tasks("jaccard", run), f"`{key}` {kind}, node long, n long, bands array<long>")
 
 
 def _bits(docs: DataFrame, entries: int = 0) -> int:
@@ -172,7 +172,7 @@ def frequent_shingles(docs: DataFrame, text: str, bits: int) -> tuple[np.ndarray
         hot = total >= FREQUENT
         return pd.DataFrame({"short": (np.int64(key[0]) << 32) + low[new][hot].astype(np.int64), "df": total[hot]})
 
-    hot = docs.select(text).mapInArrow(gather, BLOBS).groupBy("bucket").applyInPandas(count, "short long, df long")
+    hot = docs.select(text).mapInArrow(tasks("jaccard", gather), BLOBS).groupBy("bucket").applyInPandas(count, "short long, df long")
     hot = written(hot, "jaccard-frequent")
     release(docs.sparkSession)
     rows = hot.orderBy(F.desc("df"), "short").limit(FREQUENT_MOST).toArrow()
@@ -218,7 +218,7 @@ def prefix_lists(docs: DataFrame, text: str, frequent: tuple[np.ndarray, np.ndar
         if size:
             yield flush()
 
-    return docs.select(text).mapInArrow(gather, BLOBS)
+    return docs.select(text).mapInArrow(tasks("jaccard", gather), BLOBS)
 
 
 def _may_link(n, place, i, j) -> np.ndarray:
@@ -406,7 +406,7 @@ def sets_of(docs: DataFrame, text: str, pairs: DataFrame) -> DataFrame:
                 nodes.append(node), blobs.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(blobs, pa.binary())], names=["node", "shingles"])
 
-    sets = docs.select(text).mapInArrow(fetch, "node long, shingles binary")
+    sets = docs.select(text).mapInArrow(tasks("jaccard", fetch), "node long, shingles binary")
     if not few:
         sets = sets.join(asked, "node", "left_semi")
     sets = written(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "jaccard-sets")
@@ -422,7 +422,7 @@ def compared(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     selves = hubs.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("member"), F.col("a").alias("node"))
     rows = members.unionByName(selves).join(sets, "node").select("a", "block", "member", "node", "shingles")
     rows = rows.repartition("a", "block").sortWithinPartitions("a", "block", "member")
-    out = written(rows.mapInArrow(_compare, COMPARED), "jaccard-compared")
+    out = written(rows.mapInArrow(tasks("jaccard", _compare), COMPARED), "jaccard-compared")
     release(sets.sparkSession)
     return out
 

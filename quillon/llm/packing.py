@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import kept_by, tasks, written
 
 CAPACITY = 2048
 #: Lengths up to this share of the capacity are small.
@@ -45,6 +45,7 @@ MEMO = 400_000
 # --- Tokens ---------------------------------------------------------------------------------------
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
+kept_by("packing", _TOKENIZERS.clear)
 
 #: White space that str.split() knows beyond the ASCII blanks, or that its notion and the library's differ in.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0  -     　]").search
@@ -146,7 +147,7 @@ def pieces(
 
     kind = df.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long, part long, nth long" + ", ids binary" * with_ids
-    return df.select(key, text).mapInArrow(run, schema)
+    return df.select(key, text).mapInArrow(tasks("packing", run), schema)
 
 
 # --- Plan -----------------------------------------------------------------------------------------
@@ -348,7 +349,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema if f.name in kept) + ", sequence_id long, offset long"
     ranked = items.join(bases, ["part", "length"]).withColumn("rank", F.col("base") + F.col("nth")).select(*kept, "rank")
-    return ranked.mapInArrow(place, schema)
+    return ranked.mapInArrow(tasks("packing", place), schema)
 
 
 def pack_documents(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:

@@ -35,13 +35,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64."""
-    if len(_powers[0]) < n:
-        for k, b in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            p = np.full(n, b, np.uint64)
-            p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
-    return _powers[0], _powers[1]
+    """Powers of the base and of its inverse modulo 2**64; those for very long texts are not kept."""
+    if len(_powers[0]) >= n:
+        return _powers[0], _powers[1]
+    made = []
+    for b in (_BASE, pow(_BASE, -1, 1 << 64)):
+        p = np.full(n, b, np.uint64)
+        p[0] = 1
+        made.append(np.multiply.accumulate(p, out=p))
+    if n <= 2 * CHUNK:
+        _powers[:] = made
+    return made[0], made[1]
 
 
 def chunks(texts: list[bytes]):

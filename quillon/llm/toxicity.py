@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import words_of, written
+from .common import tasks, words_of, written
 
 MAX_TOXIC, MAX_CLEAN = 4_000, 16_000
 #: Terms in the lexicon at most, the likeliest first.
@@ -294,7 +294,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     sample = sample.withColumn("__least", F.coalesce("__least", F.xxhash64(F.array_join("__w", " "))))
     sample = sample.groupBy("__least", "toxic").agg(F.max(F.struct(key, text)).alias("row")).select(f"row.{text}", "toxic")
     sample = written(sample, "toxicity-sample")
-    counts = sample.mapInArrow(_term_counts, "term string, stem boolean, pos long, neg long")
+    counts = sample.mapInArrow(tasks("toxicity", _term_counts), "term string, stem boolean, pos long, neg long")
     counts = written(counts.groupBy("term", "stem").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), "toxicity-terms")
     sizes = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
     n_pos, n_neg = sizes.get(True, 0), sizes.get(False, 0)
@@ -320,7 +320,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.string())], names=["term"])
 
     clean = counts.filter("NOT stem AND neg > 0").filter(odds < 1).select("term")
-    exceptions = frozenset(r[0] for r in clean.mapInArrow(alike, "term string").collect())  # words of the sample, so bounded
+    exceptions = frozenset(r[0] for r in clean.mapInArrow(tasks("toxicity", alike), "term string").collect())  # words of the sample, so bounded
     model = Model(lexicon, exceptions, None, n_pos / (n_pos + n_neg))
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,7 +330,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), b.column(1)], names=["x", "toxic"])
 
     # Equal rows count once with their number; most clean documents have no hit at all.
-    rows = sample.mapInArrow(featured, "x array<double>, toxic boolean").groupBy("x", "toxic").count().collect()
+    rows = sample.mapInArrow(tasks("toxicity", featured), "x array<double>, toxic boolean").groupBy("x", "toxic").count().collect()
     x = np.repeat(np.array([r["x"] for r in rows]), [r["count"] for r in rows], axis=0)
     y = np.repeat(np.array([float(r["toxic"]) for r in rows]), [r["count"] for r in rows])
     order = np.lexsort((y, *x.T))
@@ -347,7 +347,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([scorer.score(t.as_py() or "") for t in b.column(1)], pa.float64())], names=[key, "score"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, score double")
+    return docs.select(key, text).mapInArrow(tasks("toxicity", run), f"`{key}` {docs.schema[key].dataType.simpleString()}, score double")
 
 
 def keep_clean(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -360,4 +360,4 @@ def keep_clean(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for b in batches:
             yield b.filter(pa.array([scorer.score(t.as_py() or "") < 0.5 for t in b.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tasks("toxicity", run), docs.schema)
