@@ -129,7 +129,7 @@ def dependency_tree(spark, d):
     return found(spark, d)[2]
 
 
-@query("nearest_copy", "WITH c AS (SELECT l_orderkey AS q, ['bundle', 'workspace', 'local', 'remote'][l_linenumber % 4 + 1] AS source, l_linenumber % 4 AS rank, l_partkey AS artifact, l_quantity >= 20 AS ok FROM lineitem), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY rank, artifact) AS p FROM c), f AS (SELECT q, min(p) FILTER (WHERE ok) AS p FROM r GROUP BY 1) SELECT f.q AS query, r.source, r.artifact, f.p - 1 AS refused, NULL::VARCHAR AS problem FROM f JOIN r ON r.q = f.q AND r.p = f.p UNION ALL SELECT f.q, NULL, NULL, count(*), 'not_found' FROM f JOIN r ON r.q = f.q WHERE f.p IS NULL GROUP BY f.q")
+@query("nearest_copy", "WITH c AS (SELECT l_orderkey AS q, ['bundle', 'workspace', 'local', 'remote'][l_linenumber % 4 + 1] AS source, l_linenumber % 4 AS rank, l_partkey AS artifact, l_quantity >= 20 AS ok FROM lineitem), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY rank, artifact, ok DESC) AS p FROM c), f AS (SELECT q, min(p) FILTER (WHERE ok) AS p FROM r GROUP BY 1) SELECT f.q AS query, r.source, r.artifact, f.p - 1 AS refused, NULL::VARCHAR AS problem FROM f JOIN r ON r.q = f.q AND r.p = f.p UNION ALL SELECT f.q, NULL, NULL, count(*), 'not_found' FROM f JOIN r ON r.q = f.q WHERE f.p IS NULL GROUP BY f.q")
 def nearest_copy(spark, d):
     copies = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("semantic"), F.element_at(F.array(*map(F.lit, governance.SOURCES)), (F.col("l_linenumber") % 4 + 1).cast("int")).alias("source"), F.col("l_partkey").alias("artifact"), "l_quantity")
     queries = copies.select("semantic").distinct().withColumn("query", F.col("semantic"))

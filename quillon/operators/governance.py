@@ -122,10 +122,13 @@ SOURCES = ["bundle", "workspace", "local", "remote"]
 
 
 def resolve(queries: DataFrame, copies: DataFrame, accepted: Column) -> DataFrame:
-    """Queries (query, semantic) with the nearest acceptable copy (semantic, source, artifact, ...), or with a problem and how many were refused."""
+    """Queries (query, semantic) with the nearest acceptable copy (semantic, source, artifact, ...), or with a problem and how many were refused.
+
+    Of copies of one artifact in one source the acceptable ones come first.
+    """
     rank = F.array_position(F.array(*map(F.lit, SOURCES)), F.col("source"))
     both = queries.join(copies, "semantic")
-    chosen, refused = lookup.overlay(both, ["query"], [rank, F.col("artifact")], accepted & (rank > 0))
+    chosen, refused = lookup.overlay(both, ["query"], [rank, F.col("artifact"), ~accepted], accepted & (rank > 0))
     n = refused.groupBy("query").agg(F.count("*").alias("refused"))
     out = queries.join(chosen.select("query", "source", "artifact"), "query", "left").join(n, "query", "left")
     return out.select("query", "source", "artifact", F.coalesce("refused", F.lit(0)).alias("refused"), F.when(F.col("artifact").isNull(), "not_found").alias("problem"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .work import written
+
 #: Fixed value: bytes of a part that an object is split into.
 PART_BYTES = 94_371_840
 
@@ -15,8 +17,7 @@ def put(spark: SparkSession, root: str, objects: DataFrame, key: str, payload: s
     named = data.select("key", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").cast("long").alias("bytes"), "payload")
     have = _objects(spark, root).select("digest", F.lit(True).alias("have"))
     marked = named.join(have, "digest", "left")
-    out = marked.select("key", "digest", "bytes", F.col("have").isNull().alias("fresh")).persist()
-    out.count()
+    out = written(marked.select("key", "digest", "bytes", F.col("have").isNull().alias("fresh")), "store-put")  # before the store changes
     marked.filter("have IS NULL").dropDuplicates(["digest"]).select("digest", "bytes", "payload", F.substring("digest", 1, 2).alias("prefix")).write.mode("append").partitionBy("prefix").parquet(f"{root}/objects")
     return out
 
