@@ -85,6 +85,10 @@ SEGMENT = (
 )
 
 
+#: What a revisit claims of the response it names.
+CLAIM = ["page_id", "payload_bytes", "payload_digest"]
+
+
 def _segments(spark: SparkSession, path: str) -> DataFrame:
     """What stands between magic lines, with the split it was read in; in the files' order within a split."""
     return (
@@ -198,7 +202,11 @@ def reachable(nodes: DataFrame, rounds: int) -> DataFrame:
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each record on the chains: page_id, type, refers_to, payload_bytes, payload_digest, verified."""
+    """One row for each record on the chains: page_id, type, refers_to, payload_bytes, payload_digest, verified.
+
+    Verified are responses whose payload has the digest they declare, and revisits that name a verified response of their
+    bytes and digest.
+    """
     cut = written(_segments(spark, path).mapInArrow(_candidates, SEGMENT), "warc-candidates")
     blocks = cut.groupBy("file", "block").agg(F.sum(F.col("bytes") + len(MAGIC)).alias("total"))
     before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
@@ -216,22 +224,35 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
         mended = _assembled(spark, path, placed.select("file", "block", "rel", "off"), true)
         true = true.join(mended, ["file", "off"], "left").withColumn("digest", F.coalesce("digest", "whole")).drop("whole")
     revisit = F.col("type") == "revisit"
-    return true.select(
+    out = true.select(
         "page_id", F.col("type").alias("record_type"), F.when(revisit, F.col("refers_to")).alias("refers_to"),
         F.when(revisit, F.col("declared_bytes")).otherwise(F.col("body")).alias("payload_bytes"),
         F.when(revisit, F.col("declared")).otherwise(F.col("digest")).alias("payload_digest"),
         (revisit | (F.col("digest") == F.col("declared"))).alias("verified"),
     )
+    # What revisits claim, once for each response: a response that many revisit is one row here.
+    named = [F.col(c).alias(f"__{c}") for c in CLAIM]
+    claims = out.filter("refers_to IS NOT NULL").select(F.col("refers_to").alias("__page_id"), *named[1:]).distinct()
+    false = written(claims.join(out.filter("record_type = 'response' AND verified").select(*named), [f"__{c}" for c in CLAIM], "left_anti"), "warc-false")
+    if not false.isEmpty():
+        wrong = false.withColumn("__wrong", F.lit(True))
+        same = (F.col("refers_to") == F.col("__page_id")) & (F.col("payload_bytes") == F.col("__payload_bytes")) & (F.col("payload_digest") == F.col("__payload_digest"))
+        out = out.join(wrong, same, "left").withColumn("verified", F.col("verified") & F.col("__wrong").isNull())
+        out = out.drop("__wrong", *(f"__{c}" for c in CLAIM))
+    return out
 
 
 def _assembled(spark: SparkSession, path: str, placed: DataFrame, true: DataFrame) -> DataFrame:
     """(file, off, whole: digest) of the true records that lie in several segments."""
-    starts = true.select("file", "off", F.col("off").alias("own"), F.col("digest").isNull().alias("split"))
-    order = W.partitionBy("file").orderBy("off").rowsBetween(W.unboundedPreceding, 0)
+    starts = true.select("file", "off", F.struct("off", F.col("digest").isNull().alias("split")).alias("own"))
+    marked = placed.filter("off >= 0").join(starts, ["file", "off"], "left")
+    # The last true record that begins before a split: the window over a file has a row for each of its splits.
+    before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    carried = marked.groupBy("file", "block").agg(F.max("own").alias("own")).select("file", "block", F.max("own").over(before).alias("carried"))
+    order = W.partitionBy("file", "block").orderBy("off").rowsBetween(W.unboundedPreceding, 0)
     owned = (
-        placed.filter("off >= 0").join(starts, ["file", "off"], "left")
-        .withColumns({"owner": F.last("own", True).over(order), "part": F.last("split", True).over(order)})
-        .filter("part").select("file", "block", "rel", "off", "owner")
+        marked.join(carried, ["file", "block"]).withColumn("owner", F.coalesce(F.last("own", True).over(order), "carried"))
+        .filter("owner.split").select("file", "block", "rel", "off", F.col("owner.off").alias("owner"))
     )
 
     def located(batches):

@@ -343,6 +343,25 @@ def test_warc_keeps_records_around_a_long_url(spark):
     assert sorted((r.page_id, r.payload_bytes, r.verified) for r in got) == [(k, 6, True) for k in range(5)]
 
 
+def test_warc_revisits_must_match_what_they_name(spark, tmp_path):
+    a, b = warc.base32_of(b"a"), warc.base32_of(b"b")
+
+    def record(page, declared, body, size=1, named=None):
+        more = "" if named is None else f"\r\nX-Refers-To-Page: {named}"
+        return (
+            f"WARC/1.1\r\nWARC-Type: {'response' if named is None else 'revisit'}\r\nWARC-Payload-Digest: sha1:{declared}\r\nX-Payload-Length: {size}"
+            f"\r\nX-Page-Id: {page}{more}\r\nContent-Length: {len(body)}\r\n\r\n{body}\r\n\r\n"
+        )
+
+    rows = [
+        record(1, a, "a"), record(2, a, "", named=1), record(3, b, "", named=1), record(4, a, "", size=2, named=1),
+        record(5, a, "", named=9), record(6, a, "b"), record(7, a, "", named=6), record(8, a, "", named=2), record(9, b, "b"), record(10, b, "", named=9),
+    ]
+    (tmp_path / "x.warc").write_bytes("".join(rows).encode())
+    got = warc.read_archive(spark, str(tmp_path)).collect()
+    assert {r.page_id: r.verified for r in got} == {1: True, 2: True, 3: False, 4: False, 5: False, 6: False, 7: False, 8: False, 9: True, 10: True}
+
+
 def test_chat_round_trip(spark):
     r = random.Random(2)
     bits = ["\\", "<", "#", "### ", "</turn>", "\n", "User: ", "### User: ", "a", " ", "\\<", "\\\\", ": "]
