@@ -317,6 +317,53 @@ def polygamma(spark, d):
     return out.select("id", F.round("d.re", 9).alias("digamma"), F.round("t.re", 9).alias("trigamma"), F.round("l.im", 9).alias("on_line"), F.col("p.re").isNull().alias("pole"))
 
 
+@query("screw_function", """WITH n AS (SELECT unnest(range(2, 151)) AS n), c AS (SELECT DISTINCT a.n * b.n AS n FROM n a JOIN n b ON a.n <= 12 AND b.n >= a.n AND a.n * b.n <= 150), p AS (SELECT n AS p FROM n ANTI JOIN c USING (n)),
+ pp AS (SELECT round(power(p, j)) AS n, p FROM p, (SELECT unnest(range(1, 8)) AS j) WHERE round(power(p, j)) <= 150), t AS (SELECT DISTINCT abs(c_custkey % 161 - 80) / 16.0::DOUBLE AS t FROM customer),
+ v AS (SELECT t, -4 * (exp(t / 2) + exp(-t / 2) - 2) + t / 2 * (pi() / 2 + 0.5772156649015329 + 3 * ln(2) + ln(pi())) + ((SELECT sum(exp(-t / 2 - 2 * k * t) / power(k + 0.25, 2)) FROM (SELECT unnest(range(0, 500)) AS k)) - power(pi(), 2) - 8 * 0.915965594177219) / 4
+ + coalesce((SELECT sum(ln(p) / sqrt(n) * (t - ln(n))) FROM pp WHERE ln(n) <= t), 0) AS g FROM t WHERE t > 0)
+ SELECT c_custkey AS id, CASE WHEN c_custkey % 161 = 80 THEN 0 ELSE round(g, 8) END AS g FROM customer LEFT JOIN v ON t = abs(c_custkey % 161 - 80) / 16.0""")
+def screw_function(spark, d):
+    """At 161 points of [-5, 5]; the SQL sums the slow series at all of them."""
+    points = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), ((F.col("c_custkey") % 161 - 80) / 16.0).alias("t"))
+    return transforms.screw(points, "id", "t", 5.0).select("id", F.round("g", 8).alias("g"))
+
+
+@query("window_census", "SELECT n_nationkey AS id, CASE WHEN n_nationkey % 7 < 6 THEN CAST(n_nationkey % 5 + 1 AS INT) END AS roots, CAST(n_nationkey % 5 + 2 + (n_nationkey % 7) // 6 AS INT) AS degree, CAST(n_nationkey % 3 AS INT) AS at_lower, CAST(n_nationkey % 2 AS INT) AS at_upper, CASE WHEN n_nationkey % 4 > 0 THEN '2:' || n_nationkey % 4 ELSE '' END AS at_poles, CASE WHEN n_nationkey % 7 = 6 THEN 'multiple_root' ELSE 'counted' END AS status FROM nation")
+def window_census(spark, d):
+    """Roots at 1/2, 3/2, ... in (0, 5), besides some at its ends, at the pole 2 and outside; 1/2 is a repeated one for some."""
+
+    def count(k):
+        roots = [Fraction(2 * j + 1, 2) for j in range(k % 5 + 1)] + [0] * (k % 3) + [5] * (k % 2) + [2] * (k % 4) + [-k - 1] + [Fraction(1, 2)] * (k % 7 // 6)
+        p = [Fraction(1)]
+        for r in roots:
+            p = [(p[j - 1] if j else 0) - (r * p[j] if j < len(p) else 0) for j in range(len(p) + 1)]
+        return certified.census(p, 0, 5, [1, 2, 3, 4, 7])
+
+    return by_nation(spark, d, lambda k: count(int(k)), "struct<roots:int,degree:int,at_lower:int,at_upper:int,at_poles:string,status:string>")
+
+
+@query("sector_gap", """WITH v AS (SELECT n_nationkey AS id, CASE WHEN n_nationkey % 3 = 2 THEN 8 ELSE 1 END AS m, n_nationkey % 5 - 2 AS c FROM nation), e AS (SELECT *, least(m, 5 + c) AS a, least(greatest(m, 5 + c), 9.5) AS b, 5 - c AS o FROM v)
+ SELECT id, CASE WHEN id % 11 = 10 THEN 'not_symmetric' WHEN id % 7 = 6 THEN 'even_ground' WHEN a = o THEN 'unordered' ELSE 'replayed' END AS status, CASE WHEN id % 11 < 10 AND id % 7 < 6 AND a <> o THEN CASE WHEN a < o THEN 'even' ELSE 'odd' END END AS parity,
+ CASE WHEN id % 11 < 10 AND id % 7 < 6 AND a < o THEN CAST(least(b, o) - a - 0.5 AS DOUBLE) END AS gap FROM e""")
+def sector_gap(spark, d):
+    """Order five: even values m, 5 + c and 19/2, odd ones 5 - c and 17/2, in boxes of width 1/2; some claims are wrong, some matrices not symmetric."""
+
+    def replay(k):
+        m, c = (8 if k % 3 == 2 else 1), k % 5 - 2
+        a = [[Fraction(0)] * 5 for _ in range(5)]
+        for i, v in enumerate((9, 5, m, 5, 9)):
+            a[i][i] = Fraction(v)
+        a[0][4] = a[4][0] = Fraction(1, 2)
+        a[1][3] = a[3][1] = Fraction(c)
+        a[0][1] += k % 11 == 10
+        first, second = sorted((m, 5 + c))
+        box = lambda x: (Fraction(4 * x - 1, 4), Fraction(4 * x + 1, 4))
+        return certified.sector_gap(a, box(first + (k % 7 == 6)), box(second), box(5 - c))
+
+    out = by_nation(spark, d, lambda k: replay(int(k)), "struct<status:string,parity:string,gap:string>")
+    return out.withColumn("gap", as_double(F.col("gap")))
+
+
 # --- Numbers as text
 
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.analytic import screw_smooth_at
 from ..functions.numbers import omega
-from .generators import gauss_legendre
+from .generators import gauss_legendre, prime_powers
 
 
 def truncated(points: DataFrame, key: str, sigma: str, tau: str, limit: float, nodes: int = 64) -> DataFrame:
@@ -32,6 +36,28 @@ def _summed(points: DataFrame, key: str, sigma: str, tau: str, rule: DataFrame)
     return both.select(key, total(F.cos).alias("re"), total(F.sin).alias("im"))
 
 
+def screw(points: DataFrame, key: str, t: str, support: float, digits: int = 20) -> DataFrame:
+    """(key, g) of the screw function, even in t: its smooth part and the sum of ln p / sqrt n (|t| - ln n) over prime powers n = p^j <= e^|t|.
+
+    Prime powers are dealt out by the whole part of ln n. A point takes the sums of the bins before its own, a row for each
+    unit of the support, and meets only the powers of its own bin. Points that are null, not finite or beyond the support give null.
+    """
+    spark = points.sparkSession
+    size = F.abs(F.col(t).cast("double"))
+    log = F.log(F.col("n").cast("double"))
+    powers = prime_powers(spark, math.ceil(math.exp(support))).select(log.alias("ln"), (F.log(F.col("p").cast("double")) / F.sqrt(F.col("n").cast("double"))).alias("w"))
+    powers = powers.withColumn("bin", F.floor("ln"))
+    bins = spark.range(math.floor(support) + 1).withColumnRenamed("id", "bin").join(powers.groupBy("bin").agg(F.sum("w").alias("s"), F.sum(F.col("w") * F.col("ln")).alias("m")), "bin", "left")
+    before = W.orderBy("bin").rowsBetween(W.unboundedPreceding, -1)  # over units of the support
+    bins = bins.select("bin", F.coalesce(F.sum("s").over(before), F.lit(0.0)).alias("s"), F.coalesce(F.sum("m").over(before), F.lit(0.0)).alias("m"))
+    asked = points.select(size.alias("a")).filter(F.col("a") <= support).distinct().withColumn("bin", F.floor("a"))
+    own = asked.join(powers, "bin").filter("ln <= a").groupBy("a").agg(F.sum(F.col("w") * (F.col("a") - F.col("ln"))).alias("own"))
+    smooth = screw_smooth_at(F.col("a"), F.lit(digits)).cast("double")
+    value = smooth + F.col("a") * F.col("s") - F.col("m") + F.coalesce("own", F.lit(0.0))
+    found = asked.join(bins, "bin").join(own, "a", "left").select(F.col("a").alias("__a"), value.alias("g"))
+    return points.select(key, size.alias("__a")).join(found, "__a", "left").select(key, "g")
+
+
 def crossings(df: DataFrame, by: list[str], f, lo: float, hi: float, steps: int, halvings: int = 50) -> DataFrame:
     """(by, root) of sign changes of f on a uniform scan of [lo, hi], refined by halving; f maps a column to a column over df's own.
 

@@ -1,6 +1,8 @@
 """The engine's own operators: edge rows that SQL comparison does not reach."""
 
 import json
+import math
+from decimal import Decimal
 from fractions import Fraction
 
 import numpy as np
@@ -258,3 +260,45 @@ def test_bare_packets_are_maps_of_retained_fields(spark, tmp_path):
         with pytest.raises(ValueError):
             index.policy(text)
     assert index.policy("prefix:a # why\n\nindexed:b") == ["prefix:a", "indexed:b"]
+
+
+def test_screw_function(spark):
+    from quillon.functions import analytic
+    from quillon.operators import transforms
+
+    assert str(analytic.euler(30)).startswith("0.577215664901532860606512090082")
+    assert str(analytic.catalan(30)).startswith("0.915965594177219015054603514932")
+    near = [analytic.screw_smooth(Decimal(t), 30) for t in ("0.5", "0.5000000000000000000000000001")]  # quadrature, series
+    assert abs(near[0] - near[1]) < Decimal("1e-27") and analytic.screw_smooth(Decimal(0), 30) == 0
+    points = [(1, 1.5), (2, -1.5), (3, 0.0), (4, None), (5, float("nan")), (6, 2.5), (7, 1.5), (8, 1e-9)]
+    got = {r.k: r.g for r in transforms.screw(spark.createDataFrame(points, "k int, t double"), "k", "t", 2.0).collect()}
+    prime = lambda t: sum(math.log(p) / math.sqrt(n) * (t - math.log(n)) for n, p in ((2, 2), (3, 3), (4, 2), (5, 5), (7, 7)) if math.log(n) <= t)
+    assert abs(got[1] - (float(analytic.screw_smooth(Decimal("1.5"), 20)) + prime(1.5))) < 1e-12
+    assert got[1] == got[2] == got[7] and got[3] == 0 and got[4] is None and got[5] is None and got[6] is None
+    assert got[8] < 0 and abs(got[8]) < 1e-7
+
+
+def test_census_and_sector_gap():
+    from quillon.functions import certified
+
+    assert certified.census([0, 0], 0, 1, []) == (None, None, 0, 0, "", "refused") and certified.census([1, 1], 1, 1, [])[-1] == "refused"
+    assert certified.census([0, 0, -1, 1], 0, 1, []) == (0, 0, 2, 1, "", "counted")  # x^2 (x - 1)
+    assert certified.census([-2, 0, 1], -2, 2, [0, 9]) == (2, 2, 0, 0, "", "counted")
+    assert certified.census([4, 0, -4, 0, 1], 0, 2, [])[-1] == "multiple_root"  # (x^2 - 2)^2
+    r = np.random.default_rng(3)
+    for n in (1, 2, 3) * 5:
+        m = r.integers(-9, 9, (2 * n + 1, 2 * n + 1))
+        m = m + m.T
+        m = m + m[::-1, ::-1]
+        values, vectors = np.linalg.eigh(m.astype(float))
+        if np.diff(values).min() < 1e-3:
+            continue
+        even = values[np.abs(vectors - vectors[::-1]).max(0) < 1e-6]
+        odd = values[np.abs(vectors + vectors[::-1]).max(0) < 1e-6]
+        box = lambda x: (Fraction(x - 1e-6), Fraction(x + 1e-6))
+        status, parity, gap = certified.sector_gap(m.tolist(), box(even[0]), box(even[1]), box(odd[0]))
+        assert (status, parity) == ("replayed", "even" if even[0] < odd[0] else "odd")
+        assert (gap is None) == (parity == "odd") and (gap is None or abs(float(Fraction(gap)) - (min(even[1], odd[0]) - even[0])) < 1e-5)
+        assert certified.sector_gap(m.tolist(), box(even[1]), box(even[1]), box(odd[0]))[0] == "even_ground"
+    assert certified.sector_gap([[1, 2], [2, 1]], (0, 1), (0, 1), (0, 1))[0] == "refused"
+    assert certified.sector_gap([[1, 0, 0], [0, 1, 0], [0, 0, 2]], (0, 1), (0, 1), (0, 1))[0] == "not_symmetric"
