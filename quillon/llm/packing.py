@@ -17,11 +17,13 @@ passed on, so no names can clash.
 from __future__ import annotations
 
 import gc
+import json
 import re
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +39,10 @@ CAPACITY = 2048
 SMALL = 1 / 16
 #: Groups of equal cardinality that large lengths are rounded in.
 GROUPS = 64
-#: Columns that the program may generate; more would only shave off parts of a sequence.
-COLUMNS = 600
+#: The program ends at its optimum, or where a bound (Farley's) proves that less than this share of its sequences, or than one, could be saved.
+GAP = 1e-5
+#: Rows of a plan (40 bytes each) that are broadcast at a time.
+PLAN_ROWS = 250_000
 #: Runs of text that a tokenizer's memo holds before it starts anew.
 MEMO = 400_000
 
@@ -55,6 +59,14 @@ _LETTER, _NUMBER, _SPACE = "a-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ſ", "0-9\xb2\
 _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+").findall
 
 
+#: How the tokenizer files that _PIECES stands for declare what they do before the merges.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]}
+
+
 def byte_characters() -> list[str]:
     """The printable stand-ins of bytes in byte-level vocabularies: themselves if visible, else from U+0100 on."""
     visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -72,6 +84,10 @@ class WordTokenizer:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        if (told["normalizer"], told["pre_tokenizer"]) != (NORMALIZER, SPLIT):
+            raise ValueError(f"{path} splits texts in another way than words in lower case")
         self.full = Tokenizer.from_file(path)
         self.model = self.full.model
         self.shown = byte_characters()
@@ -153,20 +169,29 @@ def pieces(
 # --- Plan -----------------------------------------------------------------------------------------
 
 
-def configurations(sizes: list[int], counts: list[int], capacity: int) -> list[tuple[list[int], int]]:
-    """[(how many of each size, how often)] from the fractional optimum rounded down; sizes are few and distinct."""
+def configurations(sizes: list[int], counts: list[int], capacity: int) -> tuple[list[tuple[list[int], int]], float]:
+    """([(how many of each size, how often)] from the fractional optimum rounded down, proven gap in sequences); sizes are few and distinct.
+
+    Columns are generated for as long as one improves the program. With z its value and v the worth of the best column, no solution
+    is below z / v, so the gap is z - z / v: 0 at the optimum.
+    """
     m = len(sizes)
     need = np.array(counts, float)
+    eased = need * (1 + 1e-9 * np.arange(1, m + 1))  # no two ratios are equal, so no step leaves the value as it was
     basis = np.diag([float(capacity // s) for s in sizes])
     inverse = np.diag(1 / np.diag(basis))
-    for step in range(COLUMNS):
-        if step % 100 == 99:
+    step = 0
+    while True:
+        step += 1
+        if step % 100 == 0:
             inverse = np.linalg.inv(basis)  # against rounding
         worth = inverse.sum(0)
         column = _best_column(sizes, worth, capacity)
-        if column @ worth <= 1 + 1e-9:
+        best, value = float(column @ worth), float(worth @ eased)
+        gap = max(0.0, value - value / best) if best > 1 else 0.0
+        if best <= 1 + 1e-9 or gap < max(1.0, GAP * value):
             break
-        x, move = inverse @ need, inverse @ column
+        x, move = inverse @ eased, inverse @ column
         ratio = np.where(move > 1e-9, np.maximum(x, 0) / np.where(move > 1e-9, move, 1), np.inf)
         out = int(ratio.argmin())
         basis[:, out] = column
@@ -174,7 +199,7 @@ def configurations(sizes: list[int], counts: list[int], capacity: int) -> list[t
         inverse = inverse - np.outer(move, pivot)
         inverse[out] = pivot
     x = np.linalg.solve(basis, need)
-    return [([int(a) for a in basis[:, k]], int(v + 1e-6)) for k, v in enumerate(x) if v >= 1 - 1e-6]
+    return [([int(a) for a in basis[:, k]], int(v + 1e-6)) for k, v in enumerate(x) if v >= 1 - 1e-6], gap
 
 
 def _best_column(sizes: list[int], worth: np.ndarray, capacity: int) -> np.ndarray:
@@ -205,7 +230,10 @@ def _best_column(sizes: list[int], worth: np.ndarray, capacity: int) -> np.ndarr
 
 
 class Plan:
-    """Rows (length, from rank, to rank, first sequence, offset) that place every piece of a histogram."""
+    """Rows (length, from rank, to rank, first sequence, offset) that place every piece of a histogram.
+
+    ``gap`` is how many sequences the linear program may lie above its optimum.
+    """
 
     def __init__(self, histogram: dict[int, int], capacity: int = CAPACITY, small: float = SMALL, groups: int = GROUPS) -> None:
         self.capacity = capacity
@@ -213,6 +241,7 @@ class Plan:
         self.rank: dict[int, int] = defaultdict(int)
         self.rows: list[tuple[int, int, int, int, int]] = []
         self.sequences = 0
+        self.gap = 0.0
         self.open: dict[int, list[tuple[int, int]]] = defaultdict(list)  # room -> [(first sequence, how many)]
         self.rooms: list[int] = []
         self._grouped(small * capacity, groups)
@@ -247,7 +276,8 @@ class Plan:
         for g in filter(None, members):
             merged.setdefault(g[0][0], []).extend(g)
         sizes = list(merged)
-        for column, often in configurations(sizes, [sum(n for _, n in merged[s]) for s in sizes], self.capacity):
+        found, self.gap = configurations(sizes, [sum(n for _, n in merged[s]) for s in sizes], self.capacity)
+        for column, often in found:
             spans = [(self.sequences, often, 0)]  # (first sequence, how many, used)
             self.sequences += often
             slots = [s for s, n in zip(sizes, column, strict=True) for _ in range(n)]
@@ -323,33 +353,46 @@ class Plan:
 def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``items`` (from pieces(), written) with sequence_id and offset.
 
-    The plan's rows depend on lengths alone, fewer than capacity squared whatever the corpus, so it is broadcast.
+    The plan's rows depend on lengths alone, fewer than capacity squared whatever the corpus. They are broadcast in blocks of
+    PLAN_ROWS, each to the pieces whose length and rank lie in it.
     """
     spark = items.sparkSession
     by_part = written(items.groupBy("part", "length").count(), "pack-counts")
     plan = Plan({r[0]: r[1] for r in by_part.groupBy("length").agg(F.sum("count")).collect()}, capacity)
-    if len(plan.rows) > capacity * capacity:
-        raise AssertionError("a plan has fewer rows than pairs of length and room")
     before = W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     bases = by_part.select("part", "length", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
     table = np.array(sorted(plan.rows), np.int64).reshape(-1, 5)
-    sent = spark.sparkContext.broadcast(table)
     kept = [c for c in items.columns if c not in ("part", "nth")]
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = sent.value
-        keys = t[:, 0] << 40 | t[:, 1]
-        for b in batches:
-            length, rank = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("length", "rank"))
-            at = np.searchsorted(keys, length << 40 | rank, "right") - 1
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(b.schema.get_field_index(c)) for c in kept), pa.array(t[at, 3] + rank - t[at, 1]), pa.array(t[at, 4])],
-                names=[*kept, "sequence_id", "offset"],
-            )
+    def placer(block: np.ndarray):
+        sent = spark.sparkContext.broadcast(block)  # at most PLAN_ROWS rows
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            t = sent.value
+            keys = t[:, 0] << 40 | t[:, 1]
+            for b in batches:
+                length, rank = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("length", "rank"))
+                at = np.searchsorted(keys, length << 40 | rank, "right") - 1
+                yield pa.RecordBatch.from_arrays(
+                    [*(b.column(b.schema.get_field_index(c)) for c in kept), pa.array(t[at, 3] + rank - t[at, 1]), pa.array(t[at, 4])],
+                    names=[*kept, "sequence_id", "offset"],
+                )
+
+        return tasks("packing", place)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema if f.name in kept) + ", sequence_id long, offset long"
     ranked = items.join(bases, ["part", "length"]).withColumn("rank", F.col("base") + F.col("nth")).select(*kept, "rank")
-    return ranked.mapInArrow(tasks("packing", place), schema)
+    if len(table) <= PLAN_ROWS:
+        return ranked.mapInArrow(placer(table), schema)
+    ranked, blocks = written(ranked, "pack-ranked"), [table[k : k + PLAN_ROWS] for k in range(0, len(table), PLAN_ROWS)]
+    place_of, own = F.struct("length", "rank"), []
+    bound = lambda row: F.struct(F.lit(int(row[0])).cast("long").alias("length"), F.lit(int(row[1])).cast("long").alias("rank"))
+    for k, block in enumerate(blocks):
+        inside = place_of >= bound(block[0]) if k else F.lit(True)
+        if k + 1 < len(blocks):
+            inside &= place_of < bound(blocks[k + 1][0])
+        own.append(ranked.filter(inside).mapInArrow(placer(block), schema))
+    return reduce(DataFrame.unionAll, own)
 
 
 def pack_documents(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:

@@ -5,7 +5,8 @@ are compared within their own row by 64-bit hashes, so nothing is shuffled.
 
 Defined cases: a null or empty text has no words and fails the base rules (fewer than 20 words);
 ratios of nothing are 0; repeated rows and null ids each keep a row; an empty table gives an empty
-result; input columns with the result's names give way, all others are kept.
+result; input columns with the result's names give way, all others are kept, whatever their names: the input travels as one
+struct. Texts of any length are measured whole, within their row.
 """
 
 from __future__ import annotations
@@ -35,12 +36,14 @@ THRESHOLDS: list[tuple[str, str, float | None, float | None]] = [
 WINDOW = 8
 
 
+OWN = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules"]
+
+
 def _measured(df: DataFrame, text: str) -> DataFrame:
-    own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules"]
     t = F.coalesce(F.col(text), F.lit(""))
     # A line has a word if it has any character that is no delimiter.
     lines = F.filter(F.split(t, "\n"), lambda line: line.rlike("[^ \\t-\\r]"))
-    out = df.drop(*own).withColumns({"__words": words_of(F.col(text)), "__lines": lines})
+    out = df.withColumns({"__words": words_of(F.col(text)), "__lines": lines})
     out = out.withColumns({
         "n_words": F.size("__words").cast("long"),
         "word_chars": F.length(F.array_join("__words", "")).cast("long"),
@@ -90,7 +93,14 @@ def measures() -> dict[str, Column]:
 
 def quality(df: DataFrame, text: str = "text", thresholds=THRESHOLDS) -> DataFrame:
     """``df`` with the counts, base_failed, failed_rules (names) and kept."""
-    out = _measured(df, text)
+    kept = [c for c in df.columns if c.lower() not in OWN]
+    out = _judged(df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__all"), F.col(f"`{text}`").alias("__text")), thresholds)
+    return out.select(*[F.col("__all")[c].alias(c) for c in kept], *OWN)
+
+
+def _judged(rows: DataFrame, thresholds) -> DataFrame:
+    """Rows (__all, __text) with the columns OWN."""
+    out = _measured(rows, "__text")
     have = measures()
     failing = []
     for name, measure, least, most in thresholds:
@@ -109,12 +119,12 @@ def quality(df: DataFrame, text: str = "text", thresholds=THRESHOLDS) -> DataFra
     )
 
 
-def keep_good(df: DataFrame, text: str = "text") -> DataFrame:
+def keep_good(df: DataFrame, text: str = "text", thresholds=THRESHOLDS) -> DataFrame:
     """The kept rows of ``df`` with all their columns, whatever their names; a null, empty or blank text is not kept.
 
     The filter also names a column that is not deterministic, so it stays above the projections: pushed below, it would
     hold their expressions many times over.
     """
-    rows = df.select(F.struct("*").alias("__all"), F.col(text).alias("__text"))
-    out = quality(rows, "__text").withColumn("__nth", F.monotonically_increasing_id())
+    rows = df.select(F.struct("*").alias("__all"), F.col(f"`{text}`").alias("__text"))
+    out = _judged(rows, thresholds).withColumn("__nth", F.monotonically_increasing_id())
     return out.filter(F.col("kept") & (F.col("__nth") >= 0)).select("__all.*")

@@ -8,8 +8,10 @@ quotation marks around it decides if it is quoted or reported rather than used.
 model on sums of used and quoted hits, their density and their clustering gives the score.
 
 Labels are read from a bounded sample: at most ``MAX_TOXIC`` toxic and ``MAX_CLEAN`` clean labelled rows, those
-of the smallest key hashes. All documents are scored whole. Neither labels nor any column but the text is
-an input of a score.
+of the smallest key hashes. Of near copies in the sample, texts of one label whose sets of three-word shingles are alike by ``ALIKE``
+or more, one counts, else their chance words would pass for terms; texts that merely share passages all count. Words of any
+length may be terms; those under five letters match as they are written only. All documents are scored whole. Neither labels nor
+any column but the text is an input of a score.
 
 Defined cases: a null or empty text has no hits and gets the model's score of none; without labels of
 both kinds every score is 0; repeated rows and null ids are scored each; an empty table gives an empty
@@ -31,8 +33,8 @@ from pyspark.sql import functions as F
 from .common import tasks, words_of, written
 
 MAX_TOXIC, MAX_CLEAN = 4_000, 16_000
-#: Terms in the lexicon at most, the likeliest first.
-MAX_TERMS = 2_000
+#: Least similarity of shingle sets of near copies in the sample, and hashes in bands that find them.
+ALIKE, BANDS, BAND = 0.8, 8, 2
 #: Least likelihood ratio (G squared) and log odds of a term.
 LEAST_RATIO, LEAST_ODDS = 24.0, 2.5
 STEMS = range(4, 9)
@@ -219,7 +221,7 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: tuple[Counter, Counter] = (Counter(), Counter())
     for b in batches:
         for text, toxic in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-            words = {w for r in set((text.as_py() or "").lower().split()) for w in _PARTS(r) if len(w) >= 4}
+            words = {w for r in set((text.as_py() or "").lower().split()) for w in _PARTS(r)}
             stems = {"\0" + w[:n] for w in words for n in STEMS if len(w) >= n}
             counts[0 if toxic else 1].update(words | stems)
     terms = list(counts[0] | counts[1])
@@ -257,7 +259,7 @@ def choose(rows: list[tuple[str, bool, int, int, float]]) -> list[tuple[str, boo
     for w in words:
         if not any(w[:n] in covered for n in STEMS):
             out[w, False] = words[w][4]
-    return [(t, stem, min(8.0, weight)) for (t, stem), weight in out.items()]
+    return [(t, stem, weight) for (t, stem), weight in out.items()]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
@@ -274,6 +276,30 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
     return w
 
 
+def without_copies(sample: DataFrame) -> DataFrame:
+    """(text, toxic) of a bounded sample (key, text, toxic), without near copies of a row of the same label.
+
+    Rows that agree in the least hashes of one band meet the band's first row, and go if their sets of shingles are really alike.
+    Texts of fewer than three words are alike if their words are the same.
+    """
+    words = "transform(__w, w -> xxhash64(w))"
+    threes = (
+        f"CASE WHEN size(__w) < 3 THEN array(xxhash64(array_join(__w, ' '))) ELSE array_distinct(zip_with(zip_with({words}, slice({words}, 2, size(__w)), "
+        f"(a, b) -> xxhash64(a, b)), slice({words}, 3, size(__w)), (a, b) -> xxhash64(a, b))) END"
+    )
+    rows = sample.withColumn("__w", words_of(F.lower("text"))).withColumn("set", F.array_compact(F.expr(threes)))
+    rows = written(rows.select("key", "text", "toxic", "set", F.xxhash64("key", "text").alias("row"), F.monotonically_increasing_id().alias("nth")), "toxicity-sets")
+    least = lambda k: F.array_min(F.transform("set", lambda h: F.xxhash64(h, F.lit(k))))
+    bands = F.array(*[F.struct(F.lit(k).alias("band"), *[least(k * BAND + j).alias(f"m{j}") for j in range(BAND)]) for k in range(BANDS)])
+    banded = rows.select("toxic", "row", "nth", F.explode(bands).alias("at"))
+    first = banded.groupBy("toxic", "at").agg(F.min(F.struct("row", "nth")).alias("first"))
+    pairs = banded.join(first, ["toxic", "at"]).filter(F.struct("row", "nth") > F.col("first")).select("nth", F.col("first.nth").alias("other")).distinct()
+    sets = rows.select(F.col("nth").alias("other"), F.col("set").alias("other_set"))
+    common = F.size(F.array_intersect("set", "other_set"))
+    copies = pairs.join(rows.select("nth", "set"), "nth").join(sets, "other").filter(common >= ALIKE * (F.size("set") + F.size("other_set") - common))
+    return rows.join(copies.select("nth").distinct(), "nth", "left_anti").select("text", "toxic")
+
+
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Learn from the labelled rows outside the held-out fold, on the bounded sample."""
     spark = docs.sparkSession
@@ -285,14 +311,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     ]
     # At most MAX_TOXIC + MAX_CLEAN keys.
     sample = docs.select(key, text).join(F.broadcast(drawn[0].unionAll(drawn[1])), key)
-    # Near copies count once, else their chance words would pass for terms: one row for each label and least
-    # hash of three words, or for each label and text of fewer words.
-    words = F.transform(words_of(F.lower(text)), lambda w: F.xxhash64(w))
-    sample = sample.withColumn("__w", words).withColumn(
-        "__least", F.expr("array_min(zip_with(zip_with(__w, slice(__w, 2, size(__w)), (a, b) -> xxhash64(a, b)), slice(__w, 3, size(__w)), (a, b) -> xxhash64(a, b)))")
-    )
-    sample = sample.withColumn("__least", F.coalesce("__least", F.xxhash64(F.array_join("__w", " "))))
-    sample = sample.groupBy("__least", "toxic").agg(F.max(F.struct(key, text)).alias("row")).select(f"row.{text}", "toxic")
+    sample = without_copies(written(sample.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"), "toxic"), "toxicity-drawn"))
     sample = written(sample, "toxicity-sample")
     counts = sample.mapInArrow(tasks("toxicity", _term_counts), "term string, stem boolean, pos long, neg long")
     counts = written(counts.groupBy("term", "stem").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), "toxicity-terms")
@@ -309,9 +328,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     likely = (
         counts.filter("pos > 0").withColumns({"odds": odds, "ratio": ratio})
         .filter((F.col("odds") >= LEAST_ODDS) & (F.col("ratio") >= LEAST_RATIO))
-        .orderBy(F.desc("ratio"), "term", "stem").limit(20 * MAX_TERMS)
+        .orderBy(F.desc("ratio"), "term", "stem")
     )
-    lexicon = choose([(r["term"], r["stem"], r["pos"], r["neg"], r["odds"]) for r in likely.collect()])[:MAX_TERMS]
+    lexicon = choose([(r["term"], r["stem"], r["pos"], r["neg"], r["odds"]) for r in likely.collect()])  # words of the sample, so bounded
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(lexicon)
@@ -340,7 +359,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, score) of every row's whole text."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_TERMS terms and the sample's exceptions
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # terms and exceptions of the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)

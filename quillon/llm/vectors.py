@@ -9,22 +9,25 @@
 3. Adjacency lists are united over the leaves. Each node is searched for in all pieces of its nearest pivots'
    leaf, its home: a greedy beam from the piece's medoids, then expansion of the range around what it found.
    Every pair kept has its cosine computed in double precision.
-4. Recall of every index is audited against brute force over all rows, in blocks: nodes are drawn until ``ENOUGH``
-   of them have true links, ``AUDITED_MOST`` are drawn, or none is left. Under ``RECALL`` the index is built again
-   with more overlap and a wider beam; if the last one is under ``REQUIRED``, all pairs are compared in blocks.
+4. Recall of every index is audited against brute force over all rows, in blocks: nodes of ids that ``AUDITED_IDS`` divides
+   are drawn until ``ENOUGH`` of them have true links or none is left. Under ``RECALL`` the index is built again
+   with more overlap and a wider beam; if the last one is under ``REQUIRED``, all pairs are compared in blocks. The recall of what
+   is returned is a column of the result and part of ``Report``.
 
 Links are counted where they are found and never written out: of the tasks where a pair can meet, one counts it, for
 both its nodes, so a task gives a row or two for each node however many links there are.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing, and vectors
 of different length never with each other; equal vectors link unless they are such; repeated rows and
-rows without id are rows of their own, and an id names a component only if it is the least there; an empty table
+rows without id are rows of their own, and an id names a component only if it is the least there; an index without an audited
+link has a recall of 1; an empty table
 gives an empty result; columns other than the key and the vector are not passed on, so no names can clash.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -51,8 +54,8 @@ MEDOIDS, BEAM = 16, 24
 #: The range that is expanded around finds reaches so far below the threshold.
 SLACK = 0.08
 RECALL, REQUIRED = 0.97, 0.9
-#: Nodes that an audit draws at first, at a time and at most, and how many with true links it wants.
-AUDITED, AUDITED_AT_ONCE, AUDITED_MOST, ENOUGH = 256, 4_096, 16_384, 256
+#: An audit draws from the nodes of ids that this divides, so many at first and at a time, and wants so many with true links.
+AUDITED_IDS, AUDITED, AUDITED_AT_ONCE, ENOUGH = 20, 256, 4_096, 256
 #: Nodes that are compared with all others at a time where no index will do.
 BLOCK = 4_096
 LINKS = "a long, b long, n long, kind long"
@@ -359,7 +362,7 @@ def counted(nodes: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def audit(nodes: DataFrame, linked: DataFrame) -> float:
-    """Share of the true links that the index has found, for nodes of smallest hash, against all nodes in blocks.
+    """Share of the true links that the index has found, for the audited nodes by hash, against all nodes in blocks.
 
     The lesser of the share of the linked weight and the mean share of a node, so that one group of many copies does
     not speak for all others.
@@ -383,9 +386,8 @@ def audit(nodes: DataFrame, linked: DataFrame) -> float:
         true = nodes.select("node", "weight", "unit").mapInArrow(run, "node long, true long").groupBy("node").agg(F.sum("true").alias("true"))
         return true.join(linked, "node", "left").select("true", F.least("true", F.coalesce("linked", F.lit(0)))).collect()  # one row a drawn node at most
 
-    order, drawn, size, seen = nodes.orderBy(F.xxhash64("node"), "node").select("node", "unit"), 0, AUDITED, []
-    while drawn < AUDITED_MOST and len(seen) < ENOUGH:
-        size = min(size, AUDITED_MOST - drawn)
+    order, drawn, size, seen = nodes.filter("audited").orderBy(F.xxhash64("node"), "node").select("node", "unit"), 0, AUDITED, []
+    while len(seen) < ENOUGH:
         rows = order.offset(drawn).limit(size).toArrow()
         if not rows.num_rows:
             break
@@ -436,10 +438,26 @@ def _link_rows(a: np.ndarray, b: np.ndarray, n: np.ndarray, kind: int) -> pa.Rec
     return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n), pa.array(np.full(len(a), kind, np.int64))], names=["a", "b", "n", "kind"])
 
 
+class Report(NamedTuple):
+    """What an index has come to: audited recall of the links returned, indexes built, and whether all pairs were compared in the end."""
+
+    recall: float
+    built: int
+    compared_all: bool
+
+
 def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(key, n_links, component_id, kept) for each row."""
+    """(key, n_links, component_id, kept, recall) for each row; recall, the same in all rows, is the audit's of the links counted."""
+    out, report = near_duplicates_with_report(df, key, vector)
+    return out.withColumn("recall", F.lit(report.recall))
+
+
+def near_duplicates_with_report(df: DataFrame, key: str = "vec_id", vector: str = "embedding") -> tuple[DataFrame, Report]:
+    """((key, n_links, component_id, kept) for each row, report)."""
     rows = written(nodes_of(df, key, vector), "vector-rows")
-    nodes = rows.filter("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("weight"), F.first("unit").alias("unit"))
+    number = F.xxhash64(key) if df.schema[key].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint") else F.col(key)
+    audited = F.coalesce(F.bool_or(number % AUDITED_IDS == 0), F.lit(False)).alias("audited")
+    nodes = rows.filter("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("weight"), F.first("unit").alias("unit"), audited)
     nodes = written(nodes, "vector-nodes")
     n, overlap, beam = nodes.count(), OVERLAP, BEAM
     for attempt in range(3):
@@ -450,7 +468,9 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
         if recall >= RECALL:
             break
         overlap, beam = 2 * overlap, 2 * beam
-    if recall < REQUIRED:
+    report = Report(recall, attempt + 1, recall < REQUIRED)
+    if report.compared_all:
+        report = report._replace(recall=1.0)
         found = written(exact_links(nodes, n), "vector-links")
         linked = written(counted(nodes, found), "vector-linked")
     parts = components(found.filter("kind > 0").select("a", "b")).withColumnRenamed("id", "node")
@@ -464,4 +484,5 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     named = written(named, "vector-named")
     least = named.filter("class IS NOT NULL").groupBy("class").agg(F.min(key).alias("component_id"))
     own = F.when(F.col("class").isNull(), F.col(key)).otherwise(F.col("component_id"))
-    return named.join(least, "class", "left").select(key, "n_links", own.alias("component_id"), F.coalesce(F.col(key) == own, F.lit(False)).alias("kept"))
+    out = named.join(least, "class", "left").select(key, "n_links", own.alias("component_id"), F.coalesce(F.col(key) == own, F.lit(False)).alias("kept"))
+    return out, report
