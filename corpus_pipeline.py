@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each stage's result as
 Parquet into the shared folder and rereads it as the next one's docs. All stages but the last
 return the columns of documents.
+
+Defined cases of every stage: an empty table gives an empty result; nulls may stand in any column; texts of any length are judged
+whole; repeated rows are rows of their own; columns beyond those of documents are carried along (by packing: not passed on), whatever
+their names, so none can clash.
 """
 
 from __future__ import annotations
@@ -15,18 +19,26 @@ from quillon.llm.common import table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score 0.5 or more go. Labels are read for learning alone."""
+    """Documents that score 0.5 or more go. Labels are read for learning alone.
+
+    A null or empty text has no hits and gets the model's score of none; without labels of both kinds nothing goes; terms
+    that are equally likely follow by their letters.
+    """
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
     return toxicity.keep_clean(docs, model)
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or the threshold table go."""
+    """Documents that fail the base rules or the threshold table go. A null, empty or blank text has under 20 words, so it goes."""
     return quality.keep_good(docs)
 
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents the one with the least id stays."""
+    """Of each group of similar documents the one with the least id stays.
+
+    A text without words is like nothing and stays. Rows that share an id stay or go together, as do rows without one: they stay
+    if one of them is in a group that names no id.
+    """
     named = jaccard.similar(docs).select(F.col("doc_id").alias("__id"), F.col("component_id").alias("__component"))
     # Copies that share the least id are one document; a row without id stays only if nothing names its group.
     keep = named.filter(F.col("__id").eqNullSafe(F.col("__component"))).select("__id").distinct()
@@ -34,12 +46,15 @@ def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes under strings that an earlier document holds go; the documents stay."""
+    """Bytes under strings that an earlier document holds go; the documents stay, even if nothing of their text is left.
+
+    A null text stays null; documents of one id, or of none, are told apart by their texts.
+    """
     return substrings.without_repeats(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole documents into sequences of at most 2048 tokens."""
+    """Whole documents into sequences of at most 2048 tokens; a null or empty text is its end id alone."""
     import public_tokenizers
 
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
