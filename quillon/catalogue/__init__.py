@@ -1,3 +1,3 @@
 """Query modules; importing them registers their queries."""
 
-from . import analysis, certificates, domain, governed, lookups, numeric, ordered, ranged, solving, sources, spectra, stores  # noqa: F401
+from . import analysis, budgets, certificates, domain, exactly, governed, lookups, measured, numeric, ordered, ranged, solving, sources, spectra, stores  # noqa: F401

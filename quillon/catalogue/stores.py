@@ -30,7 +30,7 @@ def packets(spark, d):
 @query("packet_scan", "SELECT CAST(o_orderkey % 50 AS VARCHAR) AS C, count(*) AS n, CAST(sum(round(o_totalprice * 100)) AS BIGINT) AS cents FROM orders WHERE o_orderkey % 50 <> 7 OR NOT EXISTS (SELECT 1 FROM orders x WHERE x.o_orderkey % 50 = 7 AND x.o_orderkey % 2 = 1) GROUP BY 1")
 def packet_scan(spark, d):
     """From files to measurements: a file with one bad ordinal gives nothing, a policy drops indexed names, text is no number."""
-    measured, _ = index.scan_packets(spark, packets(spark, d), index.policy("indexed:tail_  # tails\n\nprefix:secret"), glob="*.txt")
+    measured, _ = index.scan_packets(spark, packets(spark, d), index.policy("indexed:tail_\nprefix:secret"), glob="*.txt")
     return measured.groupBy("C").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("long")).alias("cents"))
 
 

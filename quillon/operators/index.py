@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,11 +22,14 @@ RULES = ("prefix", "indexed")
 
 
 def policy(text: str) -> list[str]:
-    """Rules of a policy text, one a line; blank lines and lines from # on say nothing. No, equal or unknown rules are errors."""
-    rules = [line for raw in text.splitlines() if (line := raw.split("#")[0].strip())]
+    """Rules of a policy text, one a line and nothing else: a blank line, a comment, an unknown rule, an odd prefix or a rule given twice is an error, as is no rule."""
+    rules = text.splitlines()
+    for k, rule in enumerate(rules, 1):
+        kind, colon, prefix = rule.partition(":")
+        if not colon or kind not in RULES or not re.fullmatch(r"[A-Za-z0-9_]+", prefix) or rule in rules[: k - 1]:
+            raise ValueError(f"line {k} of the policy is no rule of its own: {rule!r}")
     if not rules:
         raise ValueError("a policy has a rule")
-    allowed(F.lit(""), rules)
     return rules
 
 
