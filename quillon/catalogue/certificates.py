@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import analytic, certified, shown
 from ..functions.certified import Complex, Interval, rowwise
-from ..operators import forms, transforms
+from ..operators import exact_sums, forms, transforms
 from ..registry import query
 from ..sources.tables import table
 from .spectra import by_matrix
@@ -101,22 +101,10 @@ def interval_rayleigh(spark, d):
 
 @query("rational_contraction", "SELECT user_id, round(sum(least(value, 2 * value)), 4) AS lo, round(sum(greatest(value + 1, 2 * (value + 1))), 4) AS hi FROM events GROUP BY user_id")
 def rational_contraction(spark, d):
-    """Exact sums of products of intervals, a batch of rows at a time and then over batches."""
-
-    @F.pandas_udf("struct<lo:string,hi:string>")
-    def products(lo: pd.Series, hi: pd.Series) -> pd.DataFrame:
-        rows = [Interval(Fraction(a), Fraction(b)) * Interval(1, 2) for a, b in zip(lo, hi, strict=True)]
-        return pd.DataFrame([(str(v.lo), str(v.hi)) for v in rows], columns=["lo", "hi"])
-
-    @F.pandas_udf("string")
-    def total(x: pd.Series) -> str:
-        return str(sum(map(Fraction, x), Fraction(0)))
-
-    e = table(spark, d, "events").select("user_id", "event_id", products("value", F.col("value") + 1).alias("p"))
-    parts = e.groupBy("user_id", F.floor(F.col("event_id") / 4096).alias("part")).agg(total("p.lo").alias("lo"), total("p.hi").alias("hi"))
-    whole = parts.groupBy("user_id").agg(total("lo").alias("lo"), total("hi").alias("hi"))
-    number = rowwise(lambda x: float(Fraction(x)), "double")
-    return whole.select("user_id", F.round(number("lo"), 4).alias("lo"), F.round(number("hi"), 4).alias("hi"))
+    """Exact sums of products of intervals, each end rounded once."""
+    e = table(spark, d, "events").select("user_id", F.col("value").alias("lo"), (F.col("value") + 1).alias("hi"))
+    whole = exact_sums.interval_contraction(e, ["user_id"], "lo", "hi", F.lit(1.0), F.lit(2.0))
+    return whole.select("user_id", F.round("lo", 4).alias("lo"), F.round("hi", 4).alias("hi"))
 
 
 @query("complex_rationals", f"SELECT id, round((s * k + 2.0::DOUBLE) / (k * k + 4), 10) AS re, round((k - 2.0 * s::DOUBLE) / (k * k + 4), 10) AS im, s * s + 1 AS norm FROM {PIECES}")

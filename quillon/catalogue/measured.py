@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import index
+from ..operators import bases, exact_sums, index
+from ..operators.ranks import dense_position
 from ..registry import query
-from ..sources import packets, stored_index, work
+from ..sources import ordinates, packets, stored_index, vectors, work
 from ..sources.tables import table
 from .sources import LINE_SQL, measurements
 
@@ -93,3 +94,75 @@ def stored_index_files(spark, d):
     rows, skipped = stored_index.query(spark, path, 1 << 30, observable="price", P=1, outcome="odd")
     held = spark.read.parquet(f"{path}/complete").select("measurements")
     return held.crossJoin(rows.agg(F.count("*").alias("hits"))).withColumn("enough", F.lit(skipped.opened + skipped.by_range + skipped.by_filter == skipped.files))
+
+
+# --- Ordinates and stored vectors
+
+
+@query("ordinate_scan", "SELECT row_number() OVER (ORDER BY o_orderkey) AS ordinal, printf('%.2f', o_totalprice) AS text FROM orders")
+def ordinate_scan(spark, d):
+    """All order totals as one JSON array over many files, read back by splits."""
+    o = table(spark, d, "orders").select("o_orderkey", F.format_string("%.2f", "o_totalprice").alias("text"))
+    return ordinates.ordinates(spark, ordinates.write_ordinates(o, work.fresh(spark, "ordinates"), "o_orderkey", "text"))
+
+
+@query("ordinate_texts", "SELECT row_number() OVER (ORDER BY doc_id) AS ordinal, sha256(coalesce(text, '')) AS digest FROM documents")
+def ordinate_texts(spark, d):
+    """Whole documents as texts of an array: quotation marks, backslashes and line ends inside them are none of the array's."""
+    t = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    got = ordinates.ordinates(spark, ordinates.write_ordinates(t, work.fresh(spark, "ordinates"), "doc_id", "text"))
+    return got.select("ordinal", F.sha2("text", 256).alias("digest"))
+
+
+def price_vector(spark, d):
+    placed = dense_position(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice"), "l_orderkey", "l_linenumber")
+    return vectors.write(placed, work.fresh(spark, "vector"), "position", "l_extendedprice", 4096)
+
+
+@query("stored_vector_range", "SELECT * FROM (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS i, l_extendedprice AS v FROM lineitem) WHERE i BETWEEN 1000 AND 5999")
+def stored_vector_range(spark, d):
+    """A range of a stored vector of all line items' prices, from the chunks that hold it."""
+    return vectors.read(spark, price_vector(spark, d), 1000, 6000)
+
+
+@query("stored_vector_dot", "SELECT round(sum(l_extendedprice * i), 0) AS dot, count(*) AS n FROM (SELECT l_extendedprice, row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS i FROM lineitem)")
+def stored_vector_dot(spark, d):
+    """A whole stored vector times its indices, summed exactly."""
+    rows = vectors.read(spark, price_vector(spark, d))
+    dot = exact_sums.exact_dots(rows, [], dot=(F.col("v"), F.col("i").cast("double"))).select(F.round("dot", 0).alias("dot"))
+    return dot.crossJoin(rows.agg(F.count("*").alias("n")))
+
+
+# --- Bases
+
+
+def embedding_rows(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("i"), F.col("embedding").cast("array<double>").alias("x"))
+
+
+@query("basis_gram", """WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS k FROM embeddings)
+ SELECT CAST(a.k AS INT) AS i, CAST(b.k AS INT) AS j, round(sum(a.x * b.x), 6) + 0.0 AS v FROM e a JOIN e b USING (vec_id) GROUP BY a.k, b.k""")
+def basis_gram(spark, d):
+    """The triangle of the embeddings' columns, times its transpose, is their matrix of products."""
+    r = bases.orthonormal(embedding_rows(spark, d)).triangle
+    g = r.T @ r
+    rows = [(i, j, float(g[i, j])) for i in range(len(g)) for j in range(len(g))]
+    return spark.createDataFrame(rows, "i int, j int, v double").select("i", "j", (F.round("v", 6) + F.lit(0.0)).alias("v"))
+
+
+@query("projected_vector", "SELECT vec_id AS i, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6) + 0.0 AS v, true AS orthonormal FROM embeddings")
+def projected_vector(spark, d):
+    """The sum of all columns lies in their span, so its projection is itself; the loss of orthogonality is at rounding."""
+    rows = embedding_rows(spark, d)
+    basis = bases.orthonormal(rows)
+    sums = rows.select("i", F.aggregate("x", F.lit(0.0), lambda a, x: a + x).alias("v"))
+    return bases.project(basis, sums).select("i", (F.round("v", 6) + F.lit(0.0)).alias("v"), F.lit(basis.loss < 1e-12).alias("orthonormal"))
+
+
+@query("operator_symmetry", "WITH p AS (SELECT least(l_partkey, 100000 + l_suppkey) AS a, greatest(l_partkey, 100000 + l_suppkey) AS b, count(*) AS n, count(*) FILTER (WHERE l_returnflag = 'R') AS r FROM lineitem GROUP BY 1, 2) SELECT CAST(sum(2) AS BIGINT) AS entries, count(*) FILTER (WHERE r > 0) AS different, CAST(max(r) AS DOUBLE) AS largest FROM p")
+def operator_symmetry(spark, d):
+    """Parts and suppliers as a matrix of counts, whose mirror image lacks what was returned."""
+    li = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("i"), (F.col("l_suppkey") + 100000).alias("j")).agg(
+        F.count("*").cast("double").alias("v"), F.count_if(F.col("l_returnflag") != "R").cast("double").alias("w")
+    )
+    return bases.asymmetry(li.select("i", "j", "v").unionByName(li.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("w").alias("v"))))

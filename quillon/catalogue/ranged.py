@@ -291,15 +291,29 @@ def decimal_enclosure(spark, d):
 # --- Graphs
 
 
-@query("derivation_plan_graph", "WITH c AS (SELECT o_custkey AS k, min(o_totalprice) AS cost FROM orders GROUP BY 1), n AS (SELECT 'r' || r_regionkey AS node, 0 AS level, 1.0 AS cost FROM region UNION ALL SELECT 'n' || n_nationkey, 1, 2.0 FROM nation UNION ALL SELECT 'c' || c_custkey, 2, cost FROM customer LEFT JOIN c ON k = c_custkey) SELECT level, count(*) AS nodes, count(*) FILTER (WHERE cost IS NULL) AS without, bool_and(cost IS NULL OR level < 2 OR cost >= 0) AS sound FROM n GROUP BY 1")
+BUDGET = 1_000_000_000
+
+
+@query("derivation_plan_graph", f"""WITH RECURSIVE c AS (SELECT o_custkey AS k, min(round(o_totalprice * 100))::BIGINT AS cost FROM orders GROUP BY 1),
+ u AS (SELECT 'c' || c_custkey AS node, n_regionkey, cost FROM customer JOIN nation ON n_nationkey = c_nationkey LEFT JOIN c ON k = c_custkey),
+ free AS (SELECT *, row_number() OVER (ORDER BY node) AS i FROM u WHERE n_regionkey <> 3 AND cost IS NOT NULL),
+ first AS (SELECT {BUDGET} - (SELECT count(*) FROM region WHERE r_regionkey <> 3) - 2 * (SELECT count(*) FROM nation WHERE n_regionkey <> 3) AS b),
+ f AS (SELECT node, i, cost <= b AS taken, b - CASE WHEN cost <= b THEN cost ELSE 0 END AS rest FROM free, first WHERE i = 1
+  UNION ALL SELECT x.node, x.i, x.cost <= f.rest, f.rest - CASE WHEN x.cost <= f.rest THEN x.cost ELSE 0 END FROM f JOIN free x ON x.i = f.i + 1)
+ SELECT 'r' || r_regionkey AS node, 0 AS level, CASE WHEN r_regionkey = 3 THEN 'no_candidate' ELSE 'planned' END AS status FROM region
+ UNION ALL SELECT 'n' || n_nationkey, 1, CASE WHEN n_regionkey = 3 THEN 'blocked' ELSE 'planned' END FROM nation
+ UNION ALL SELECT u.node, 2, CASE WHEN n_regionkey = 3 THEN 'blocked' WHEN cost IS NULL THEN 'no_candidate' WHEN taken THEN 'planned' ELSE 'over_budget' END FROM u LEFT JOIN f ON f.node = u.node""")
 def derivation_plan_graph(spark, d):
-    """Regions, nations and customers in dependency order; a customer's cheapest order is its candidate, and the budget covers all."""
+    """Regions, nations and customers in dependency order; a customer's cheapest order is its candidate, one region has none, and the budget binds."""
     e = edges(spark, d).filter("node NOT LIKE 'o%'")
     nodes = e.select("node").unionByName(e.select(F.col("dep").alias("node")))
-    orders = table(spark, d, "orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("node"), F.col("o_orderkey").alias("candidate"), F.col("o_totalprice").alias("cost"))
-    fixed = nodes.filter("node NOT LIKE 'c%'").distinct().select("node", F.lit(0).cast("long").alias("candidate"), F.when(F.startswith("node", F.lit("r")), 1.0).otherwise(2.0).alias("cost"))
-    plan = dag.planned(nodes, e, orders.unionByName(fixed), [F.col("cost"), F.col("candidate")], 1e15)
-    return plan.groupBy("level").agg(F.count("*").alias("nodes"), F.count_if(F.col("status") == "no_candidate").alias("without"), F.bool_and(F.col("status").isin("planned", "no_candidate")).alias("sound"))
+    orders = table(spark, d, "orders").select(
+        F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("node"), F.col("o_orderkey").alias("candidate"), F.round(F.col("o_totalprice") * 100).cast("long").alias("cost")
+    )
+    fixed = nodes.filter("node NOT LIKE 'c%' AND node <> 'r3'").distinct().select(
+        "node", F.lit(0).cast("long").alias("candidate"), F.when(F.startswith("node", F.lit("r")), 1).otherwise(2).cast("long").alias("cost")
+    )
+    return dag.planned(nodes, e, orders.unionByName(fixed), [F.col("cost"), F.col("candidate")], BUDGET).select("node", "level", "status")
 
 
 @query("identity_resolution", "SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN c_nationkey % 5 = 0 THEN 'missing' ELSE 'resolved' END AS outcome FROM orders JOIN customer ON c_custkey = o_custkey) GROUP BY 1")

@@ -338,9 +338,9 @@ def restartable_assembly(spark, d):
 
 @query("fixed_block_contraction", "SELECT user_id, round(sum(value * (event_id % 11)), 6) AS dot FROM events GROUP BY user_id")
 def fixed_block_contraction(spark, d):
-    """Blocks of 512 products, each summed exactly and rounded once."""
-    e = table(spark, d, "events").select("user_id", "event_id", "value", (F.col("event_id") % 11).cast("double").alias("q"))
-    return linalg.block_contraction(e, "user_id", "event_id", "value", "q").select("user_id", F.round("dot", 6).alias("dot"))
+    """Products summed exactly and rounded once."""
+    e = table(spark, d, "events").select("user_id", "value", (F.col("event_id") % 11).cast("double").alias("q"))
+    return linalg.block_contraction(e, "user_id", "value", "q").select("user_id", F.round("dot", 6).alias("dot"))
 
 
 @query("rayleigh_components", "SELECT l_returnflag AS form, round(2 * sum(p_size * l_quantity * s_acctbal) / ((SELECT sum(p_size * p_size) FROM part) + (SELECT sum(s_acctbal * s_acctbal) FROM supplier)), 8) AS quotient FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1")

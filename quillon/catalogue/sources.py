@@ -16,15 +16,12 @@ LINE_SQL = """(SELECT CAST(l_partkey AS VARCHAR) AS C, l_orderkey AS N, CAST(l_l
 def measurements(spark, d):
     """Line items as measurements: a map of observables, of which decimals alone are kept."""
     li = table(spark, d, "lineitem")
-    values = F.create_map(
-        F.lit("quantity"), F.col("l_quantity").cast("long").cast("string"), F.lit("price"), F.round(F.col("l_extendedprice") * 100).cast("long").cast("string"),
-        F.lit("tail_1"), F.lit("1"), F.lit("tail_x"), F.col("l_returnflag"),
-    )
-    rows = li.select(
-        F.col("l_partkey").cast("string").alias("C"), F.col("l_orderkey").alias("N"), F.col("l_linenumber").cast("long").alias("P"),
-        F.col("l_suppkey").alias("ordinal"), values.alias("values"),
-    )
-    return index.flatten(rows, ["C", "N", "P", "ordinal"], "values", ["indexed:tail_"])
+    values = {
+        "quantity": F.col("l_quantity").cast("long").cast("string"), "price": F.round(F.col("l_extendedprice") * 100).cast("long").cast("string"),
+        "tail_1": F.lit("1"), "tail_x": F.col("l_returnflag"),
+    }
+    keys = {"C": F.col("l_partkey").cast("string"), "N": F.col("l_orderkey"), "P": F.col("l_linenumber").cast("long"), "ordinal": F.col("l_suppkey")}
+    return index.flatten_columns(li.withColumns(keys), list(keys), values, ["indexed:tail_"])
 
 
 @query("packet_flatten", f"SELECT observable, count(*) AS n, sum(CAST(value AS BIGINT))::BIGINT AS total FROM {LINE_SQL} WHERE NOT regexp_matches(observable, '^tail_[0-9]+$') AND regexp_matches(value, '^[0-9]+$') GROUP BY observable")

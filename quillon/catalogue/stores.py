@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import dag, index
 from ..registry import query
-from ..sources import chunks, packages, work
+from ..sources import chunks, ordinates, packages, work
 from ..sources.tables import table
 from .numeric import edges
 
@@ -83,13 +83,13 @@ def chunked_table_expansion(spark, d):
 
 def ordinate_file(spark, d):
     s = table(spark, d, "supplier").select("s_suppkey", F.format_string("%.2f", "s_acctbal").alias("text"))
-    return chunks.write_ordinates(s, work.fresh(spark, "ordinates"), "s_suppkey", "text")
+    return ordinates.write_ordinates(s, work.fresh(spark, "ordinates"), "s_suppkey", "text")
 
 
 @query("external_ordinates", "SELECT row_number() OVER (ORDER BY s_suppkey) AS ordinal, printf('%.2f', s_acctbal) AS text, s_acctbal AS value, round(s_acctbal, CAST(2 - floor(log10(abs(s_acctbal))) AS INT)) AS short FROM supplier ORDER BY s_suppkey LIMIT 8")
 def external_ordinates(spark, d):
     """The first eight of a file: as they stand, as doubles, and at three digits."""
-    o = chunks.ordinates(spark, ordinate_file(spark, d), 8)
+    o = ordinates.ordinates(spark, ordinate_file(spark, d), 8)
     short = chunks.at_digits(o, 3).select("ordinal", F.col("text").cast("double").alias("short"))
     return o.join(chunks.as_doubles(o), "ordinal").join(short, "ordinal").select("ordinal", "text", "value", "short")
 
@@ -97,7 +97,7 @@ def external_ordinates(spark, d):
 @query("dataset_identity", "WITH r AS (SELECT row_number() OVER (ORDER BY s_suppkey) AS o, printf('%.2f', s_acctbal) AS t FROM supplier), b AS (SELECT o // 4096 AS b, sha256(string_agg(o || chr(10) || t, chr(10) ORDER BY o)) AS h, count(*) AS n, min(length(regexp_replace(t, '[^0-9]', '', 'g'))) AS g FROM r GROUP BY 1) SELECT 'balances' AS id, sha256(string_agg(h, '' ORDER BY b)) AS sha256, CAST(sum(n) AS BIGINT) AS count, CAST(min(g) AS INT) AS digits FROM b")
 def dataset_identity(spark, d):
     n = table(spark, d, "supplier").count()
-    return chunks.identity(chunks.ordinates(spark, ordinate_file(spark, d), n), "balances")
+    return ordinates.identity(ordinates.ordinates(spark, ordinate_file(spark, d), n), "balances")
 
 
 # --- Packages

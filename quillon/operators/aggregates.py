@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.work import written
 
+#: Chunks that are folded in one row; a power of two, so that ranges are subtrees.
+SPAN = 1_024
+#: Points that are broadcast at most (32 bytes each); beyond, atoms meet them in blocks of so many.
+POINTS = 100_000
+
 
 def pairwise(values: Column) -> Column:
     """Sum of an array by adjacent pairs: the same tree for the same array, so bits never depend on tasks. Empty: 0."""
@@ -27,17 +34,20 @@ def _halved(a: Column) -> Column:
 def chunked_sum(df: DataFrame, by: list[str], index: str, value: str, chunk: int) -> DataFrame:
     """Two-phase sum: chunks of consecutive indices in order, then pairwise over chunks. Independent of partitioning.
 
-    A level of the tree is an aggregation of neighbours, so no group of chunks is ever gathered; a group of one chunk is done.
+    Chunks are numbered as they come and dealt out by aligned ranges of ``SPAN``, each folded to its own subtree in its row; only the tops
+    are shuffled again. So no group of chunks is gathered whole, and the tree is the one of adjacent pairs.
     """
     leaves = df.withColumn("__c", F.floor(F.col(index) / chunk)).groupBy(*by, "__c").agg(F.array_sort(F.collect_list(F.struct(index, value))).alias("v"))
     leaves = leaves.withColumn("leaf", F.aggregate("v", F.lit(0.0), lambda a, x: a + x[value]))
     # Chunks without a value leave no gap in the tree: they are numbered as they come.
     place = F.row_number().over(W.partitionBy(*by).orderBy("__c")) - 1
     level = written(leaves.select(*by, place.cast("long").alias("__c"), "leaf"), "chunked-sum")
-    for _ in range(int(level.agg(F.max("__c")).first()[0] or 0).bit_length()):
-        first, last = F.min_by("leaf", "__c"), F.max_by("leaf", "__c")
-        level = level.groupBy(*by, F.floor(F.col("__c") / 2).alias("__c")).agg(F.when(F.count("*") > 1, first + last).otherwise(first).alias("leaf"))
-    return level.select(*by, F.col("leaf").alias("total"))
+    most = int(level.agg(F.max("__c")).first()[0] or 0)
+    while True:
+        inside = F.transform(F.array_sort(F.collect_list(F.struct("__c", "leaf"))), lambda x: x["leaf"])  # SPAN at most
+        level = level.groupBy(*by, F.floor(F.col("__c") / SPAN).alias("__c")).agg(pairwise(inside).alias("leaf"))
+        if (most := most // SPAN) == 0:
+            return level.select(*by, F.col("leaf").alias("total"))
 
 
 def dot(x: DataFrame, y: DataFrame, index: str, a: str, b: str) -> DataFrame:
@@ -47,15 +57,22 @@ def dot(x: DataFrame, y: DataFrame, index: str, a: str, b: str) -> DataFrame:
 def atom_kernels(atoms: DataFrame, points: DataFrame, by: list[str], x: str, w: str, z: str, orders=(1, 2, 3)) -> DataFrame:
     """Sums of w / (x - z)^m for each point and group, with absolute sums, nearest distance and count.
 
-    An atom that coincides with a point withholds that group's sums. Points are few (broadcast by size), atoms many.
+    An atom that coincides with a point withholds that group's sums. Every atom meets every point, as asked: up to POINTS points are
+    broadcast, more go in blocks of so many, a pass over the atoms for each.
     """
     gap = F.col(x) - F.col(z)
     meets = F.bool_or(gap == 0)
     each = []
     for m in orders:
-        term = F.when(gap != 0, F.col(w) / F.pow(gap, F.lit(float(m))))
+        power = gap
+        for _ in range(m - 1):
+            power = power * gap
+        term = F.when(gap != 0, F.col(w) / power)
         each += [F.when(~meets, F.sum(term)).alias(f"k{m}"), F.when(~meets, F.sum(F.abs(term))).alias(f"abs_k{m}")]
-    return atoms.join(points, F.lit(True)).groupBy(z, *by).agg(*each, F.min(F.abs(gap)).alias("nearest"), F.count("*").alias("atoms"))
+    each += [F.min(F.abs(gap)).alias("nearest"), F.count("*").alias("atoms")]
+    blocks = -(-points.count() // POINTS)
+    parts = [points] if blocks < 2 else [points.filter(F.pmod(F.xxhash64(z), F.lit(blocks)) == k) for k in range(blocks)]
+    return reduce(DataFrame.unionAll, [atoms.join(F.broadcast(p), F.lit(True)).groupBy(z, *by).agg(*each) for p in parts])
 
 
 def cutoff_ladder(atoms: DataFrame, cutoffs: DataFrame, family: Column, x: str, cutoff: str, *measures: Column) -> DataFrame:

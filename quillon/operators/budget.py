@@ -26,21 +26,33 @@ from ..sources.work import written
 from .ranks import dense_position
 
 #: Rows of a range, and ranges that a node of the tree combines.
-RANGE, FAN = 8_192, 64
+RANGE, FAN = 65_536, 64
 #: Groups whose states are broadcast at most (about 100 bytes each); beyond, they are joined by shuffle, where adaptive execution splits a hot group.
 BROADCAST_GROUPS = 100_000
 
 
-def _placed(df: DataFrame, by: list[str], order: list[str], amount: str) -> DataFrame:
-    """``df`` as struct ``row`` with group, range, place and a whole ``amount``; written, as ranges must not be drawn twice."""
+def _whole_number(df: DataFrame, amount: str) -> None:
     if df.schema[amount].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
         raise TypeError(f"{amount} must be a whole number")
+
+
+def _placed(df: DataFrame, by: list[str], order: list[str], amount: str) -> DataFrame:
+    """``df`` as struct ``row`` with group, range, place and a whole ``amount``; written, as ranges must not be drawn twice."""
     group = F.to_json(F.struct(*[F.col(c) for c in by]), {"ignoreNullFields": "false"}) if by else F.lit("")
     keyed = df.select(F.struct("*").alias("row"), group.alias("group"), F.col(amount).cast("long").alias("amount"), *[F.col(c).alias(f"o{k}") for k, c in enumerate(order)])
     out = dense_position(keyed, "group", *[f"o{k}" for k in range(len(order))])
     return written(out.select("row", "group", "amount", F.col("position").alias("place"), F.floor(F.col("position") / RANGE).alias("range")), "budget-placed")
 
 
+def _few(df: DataFrame, by: list[str], run, kind: str) -> DataFrame | None:
+    """A table of one range at most, each group by itself, as it is; ``run`` takes a group's frame in order."""
+    if df.limit(RANGE + 1).count() > RANGE:
+        return None
+    group = F.to_json(F.struct(*[F.col(c) for c in by]), {"ignoreNullFields": "false"}) if by else F.lit("")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", {kind}"
+    return df.groupBy(group.alias("__group")).applyInPandas(run, schema)
+
+
 def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS else df
 
@@ -127,6 +139,17 @@ def batches(df: DataFrame, by: list[str], order: list[str], size: str, most: int
 
     A row larger than that is a batch of its own. Sizes are whole numbers, 0 or more.
     """
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, kind="stable")
+        cut, out, start = first_cuts(np.concatenate([[0], np.cumsum(pdf[size].to_numpy(np.int64))]), most), np.zeros(len(pdf), np.int64), 0
+        while (start := int(cut[start])) < len(pdf):
+            out[start:] += 1
+        return pdf.assign(batch=out)
+
+    _whole_number(df, size)
+    if (few := _few(df, by, whole, "batch long")) is not None:
+        return few
     items = _placed(df, by, order, size)
 
     def told(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -181,7 +204,19 @@ def spend(df: DataFrame, by: list[str], order: list[str], cost: str, budget: int
 
     Costs are whole numbers, 0 or more; a null cost is not taken. ``budget`` may be a column that is constant in a group.
     """
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, kind="stable")
+        left, taken = int(pdf["__budget"].iloc[0]), []
+        for c in pdf[cost].tolist():
+            taken.append(c is not None and c == c and c <= left)
+            left -= int(c) if taken[-1] else 0
+        return pdf.assign(taken=taken)
+
     limit = budget if isinstance(budget, Column) else F.lit(budget)
+    _whole_number(df, cost)
+    if (few := _few(df.withColumn("__budget", limit.cast("long")), by, whole, "taken boolean")) is not None:
+        return few.drop("__budget")
     items = _placed(df.withColumn("__budget", limit.cast("long")), by, order, cost)
     state = written(items.groupBy("group").agg(F.max("row.__budget").alias("left")), "budget-left")
     remaining, decided = items.select("group", "range", "place", "amount"), []

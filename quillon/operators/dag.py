@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.work import written
+from .budget import spend
 
 
-def closure(edges: DataFrame, roots: DataFrame, most_depth: int = 64) -> DataFrame:
+def closure(edges: DataFrame, roots: DataFrame, most_depth: int = 64, cut: bool = False) -> DataFrame:
     """(root, node, depth: least) of all that roots (column root) depend on, themselves included at depth 0.
 
     Edges are (node, dep). Frontiers are joined round by round; what is known is not visited again, so
-    cycles end. Deeper graphs than ``most_depth`` are refused.
+    cycles end. Deeper graphs than ``most_depth`` are refused, or with ``cut`` given as far as that.
     """
     edges = edges.select("node", "dep").distinct()
     known = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")).distinct()
@@ -25,6 +25,8 @@ def closure(edges: DataFrame, roots: DataFrame, most_depth: int = 64) -> DataFra
         if front.isEmpty():
             return known
         known = known.unionByName(front)
+    if cut:
+        return known
     raise ValueError(f"deeper than {most_depth}")
 
 
@@ -73,27 +75,17 @@ def divergence(comparisons: DataFrame, edges: DataFrame) -> DataFrame:
     return comparisons.filter("status = 'mismatch'").join(by, "node", "left").select("node", origin.alias("origin"))
 
 
-def plan(candidates: DataFrame, by: str, order: str, cost: str, budget: float) -> DataFrame:
-    """Candidates in order with whether the budget of their group still pays for them; refused ones cost nothing."""
+def plan(candidates: DataFrame, by: str, order: str, cost: str, budget: int) -> DataFrame:
+    """Candidates in order with whether the budget of their group still pays for them; refused ones cost nothing. Costs are whole numbers."""
+    return spend(candidates, [by], [order], cost, budget)
 
-    def spend(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        left, taken = budget, []
-        for c in pdf[cost].tolist():
-            taken.append(c <= left)
-            left -= c if taken[-1] else 0
-        return pdf.assign(taken=taken)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in candidates.schema) + ", taken boolean"
-    return candidates.groupBy(by).applyInPandas(spend, schema)
-
-
-def planned(nodes: DataFrame, edges: DataFrame, candidates: DataFrame, order: list, budget: float) -> DataFrame:
+def planned(nodes: DataFrame, edges: DataFrame, candidates: DataFrame, order: list, budget: int) -> DataFrame:
     """(node, level, candidate, cost, status) of a derivation plan: nodes in dependency order, each with its best candidate.
 
     ``candidates`` are (node, candidate, cost, ...). Within a level nodes go by name; one whose cost the rest of the budget does not cover is
-    refused and costs nothing, one that needs a refused or unplannable node is blocked. The budget is spent in order by
-    nature, so a level's chosen costs (a name and a number a node) are one group.
+    refused and costs nothing, one that needs a refused or unplannable node is blocked. Costs are whole numbers; the nodes of a level
+    are spent for in order of their names, range by range.
     """
     from .selection import best
 
@@ -109,36 +101,21 @@ def planned(nodes: DataFrame, edges: DataFrame, candidates: DataFrame, order: li
         else:
             own = own.withColumn("__blocked", F.lit(None).cast("boolean"))
 
-        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in placed.schema)
-        own = _kept(own.groupBy("level").applyInPandas(_spending(left), f"{kinds}, status string"))
+        free = own.filter("__blocked IS NULL AND cost IS NOT NULL")
+        taken = spend(free.select("node", "cost"), [], ["node"], "cost", left).filter("taken").select("node", "taken")
+        status = F.when(F.col("__blocked"), "blocked").when(F.col("cost").isNull(), "no_candidate").when(F.col("taken"), "planned").otherwise("over_budget")
+        own = _kept(own.join(taken, "node", "left").withColumn("status", status).drop("__blocked", "taken"))
         left -= own.filter("status = 'planned'").agg(F.sum("cost")).first()[0] or 0
         done = own if done is None else done.unionByName(own)
     return done.select("node", "level", "candidate", "cost", "status")
 
 
-def _spending(budget: float):
-    """Statuses of one level's nodes, in order of their names, from what is left of the budget."""
-
-    def spend(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, rest, out = pdf.sort_values("node", kind="stable"), budget, []
-        for cost, blocked in zip(pdf["cost"], pdf["__blocked"].fillna(False).astype(bool), strict=True):
-            if blocked:
-                out.append("blocked")
-            elif cost is None or cost != cost:
-                out.append("no_candidate")
-            elif cost <= rest:
-                out.append("planned")
-                rest -= cost
-            else:
-                out.append("over_budget")
-        return pdf.assign(status=out).drop(columns="__blocked")
-
-    return spend
-
-
 def resolved(roots: DataFrame, edges: DataFrame, known: DataFrame, most_depth: int, most_nodes: int) -> DataFrame:
-    """(root, nodes, depth, outcome) of identities resolved with all they depend on: resolved, or missing, too_deep or too_many."""
-    tree = closure(edges, roots)
+    """(root, nodes, depth, outcome) of identities resolved with all they depend on: resolved, or missing, too_deep or too_many.
+
+    What lies more than one step beyond ``most_depth`` is not visited: there, nodes and depth are those of what was.
+    """
+    tree = closure(edges, roots, most_depth + 1, cut=True)
     lost = tree.join(known.select("node"), "node", "left_anti").groupBy("root").agg(F.count("*").alias("missing"))
     per = tree.groupBy("root").agg(F.count("*").alias("nodes"), F.max("depth").alias("depth")).join(lost, "root", "left")
     outcome = F.when(F.col("depth") > most_depth, "too_deep").when(F.col("nodes") > most_nodes, "too_many").when(F.col("missing") > 0, "missing").otherwise("resolved")

@@ -114,3 +114,9 @@ def exact_dots(df: DataFrame, by: list[str], **pairs: tuple[Column, Column]) ->
     flat = {f"{n}{k}": c.cast("double").alias(f"{n}{k}") for n, pair in pairs.items() for k, c in enumerate(pair)}
     rows = df.select(*by, *flat.values())
     return exact_sums(rows, by, **{n: product(F.col(f"{n}0"), F.col(f"{n}1")) for n in pairs})
+
+
+def interval_contraction(df: DataFrame, by: list[str], lo: str, hi: str, least: Column, most: Column) -> DataFrame:
+    """(by, lo, hi): exact sums of the ends of [lo, hi] times the weights [least, most], which are 0 or more."""
+    low, high = F.when(F.col(lo) >= 0, least).otherwise(most), F.when(F.col(hi) >= 0, most).otherwise(least)
+    return exact_dots(df, by, lo=(F.col(lo), low), hi=(F.col(hi), high))

@@ -55,6 +55,25 @@ def flatten(df: DataFrame, keys: list[str], values: str, rules: list[str] = ())
     return out.filter(allowed(F.col("observable"), list(rules)) & F.regexp_like("value", F.lit(DECIMAL)))
 
 
+def lets_through(name: str, rules: list[str]) -> bool:
+    """``allowed`` for a name that is known when the plan is made."""
+    for rule in rules:
+        kind, _, p = rule.partition(":")
+        rest = name[len(p) :]
+        if name.startswith(p) and (kind == "prefix" or (rest.isascii() and rest.isdigit())):
+            return False
+    return True
+
+
+def flatten_columns(df: DataFrame, keys: list[str], values: dict[str, Column], rules: list[str] = ()) -> DataFrame:
+    """``flatten`` where every row has the same observables: those the policy drops are never made, the others are stacked without a map."""
+    allowed(F.lit(""), list(rules))
+    kept = [F.struct(F.lit(name).alias("observable"), value.alias("value")) for name, value in values.items() if lets_through(name, list(rules))]
+    out = df.select(*keys, F.inline(F.array(*kept) if kept else F.array().cast("array<struct<observable:string,value:string>>")))
+    return out.filter(F.regexp_like("value", F.lit(DECIMAL)))
+
+
+#: The field names of a flat packet.
 PACKET = T.StructType([
     T.StructField("kind", T.StringType()), T.StructField("lambda_squared", T.StringType()), T.StructField("n_modes", T.StringType()),
     T.StructField("precision_bits", T.StringType()), T.StructField("values", T.MapType(T.StringType(), T.StringType())),

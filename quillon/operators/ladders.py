@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .budget import batches
+
 
 def stabilization(df: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
     """Changes between neighbours and ratios of changes; no ratio to a change of zero."""
@@ -110,21 +111,9 @@ def interpolate(grid: DataFrame, points: DataFrame, by: list[str], x: str, y: st
     return at.join(cells, [*by, "__cell"]).withColumn("value", F.col(y) + (F.col("__y1") - F.col(y)) * (F.col(x) / step - F.col("__cell"))).drop("__cell", "__y1", y)
 
 
-def greedy_batches(df: DataFrame, by: str, order: str, size: str, cap: int) -> DataFrame:
-    """Batch numbers by filling in order: a new batch starts where the running sum would pass the cap. One series is one group."""
-
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        out, used, batch = [], 0, 0
-        for s in pdf[size].tolist():
-            if used and used + s > cap:
-                used, batch = 0, batch + 1
-            used += s
-            out.append(batch)
-        return pdf.assign(batch=out)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", batch long"
-    return df.groupBy(by).applyInPandas(fill, schema)
+def greedy_batches(df: DataFrame, by: str | list[str], order: str, size: str, cap: int) -> DataFrame:
+    """Rows of a series in order with the batch they fall in, from 0; a batch ends where the next row would take it over the cap."""
+    return batches(df, [by] if isinstance(by, str) else by, [order], size, cap)
 
 
 def monotone(df: DataFrame, by: list[str], order: str, value: str) -> DataFrame:

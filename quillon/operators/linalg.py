@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .exact_sums import exact_dots
+
 
 def apply(matrix: DataFrame, vector: DataFrame) -> DataFrame:
     """(i, v) of A x for tables (i, j, v) and (i, v): one join and one aggregation, whatever the storage."""
@@ -235,17 +237,9 @@ def resumed(rows: DataFrame, done: DataFrame, by: str, build) -> DataFrame:
     return done.withColumn("resumed", F.lit(True)).unionByName(fresh.withColumn("resumed", F.lit(False)))
 
 
-def block_contraction(df: DataFrame, by: str, index: str, a: str, b: str, block: int = 512) -> DataFrame:
-    """(by, dot): products in blocks of consecutive rows, each block summed exactly and rounded once, blocks added in order."""
-    import math
-
-    @F.pandas_udf("double")
-    def summed(x: pd.Series) -> float:
-        return math.fsum(x)
-
-    place = F.row_number().over(W.partitionBy(by).orderBy(index)) - 1
-    parts = df.withColumn("__block", F.floor(place / block)).groupBy(by, "__block").agg(summed(F.col(a) * F.col(b)).alias("__sum"))
-    return parts.groupBy(by).agg(F.sum("__sum").alias("dot"))
+def block_contraction(df: DataFrame, by: str, a: str, b: str) -> DataFrame:
+    """(by, dot): the products' exact sum, rounded once: the same bits for every order, block and partitioning."""
+    return exact_dots(df, [by], dot=(F.col(a), F.col(b)))
 
 
 def rayleigh_parts(forms: DataFrame, vector: DataFrame, by: str) -> DataFrame:

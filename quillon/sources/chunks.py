@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -64,18 +63,7 @@ def expand(inline: DataFrame | None, chunked: DataFrame | None) -> DataFrame:
     return inline if inline is not None else chunked
 
 
-# --- Ordinates: tables of numbers as decimal text
-
-
-NUMBER = re.compile(r"-?[0-9]+(\.[0-9]+)?")
-
-
-def ordinates(spark: SparkSession, path: str, first: int) -> DataFrame:
-    """(ordinal from 1, text) of the first so many numbers of a JSON array of strings, unchanged; fewer are an error when they are read."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.from_json("value", "array<string>").alias("a"))
-    enough = F.when(F.coalesce(F.size("a"), F.lit(0)) < first, F.raise_error(F.lit(f"fewer than {first} ordinates"))).otherwise(F.col("a"))
-    out = raw.select(F.posexplode(F.slice(enough, 1, first)).alias("ordinal", "text"))
-    return out.select((F.col("ordinal") + 1).cast("long").alias("ordinal"), "text")
+# --- Ordinates, as ordinates.py reads them
 
 
 def as_doubles(numbers: DataFrame) -> DataFrame:
@@ -92,26 +80,6 @@ def at_digits(numbers: DataFrame, digits: int) -> DataFrame:
     return numbers.select("ordinal", round_to("text", F.lit(digits), F.lit("nearest_even")).alias("text"))
 
 
-def identity(numbers: DataFrame, name: str) -> DataFrame:
-    """One row that binds a table's name to its content: (id, sha256, count, least digits). The digest is of the rows' digests in order, by blocks."""
-    rows = numbers.select("ordinal", F.concat_ws("\n", F.col("ordinal").cast("string"), "text").alias("line"), (F.length("text") - F.length(F.translate("text", "0123456789", ""))).alias("digits"))
-    blocks = rows.groupBy(F.floor(F.col("ordinal") / 4096).alias("block")).agg(
-        F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "line"))), lambda x: x["line"]), "\n"), 256).alias("h"), F.count("*").alias("n"), F.min("digits").alias("digits")
-    )
-    # A digest for each 4,096 rows.
-    return blocks.agg(
-        F.lit(name).alias("id"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "h"))), lambda x: x["h"]), ""), 256).alias("sha256"),
-        F.sum("n").alias("count"), F.min("digits").alias("digits"),
-    )
-
-
-def write_ordinates(df: DataFrame, path: str, order: str, text: str) -> str:
-    """A JSON array of a small table's numbers in order, as one file; for tables of reference numbers, which a driver can hold."""
-    rows = df.agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text])).alias("value"))
-    rows.coalesce(1).write.mode("error").text(path)
-    return path
-
-
 def bounded_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches as they come, refusing a line beyond ROW_MOST."""
     for b in batches:

@@ -131,7 +131,9 @@ def scan(spark: SparkSession, paths: str | list[str], rules: list[str] = (), mos
         raise ValueError("the byte limit must be positive")
     judged = parsed(read_files(spark, paths, most_bytes, glob), rules)
     whole = lambda v: F.try_variant_get(v, "$", "bigint")
-    rows = judged.filter("reason IS NULL").select("*", F.explode("found").alias("f"))
+    # An outer explosion, filtered behind: a filter on the reason would be pushed below all steps of the parse and hold each many times over.
+    kept = ["C", "N", "P", "kind", "artifact_digest", "sources", "convention", "path", "sha256"]
+    rows = judged.select(*kept, F.explode_outer(F.when(F.col("reason").isNull(), F.col("found"))).alias("f")).filter("f IS NOT NULL")
     f = F.col("f")
     rows = rows.select(
         _text(F.col("C")).alias("C"), whole(F.col("N")).alias("N"), whole(F.col("P")).alias("P"), whole(f["ordinal"]).alias("ordinal"), _text(F.col("kind")).alias("kind"),

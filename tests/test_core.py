@@ -180,11 +180,19 @@ def test_chains_tell_cycles_and_depth(spark):
 def test_plans_spend_a_budget_in_dependency_order(spark):
     nodes = spark.createDataFrame([(n,) for n in "abcdef"], "node string")
     edges = spark.createDataFrame([("c", "a"), ("d", "b"), ("e", "c"), ("f", "d")], "node string, dep string")
-    candidates = spark.createDataFrame([("a", 1, 9.0), ("a", 2, 3.0), ("b", 1, 50.0), ("c", 1, 4.0), ("d", 1, 1.0), ("f", 1, 1.0)], "node string, candidate int, cost double")
-    got = {r.node: (r.level, r.candidate, r.status) for r in dag.planned(nodes, edges, candidates, [F.col("cost")], 10.0).collect()}
+    candidates = spark.createDataFrame([("a", 1, 9), ("a", 2, 3), ("b", 1, 50), ("c", 1, 4), ("d", 1, 1), ("f", 1, 1)], "node string, candidate int, cost long")
+    got = {r.node: (r.level, r.candidate, r.status) for r in dag.planned(nodes, edges, candidates, [F.col("cost")], 10).collect()}
     assert got == {"a": (0, 2, "planned"), "b": (0, 1, "over_budget"), "c": (1, 1, "planned"), "d": (1, 1, "blocked"), "e": (2, None, "no_candidate"), "f": (2, 1, "blocked")}
 
 
+def test_resolution_tells_its_limits(spark):
+    line = spark.createDataFrame([(f"n{k}", f"n{k + 1}") for k in range(70)] + [("wide", f"n{60 + k}") for k in range(9)], "node string, dep string")
+    known = spark.createDataFrame([(f"n{k}",) for k in range(70)] + [("wide",)], "node string")
+    roots = spark.createDataFrame([("n0",), ("n69",), ("n68",), ("wide",), ("n65",)], "root string")
+    got = {r.root: (r.nodes, r.depth, r.outcome) for r in dag.resolved(roots, line, known, 8, 9).collect()}
+    assert got == {"n0": (10, 9, "too_deep"), "n69": (2, 1, "missing"), "n68": (3, 2, "missing"), "wide": (12, 3, "too_many"), "n65": (6, 5, "missing")}
+
+
 def test_invalid_hypotheses_are_refused(spark):
     from quillon.operators import governance
 
