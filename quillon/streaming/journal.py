@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-EVENT = "schema_version int, tx string, seq long, phase string, elapsed_seconds double, at timestamp, details map<string,string>"
-#: Fixed order of the phases of a transaction.
-PHASES = ["planned", "staged", "uploaded", "verified", "published", "abandoned"]
+from ..operators.transactions import next_phase
 
+EVENT = "schema_version int, tx string, seq long, phase string, elapsed_seconds double, at timestamp, details map<string,string>"
 
 def read_events(spark: SparkSession, path: str, files_per_trigger: int = 100) -> tuple[DataFrame, DataFrame]:
     """(events, lines that are no valid event) of a folder of JSON lines, as streams; bad lines are kept, not fatal."""
@@ -38,6 +37,4 @@ def states(spark: SparkSession, path: str) -> DataFrame:
     """(tx, phase, next_phase, checkpoints): the latest checkpoint of each transaction wins."""
     rows = spark.read.schema("tx string, seq long, phase string, at timestamp, batch long").parquet(path).dropDuplicates(["tx", "seq"])
     last = rows.groupBy("tx").agg(F.max_by("phase", "seq").alias("phase"), F.count("*").alias("checkpoints"))
-    place = F.array_position(F.array(*map(F.lit, PHASES)), F.col("phase"))
-    following = F.when(F.col("phase").isin("published", "abandoned"), None).otherwise(F.get(F.array(*map(F.lit, PHASES)), place.cast("int")))
-    return last.select("tx", "phase", following.alias("next_phase"), "checkpoints")
+    return last.select("tx", "phase", next_phase(F.col("phase")).alias("next_phase"), "checkpoints")

@@ -138,7 +138,7 @@ def test_journal_stream(spark, tmp_path):
     (tmp_path / "in/a.jsonl").write_text("\n".join(map(json.dumps, [*events, events[1]])) + "\nbad line\n")
     good, bad = journal.read_events(spark, str(tmp_path / "in"))
     journal.journal(good, str(tmp_path / "j"), str(tmp_path / "c")).awaitTermination()
-    assert [tuple(r) for r in journal.states(spark, str(tmp_path / "j")).collect()] == [("t", "uploaded", "verified", 3)]
+    assert [tuple(r) for r in journal.states(spark, str(tmp_path / "j")).collect()] == [("t", "uploaded", "indexed", 3)]
     q = journal.phase_windows(good).writeStream.outputMode("complete").format("memory").queryName("phases").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sum(r.calls for r in spark.table("phases").collect()) == 4
