@@ -40,11 +40,10 @@ def packet_inventory(spark, d):
     return inventory.groupBy("status", "reason").agg(F.count("*").alias("files"))
 
 
-@query("jsonl_write", "WITH r AS (SELECT '{\"key\":' || p_partkey || ',\"size\":' || p_size || '}' || chr(10) AS line, (row_number() OVER (ORDER BY p_partkey) - 1) // 100 AS c FROM part) SELECT printf('chunk-%06d.jsonl', c) AS relative_path, sha256(string_agg(line, '' ORDER BY line)) <> '' AS has_digest, CAST(sum(length(line)) AS BIGINT) AS bytes, count(*) AS rows FROM r GROUP BY c")
+@query("jsonl_write", "WITH r AS (SELECT '{\"key\":' || p_partkey || ',\"size\":' || p_size || '}' || chr(10) AS line, p_partkey, (row_number() OVER (ORDER BY p_partkey) - 1) // 100 AS c FROM part) SELECT printf('chunk-%06d.jsonl', c) AS relative_path, sha256(string_agg(line, '' ORDER BY p_partkey)) AS sha256, CAST(sum(length(line)) AS BIGINT) AS bytes, count(*) AS rows FROM r GROUP BY c")
 def jsonl_write(spark, d):
     p = table(spark, d, "part").select(F.col("p_partkey").alias("key"), F.col("p_size").alias("size"))
-    out = chunks.write(p, work.fresh(spark, "jsonl"), ["key"], 100)
-    return out.select("relative_path", (F.col("sha256") != "").alias("has_digest"), "bytes", "rows")
+    return chunks.write(p, work.fresh(spark, "jsonl"), ["key"], 100)
 
 
 def tampered(spark, d):

@@ -17,18 +17,22 @@ MANIFEST = "relative_path string, sha256 string, bytes long, rows long"
 
 
 def write(df: DataFrame, path: str, order: list[str], rows: int) -> DataFrame:
-    """Write ``df`` in order as chunks of so many JSON lines; returns their manifest (relative_path, sha256, bytes, rows).
+    """Write ``df`` in order as chunk files of so many JSON lines; returns their manifest (relative_path, sha256, bytes, rows).
 
-    A chunk is one file of one task; tasks hold one row at a time.
+    A chunk is one text file that any tool can read, in a folder that bears its name; a task streams its lines in order.
     """
-    spark = df.sparkSession
-    body = F.concat(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}), F.lit("\n"))
+    body = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
     placed = dense_position(df, *order).withColumn("chunk", F.floor(F.col("position") / rows)).select("chunk", "position", body.alias("line"))
-    lines = placed.repartition("chunk").sortWithinPartitions("chunk", "position").withColumn("relative_path", F.format_string("chunk-%06d.jsonl", "chunk"))
-    # One object a chunk: its bytes are rows times a bounded line.
-    whole = lines.groupBy("relative_path").agg(F.count("*").alias("rows"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "line"))), lambda x: x["line"]), "").alias("value"))
-    whole.select("relative_path", "value", "rows", F.octet_length("value").cast("long").alias("bytes"), F.sha2("value", 256).alias("sha256")).write.parquet(f"{path}/chunks")
-    return spark.read.parquet(f"{path}/chunks").select("relative_path", "sha256", "bytes", "rows")
+    lines = placed.withColumn("relative_path", F.format_string("chunk-%06d.jsonl", "chunk")).repartition("relative_path").sortWithinPartitions("relative_path", "position")
+    lines.select("line", "relative_path").write.option("lineSep", "\n").partitionBy("relative_path").text(f"{path}/chunks")
+    files = _files(df.sparkSession, path)
+    return files.select("relative_path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"), (F.size(F.split(F.col("content").cast("string"), "\n")) - 1).cast("long").alias("rows"))
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """(relative_path, length, content) of the chunk files under a folder."""
+    schema = "path string, modificationTime timestamp, length long, content binary, relative_path string"
+    return spark.read.format("binaryFile").schema(schema).option("pathGlobFilter", "part-*").load(f"{path}/chunks")
 
 
 def read(spark: SparkSession, path: str, manifest: DataFrame, schema: T.StructType | str, most_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -38,7 +42,7 @@ def read(spark: SparkSession, path: str, manifest: DataFrame, schema: T.StructTy
     manifest says, with a row over ROW_MOST or of other than the schema's form, or with another number of rows.
     """
     named = manifest.select("relative_path", *[F.col(c).alias(f"want_{c}") for c in ("sha256", "bytes", "rows")])
-    stored = spark.read.parquet(f"{path}/chunks").select("relative_path", "value")
+    stored = _files(spark, path).select("relative_path", F.col("content").cast("string").alias("value"))
     both = named.join(stored, "relative_path", "left")
     schema = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
     lines = F.slice(F.split("value", "\n"), 1, F.size(F.split("value", "\n")) - 1)
