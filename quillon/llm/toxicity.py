@@ -34,7 +34,7 @@ from .common import tasks, words_of, written
 
 MAX_TOXIC, MAX_CLEAN = 4_000, 16_000
 #: Least similarity of shingle sets of near copies in the sample, and hashes in bands that find them.
-ALIKE, BANDS, BAND = 0.8, 8, 2
+ALIKE, BANDS, BAND = 0.8, 4, 2
 #: Least likelihood ratio (G squared) and log odds of a term.
 LEAST_RATIO, LEAST_ODDS = 24.0, 2.5
 STEMS = range(4, 9)
@@ -291,7 +291,7 @@ def without_copies(sample: DataFrame) -> DataFrame:
     rows = written(rows.select("key", "text", "toxic", "set", F.xxhash64("key", "text").alias("row"), F.monotonically_increasing_id().alias("nth")), "toxicity-sets")
     least = lambda k: F.array_min(F.transform("set", lambda h: F.xxhash64(h, F.lit(k))))
     bands = F.array(*[F.struct(F.lit(k).alias("band"), *[least(k * BAND + j).alias(f"m{j}") for j in range(BAND)]) for k in range(BANDS)])
-    banded = rows.select("toxic", "row", "nth", F.explode(bands).alias("at"))
+    banded = written(rows.select("toxic", "row", "nth", F.explode(bands).alias("at")), "toxicity-bands")
     first = banded.groupBy("toxic", "at").agg(F.min(F.struct("row", "nth")).alias("first"))
     pairs = banded.join(first, ["toxic", "at"]).filter(F.struct("row", "nth") > F.col("first")).select("nth", F.col("first.nth").alias("other")).distinct()
     sets = rows.select(F.col("nth").alias("other"), F.col("set").alias("other_set"))
