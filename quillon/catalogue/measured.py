@@ -115,17 +115,17 @@ def ordinate_texts(spark, d):
 
 
 def price_vector(spark, d):
-    placed = dense_position(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice"), "l_orderkey", "l_linenumber")
+    placed = dense_position(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice"), "l_orderkey", "l_linenumber", "l_extendedprice")
     return vectors.write(placed, work.fresh(spark, "vector"), "position", "l_extendedprice", 4096)
 
 
-@query("stored_vector_range", "SELECT * FROM (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS i, l_extendedprice AS v FROM lineitem) WHERE i BETWEEN 1000 AND 5999")
+@query("stored_vector_range", "SELECT * FROM (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_extendedprice) - 1 AS i, l_extendedprice AS v FROM lineitem) WHERE i BETWEEN 1000 AND 5999")
 def stored_vector_range(spark, d):
     """A range of a stored vector of all line items' prices, from the chunks that hold it."""
     return vectors.read(spark, price_vector(spark, d), 1000, 6000)
 
 
-@query("stored_vector_dot", "SELECT round(sum(l_extendedprice * i), 0) AS dot, count(*) AS n FROM (SELECT l_extendedprice, row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS i FROM lineitem)")
+@query("stored_vector_dot", "SELECT round(sum(l_extendedprice * i), 0) AS dot, count(*) AS n FROM (SELECT l_extendedprice, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_extendedprice) - 1 AS i FROM lineitem)")
 def stored_vector_dot(spark, d):
     """A whole stored vector times its indices, summed exactly."""
     rows = vectors.read(spark, price_vector(spark, d))
