@@ -125,11 +125,11 @@ def stored_vector_range(spark, d):
     return vectors.read(spark, price_vector(spark, d), 1000, 6000)
 
 
-@query("stored_vector_dot", "SELECT round(sum(l_extendedprice * i), 0) AS dot, count(*) AS n FROM (SELECT l_extendedprice, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_extendedprice) - 1 AS i FROM lineitem)")
+@query("stored_vector_dot", "SELECT round(sum(l_extendedprice * i) / 1e9, 3) AS dot, count(*) AS n FROM (SELECT l_extendedprice, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_extendedprice) - 1 AS i FROM lineitem)")
 def stored_vector_dot(spark, d):
     """A whole stored vector times its indices, summed exactly."""
     rows = vectors.read(spark, price_vector(spark, d))
-    dot = exact_sums.exact_dots(rows, [], dot=(F.col("v"), F.col("i").cast("double"))).select(F.round("dot", 0).alias("dot"))
+    dot = exact_sums.exact_dots(rows, [], dot=(F.col("v"), F.col("i").cast("double"))).select(F.round(F.col("dot") / 1e9, 3).alias("dot"))
     return dot.crossJoin(rows.agg(F.count("*").alias("n")))
 
 
