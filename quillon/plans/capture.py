@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import threading
+import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,22 +17,47 @@ from ..sources.work import fresh, written
 RECEIPT = "diagnostic string, outcome string, rows long, path string, reason string"
 
 
-def capture(spark: SparkSession, diagnostics: dict[str, Callable[[], DataFrame]], root: str | None = None) -> DataFrame:
+def capture(spark: SparkSession, diagnostics: dict[str, Callable[[], DataFrame]], root: str | None = None, *, keys: dict[str, str] | None = None, side_by_side: int = 4) -> DataFrame:
     """A receipt (diagnostic, outcome, rows, path, reason) of each diagnostic: its table is written, or its failure noted; none stops the others.
 
-    Tables go under ``root`` (private to the run), or into the work folder.
+    Tables go under ``root`` (private to the run), or into the work folder. Up to ``side_by_side`` diagnostics run at a time, each in a pool of its own name. With ``keys``, digests of
+    all that a diagnostic depends on, ``root`` is a folder that runs share: a table that an earlier run finished under the same key is ``reused``; one
+    that a run left unfinished is written anew. A diagnostic without a key is always computed.
     """
-    rows = []
-    for name, make in diagnostics.items():
-        path = f"{root}/{name}" if root else fresh(spark, f"capture-{name}")
+    if keys is not None and root is None:
+        raise ValueError("tables are reused from a folder that runs share")
+
+    def one(name: str) -> tuple:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", name)
+        key = (keys or {}).get(name)
+        path = fresh(spark, f"capture-{name}") if not root else f"{root}/{name}-{key}" if key else f"{root}/{name}" if keys is None else f"{root}/{name}-{uuid.uuid4().hex}"
         try:
-            make().write.parquet(path)
-            rows.append((name, "captured", spark.read.parquet(path).count(), path, None))
+            if key and (rows := _finished(spark, path)) is not None:
+                return name, "reused", rows, path, None
+            make = diagnostics[name]()
+            (make.write.mode("overwrite") if key else make.write).parquet(path)
+            rows = spark.read.schema(make.schema).parquet(path).count()
+            if key:  # written last, so that it stands for a whole table
+                spark.range(1).select(F.lit(rows).cast("long").alias("rows")).coalesce(1).write.mode("overwrite").parquet(f"{path}-finished")
+            return name, "captured", rows, path, None
         except Exception as e:  # noqa: BLE001 - whatever a diagnostic raises is its outcome
-            rows.append((name, "failed", None, None, type(e).__name__))
+            return name, "failed", None, None, type(e).__name__
+        finally:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
+
+    with ThreadPoolExecutor(max_workers=max(1, side_by_side)) as pool:
+        rows = list(pool.map(inheritable_thread_target(spark)(one), diagnostics))
     return spark.createDataFrame(rows, RECEIPT)
 
 
+def _finished(spark: SparkSession, path: str) -> int | None:
+    try:
+        found = spark.read.schema("rows long").parquet(f"{path}-finished").first()
+    except AnalysisException:
+        return None
+    return None if found is None else found[0]
+
+
 class Memo:
     """Results of a run, by key and type: each is computed once, validated, and shared by all that ask; a failed one is not kept."""
 
