@@ -31,19 +31,22 @@ def closure(edges: DataFrame, roots: DataFrame, most_depth: int = 64, cut: bool
 
 
 def chain(spark, view_sql: str, start_sql: str, most: int = 64) -> DataFrame:
-    """(start, node, step, problem) along single successors by a recursive query.
+    """(start, node, step, problem) along single successors, a join a step, as recursive queries stop at a million rows.
 
     A node that the chain has met already ends it with a row whose problem is ``cycle``, a step beyond ``most`` (under 100) with
     one whose problem is ``too deep``; all other rows have none. ``view_sql`` selects (node, next), ``start_sql`` selects (start).
     """
-    return spark.sql(f"""
-        WITH RECURSIVE s AS ({start_sql}), e AS ({view_sql}),
-        c AS (SELECT start, start AS node, 0 AS step, array(start) AS seen, CAST(NULL AS STRING) AS problem FROM s
-              UNION ALL
-              SELECT c.start, e.next, c.step + 1, array_append(c.seen, e.next),
-                     CASE WHEN array_contains(c.seen, e.next) THEN 'cycle' WHEN c.step >= {most} THEN 'too deep' END
-              FROM c JOIN e ON c.node = e.node WHERE c.problem IS NULL)
-        SELECT start, node, step, problem FROM c""")
+    # Written columns of numbers are far smaller than in memory, so none of them is broadcast by its size.
+    edges = _kept(spark.sql(view_sql).select("node", "next")).hint("merge")
+    front = _kept(spark.sql(start_sql).select("start", F.col("start").alias("node"), F.lit(0).alias("step"), F.array("start").alias("seen"), F.lit(None).cast("string").alias("problem")))
+    done = front.drop("seen")
+    while True:
+        step = front.filter("problem IS NULL").join(edges, "node")
+        problem = F.when(F.array_contains("seen", F.col("next")), "cycle").when(F.col("step") >= most, "too deep")
+        front = _kept(step.select("start", F.col("next").cast(front.schema["node"].dataType).alias("node"), (F.col("step") + 1).alias("step"), F.array_append("seen", F.col("next")).alias("seen"), problem.alias("problem")))
+        if front.isEmpty():
+            return done
+        done = done.unionByName(front.drop("seen"))
 
 
 def levels(edges: DataFrame, nodes: DataFrame, most_depth: int = 64) -> DataFrame:
