@@ -64,7 +64,7 @@ def prolate_ordering(spark, d):
 @query("kernel_positivity", "WITH t AS (SELECT s_nationkey AS nation, CAST(s_acctbal AS BIGINT) // 1000 AS v FROM supplier) SELECT nation, count(*) AS n, count(*) - count(DISTINCT v) AS duplicates, true AS positive, count(*) = 1 OR count(*) > count(DISTINCT v) AS flat FROM t GROUP BY 1 HAVING count(*) = 1 OR count(*) > count(DISTINCT v)")
 def kernel_positivity(spark, d):
     """A kernel's matrix has no eigenvalue below 0, and 0 itself where two ordinates are equal."""
-    s = table(spark, d, "supplier").select(F.col("s_nationkey").alias("nation"), F.floor(F.col("s_acctbal").cast("long") / 1000).cast("double").alias("v"))
+    s = table(spark, d, "supplier").select(F.col("s_nationkey").alias("nation"), F.expr("CAST(rint(s_acctbal) AS BIGINT) DIV 1000").cast("double").alias("v"))
     out = states.positivity(s, "nation", "v", 1.0)
     out = out.filter("n = 1 OR duplicates > 0")
     return out.select("nation", "n", "duplicates", (F.col("least") > -1e-9).alias("positive"), ((F.col("n") == 1) | (F.abs("least") < 1e-9)).alias("flat"))
