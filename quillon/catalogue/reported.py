@@ -85,10 +85,10 @@ def output_report(spark, d):
  r AS (SELECT o_custkey AS family, status FROM orders LEFT JOIN (SELECT * FROM o WHERE nth = 1) ON l_orderkey = o_orderkey)
  SELECT family, count(*) AS cases, count(*) FILTER (WHERE status = 'pass') AS passed, CASE WHEN bool_or(coalesce(status = 'fail', false)) THEN 'fail' WHEN bool_or(coalesce(status = 'ineligible', false)) THEN 'ineligible' WHEN bool_and(coalesce(status = 'pass', false)) THEN 'pass' ELSE 'unresolved' END AS verdict FROM r GROUP BY 1""")
 def frozen_scores(spark, d):
-    """Orders as frozen cases of a customer's hypothesis, their first line as the observation."""
+    """Orders as frozen cases of a customer's hypothesis, their first line as the observation; of lines with one number the one that is stored first."""
     cases = table(spark, d, "orders").select(F.col("o_custkey").alias("family"), F.col("o_orderkey").alias("case"))
     status = F.when(F.col("l_returnflag") == "R", "fail").when(F.col("l_returnflag") == "A", "ineligible").otherwise("pass")
-    seen = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("case"), F.col("l_linenumber").alias("seq"), status.alias("status"))
+    seen = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("case"), F.struct("l_linenumber", "_metadata.file_path", "_metadata.row_index").alias("seq"), status.alias("status"))
     return reports.scored(cases, seen)[0]
 
 
