@@ -169,7 +169,7 @@ def test_substrings_by_a_filter_move_no_text(docs, monkeypatch):
     for name, value in (("SENT_MOST", 0), ("FILTERED_MOST", 40), ("FILTER_BITS", 1 << 5), ("HOT", 2)):  # several passes and blocks, many false hits
         monkeypatch.setattr(substrings, name, value)
     assert sorted(str(tuple(r)) for r in substrings.digests(docs).collect()) == near
-    rows = docs.withColumn("digest", F.sha1(F.coalesce("text", F.lit("")).cast("binary")))
+    rows = docs.withColumn("digest", F.sha1(F.coalesce("text", F.lit("")).cast("binary"))).localCheckpoint()
     found = substrings.contexts(rows, "doc_id", "text", "digest", substrings.repeated_anchors(rows, "text", 8).localCheckpoint(), 8)
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
 
