@@ -12,27 +12,45 @@ error over 2**-1074. More than 2**37 rows a group raise an overflow instead of a
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WIDTH, LOWEST, PLACES = 26, -1074, 80
 
 
-def _unit(place: Column) -> Column:
-    return F.pow(F.lit(2.0), place * WIDTH + LOWEST)
+#: What a digit of each place stands for.
+_UNITS = [math.ldexp(1.0, k * WIDTH + LOWEST) if k * WIDTH + LOWEST < 1024 else math.inf for k in range(PLACES + 3)]
+#: Places of what is no finite number but counts: NaN, the infinities, null.
+NAN, PLUS, UNDER, NOTHING = -1, -2, -3, -4
 
 
-def digits(x: Column) -> Column:
-    """(place, digit) of a finite double's digits that are not 0."""
-    guess = F.greatest(F.lit(0), F.least(F.lit(PLACES), F.floor((F.log2(F.abs(x)) - LOWEST) / WIDTH))).cast("int")
-    top = guess + F.when(F.abs(x) < _unit(guess), -1).when(F.abs(x) >= _unit(guess + 1), 1).otherwise(0)
-    out, rest = [], x
+def _unit(place: Column) -> Column:
+    return F.get(F.array(*map(F.lit, _UNITS)), place)
+
+
+def placed_digits(df: DataFrame, by: list[str], x: str) -> DataFrame:
+    """(by, place, digit) of the sums of a group's digits; a null, a NaN or an infinity marks its group at a place of its own.
+
+    Values are added up by the place of their first digit, in three columns, map side first; only what comes out of that is spread over the places.
+    """
+    v = F.col(x)
+    mark = F.when(v.isNull(), NOTHING).when(F.isnan(v), NAN).when(v == float("inf"), PLUS).when(v == float("-inf"), UNDER)
+    guess = F.greatest(F.lit(0), F.least(F.lit(PLACES), F.floor((F.log2(F.abs(v)) - LOWEST) / WIDTH))).cast("int")
+    rows = df.select(*by, v.alias("__v"), F.when(v == 0, 0).when(mark.isNull(), guess).alias("__top"), mark.alias("__mark"))
+    size, top = F.abs("__v"), F.col("__top")
+    moved = F.when(size < _unit(top), -1).when(size >= _unit(top + 1), 1).otherwise(0)
+    # A zero stays at place 0 with digits 0.
+    rows = rows.withColumn("__top", F.coalesce("__mark", F.greatest(F.lit(0), top + moved))).withColumn("__rest", F.when(F.col("__mark").isNull(), F.col("__v")))
     for k in range(3):
-        place = F.greatest(top - k, F.lit(0))
-        digit = F.when(top >= k, (rest / _unit(place)).cast("long")).otherwise(F.lit(0).cast("long"))
-        out.append(F.struct(place.alias("place"), digit.alias("digit")))
-        rest = rest - digit.cast("double") * _unit(place)
-    return F.filter(F.array(*out), lambda d: d["digit"] != 0)
+        at = F.greatest(top - k, F.lit(0))
+        digit = F.when(F.col("__mark").isNull() & (top >= k), (F.col("__rest") / _unit(at)).cast("long")).otherwise(F.lit(0).cast("long"))
+        rows = rows.withColumn(f"__d{k}", digit).withColumn("__rest", F.col("__rest") - F.col(f"__d{k}").cast("double") * _unit(at))
+    sums = rows.groupBy(*by, "__top").agg(*[F.sum(f"__d{k}").alias(f"__d{k}") for k in range(3)])
+    spread = F.explode(F.array(*[F.struct((top - k).alias("place"), F.col(f"__d{k}").alias("digit"), F.lit(k).alias("k")) for k in range(3)])).alias("__d")
+    spread = sums.select(*by, top.alias("__top"), spread).filter("__d.k = 0 OR (__d.digit <> 0 AND __top >= __d.k)")
+    return spread.groupBy(*by, F.col("__d.place").alias("place")).agg(F.sum("__d.digit").alias("digit"))
 
 
 #: Rounds ``sums``, a map from place to whole number, to the nearest double.
@@ -67,34 +85,19 @@ def rounded(df: DataFrame, out: str) -> DataFrame:
 def exact_sums(df: DataFrame, by: list[str], **values: list[Column] | Column) -> DataFrame:
     """(by, one double a name): for each name the sum of its column, or of all of its list of columns, over a group."""
     lists = {n: c if isinstance(c, list) else [c] for n, c in values.items()}
-    flat = [(n, k, c.cast("double")) for n, cs in lists.items() for k, c in enumerate(cs)]
-    rows = df.select(F.struct(*by).alias("by") if by else F.struct(F.lit(0).alias("_")).alias("by"), *[c.alias(f"v{i}") for i, (_, _, c) in enumerate(flat)])
-    kind = lambda v: F.when(F.isnan(v), 1).when(v == float("inf"), 2).when(v == float("-inf"), 3).otherwise(0)
-    # A value is its digits, or one mark of its kind at a place of its own; 0 is a digit 0.
-    parts = []
-    for i, (n, _, _) in enumerate(flat):
-        v = F.col(f"v{i}")
-        marks = F.when(v.isNull(), F.array().cast("array<struct<place:int,digit:bigint>>")).when(kind(v) > 0, F.array(F.struct((-kind(v)).alias("place"), F.lit(1).cast("long").alias("digit")))).when(
-            v == 0, F.array(F.struct(F.lit(0).alias("place"), F.lit(0).cast("long").alias("digit")))
-        ).otherwise(digits(v))
-        parts.append(_named(marks, n))
-    spread = rows.select("by", F.explode(F.concat(*parts)).alias("d")).select("by", "d.*")
-    placed = spread.groupBy("by", "name", "place").agg(F.sum("digit").alias("digit"))
-    sums = placed.groupBy("by", "name").agg(
-        F.map_from_entries(F.collect_list(F.when(F.col("place") >= 0, F.struct("place", "digit")))).alias("sums"),
-        F.bool_or(F.col("place") == -1).alias("nan"), F.bool_or(F.col("place") == -2).alias("plus"), F.bool_or(F.col("place") == -3).alias("under"),
+    flat = [(n, c.cast("double")) for n, cs in lists.items() for c in cs]
+    group = F.struct(*by).alias("by") if by else F.struct(F.lit(0).alias("_")).alias("by")
+    rows = df.select(group, F.explode(F.array(*[F.struct(F.lit(n).alias("name"), c.alias("v")) for n, c in flat])).alias("d")).select("by", "d.*")
+    marked = lambda place: F.bool_or(F.col("place") == place)
+    sums = placed_digits(rows, ["by", "name"], "v").groupBy("by", "name").agg(
+        F.map_from_entries(F.collect_list(F.when(F.col("place") >= 0, F.struct("place", "digit")))).alias("sums"), marked(NAN).alias("nan"), marked(PLUS).alias("plus"), marked(UNDER).alias("under"),
     )
     out = rounded(sums.withColumn("sums", F.when(F.size("sums") > 0, F.col("sums"))), "value")
     special = F.when(F.col("nan") | (F.col("plus") & F.col("under")), float("nan")).when(F.col("plus"), float("inf")).when(F.col("under"), float("-inf"))
     out = out.select("by", "name", F.coalesce(special, "value").alias("value"))
-    wide = out.groupBy("by").agg(*[F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in lists])
-    groups = rows.select("by").distinct() if by else df.sparkSession.range(1).select(F.struct(F.lit(0).alias("_")).alias("by"))
-    found = groups.withColumnRenamed("by", "own").join(wide, F.col("own") == F.col("by"), "left")
-    return found.select(*([F.col("own")[c].alias(c) for c in by]), *lists)
-
-
-def _named(marks: Column, name: str) -> Column:
-    return F.transform(marks, lambda d: F.struct(F.lit(name).alias("name"), d["place"].alias("place"), d["digit"].alias("digit")))
+    # Groups of nulls alone are there by their marks; all rows of an empty table are one group of none.
+    wide = out.groupBy("by").agg(*[F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in lists]).select(*([F.col("by")[c].alias(c) for c in by]), *lists)
+    return wide if by else df.sparkSession.range(1).select().join(wide, F.lit(True), "left")
 
 
 def product(a: Column, b: Column) -> list[Column]:

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.work import written
-from .exact_sums import digits, rounded
+from .exact_sums import placed_digits, rounded
 from .ranks import dense_position
 
 #: Cutoffs at most: each atom is compared with all of them in a column.
@@ -49,9 +49,9 @@ def weighted_tail(atoms: DataFrame, cutoffs: list[float] | None = None) -> DataF
     away = F.when(x > 0, w)
     values: dict[str, Column] = {"included_mass": w, "included_absolute_mass": F.abs(w), "moment_1": away / x, "moment_2": away / x / x, "moment_3": away / x / x / x}
     counts = written(kept.groupBy(group, "bin").agg(F.count("*").alias("n"), F.bool_or((x == 0) & (w != 0)).alias("pole"), F.bool_and(x == 0).alias("origin")), "tail-counts")
-    parts = [F.transform(F.when(v.isNull() | (v == 0), F.array().cast("array<struct<place:int,digit:bigint>>")).otherwise(digits(v)), _named(n)) for n, v in values.items()]
-    spread = kept.select(group, "bin", F.explode(F.concat(*parts)).alias("d")).select("group", "bin", "d.*")
-    placed = written(spread.groupBy("group", "name", "place", "bin").agg(F.sum("digit").alias("digit")), "tail-digits")
+    named = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), v.alias("v")) for n, v in values.items()])).alias("d")
+    spread = kept.select(group, "bin", named).select("group", "bin", "d.*").filter("v <> 0")
+    placed = written(placed_digits(spread, ["group", "name", "bin"], "v").filter("place >= 0"), "tail-digits")
     # Every place of a name meets every cutoff: at most 82 rows a cutoff.
     edges = kept.sparkSession.createDataFrame([*enumerate(at)], "bin int, cutoff double")
     rows = placed.select("group", "name", "place").distinct().crossJoin(F.broadcast(edges.select("bin").union(kept.sparkSession.createDataFrame([(len(at),)], "bin int"))))
@@ -73,6 +73,3 @@ def weighted_tail(atoms: DataFrame, cutoffs: list[float] | None = None) -> DataF
     status = F.when(~F.col("pole"), "resolved").when(F.col("origin"), "origin_only").otherwise("unresolved_denominator").alias("status")
     return every.select("group.family", "group.partition", "cutoff", n.alias("included_count"), value["included_mass"], value["included_absolute_mass"], value["remaining_mass"], *moments, status)
 
-
-def _named(name: str):
-    return lambda d: F.struct(F.lit(name).alias("name"), d["place"].alias("place"), d["digit"].alias("digit"))

@@ -1,7 +1,9 @@
 """What the review of the third round found: small cases that failed before."""
 
+from pyspark.sql import functions as F
+
 from quillon.catalogue import domain, measured, sources
-from quillon.operators import dag
+from quillon.operators import dag, exact_sums
 
 
 def stored(spark, folder, **tables):
@@ -39,3 +41,10 @@ def test_symmetry_where_numbers_of_parts_reach_those_of_suppliers(spark, tmp_pat
     rows = [(100005, 7, "R"), (100007, 5, "N"), (100003, 3, "R"), (1, 2, "N")]
     d = stored(spark, tmp_path, lineitem=(rows, "l_partkey long, l_suppkey long, l_returnflag string"))
     assert tuple(measured.operator_symmetry(spark, d).first()) == (6, 2, 1.0)
+
+
+def test_exact_sums_read_their_rows_once(spark):
+    df = spark.createDataFrame([(1, 0.1), (1, 0.2), (2, None), (None, 5e-324)], "g long, v double")
+    out = exact_sums.exact_sums(df, ["g"], total=F.col("v"), twice=[F.col("v"), F.col("v")])
+    assert {r.g: (r.total, r.twice) for r in out.collect()} == {1: (0.1 + 0.2, 0.6000000000000001), 2: (None, None), None: (5e-324, 1e-323)}
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
