@@ -24,7 +24,9 @@ def exact_order_sums(spark, d):
 def exact_sums_repartitioned(spark, d):
     """The same sums over three partitionings of the rows: how many different doubles come out."""
     li = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("id"), "l_orderkey", F.col("l_extendedprice").alias("v"))
-    runs = [li, li.repartition(3, "l_orderkey"), li.repartition(11).sortWithinPartitions(F.desc("v"))]
+    # Rows by millions: partitions do not grow with the table.
+    n = li.count() >> 20
+    runs = [li, li.repartition(n + 3, "l_orderkey"), li.repartition(n + 11).sortWithinPartitions(F.desc("v"))]
     sums = [exact_sums.exact_sums(x, ["id"], total=F.col("v")) for x in runs]
     return sums[0].unionAll(sums[1]).unionAll(sums[2]).groupBy("id").agg(F.round(F.first("total"), 3).alias("total"), F.count_distinct("total").alias("answers"))
 
