@@ -187,9 +187,19 @@ def generalized(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.linalg.eigvalsh((c + c.T) / 2)
 
 
+#: Pairs of a task, and tasks at most.
+PAIRS, TASKS = 20_000_000, 20_000
+
+
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` dealt out by a key so that each task meets about ``PAIRS`` pairs of them with themselves: what is to be paired is small where it is stored."""
+    n = rows.count()
+    return rows.repartition(max(1, min(n, -(-n * n // PAIRS), TASKS)), key)
+
+
 def matrix_free(vector: DataFrame, entry) -> DataFrame:
     """(i, v) of A x for entries given by a function of two index columns. Every pair is computed, as the operator says; no side is stored."""
-    return vector.select("i").join(vector.select(F.col("i").alias("j"), F.col("v").alias("x"))).groupBy("i").agg(F.sum(entry(F.col("i"), F.col("j")) * F.col("x")).alias("v"))
+    return dealt(vector.select("i"), "i").join(vector.select(F.col("i").alias("j"), F.col("v").alias("x"))).groupBy("i").agg(F.sum(entry(F.col("i"), F.col("j")) * F.col("x")).alias("v"))
 
 
 def composite(matrix: DataFrame, vector: DataFrame, sigma: float = 0.0, sign: float = 1.0, rank_one: tuple[float, DataFrame] | None = None) -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quillon.catalogue import domain, measured, sources
-from quillon.operators import dag, exact_sums
+from quillon.operators import dag, enclosed_roots, exact_sums, linalg
 
 
 def stored(spark, folder, **tables):
@@ -48,3 +48,23 @@ def test_exact_sums_read_their_rows_once(spark):
     out = exact_sums.exact_sums(df, ["g"], total=F.col("v"), twice=[F.col("v"), F.col("v")])
     assert {r.g: (r.total, r.twice) for r in out.collect()} == {1: (0.1 + 0.2, 0.6000000000000001), 2: (None, None), None: (5e-324, 1e-323)}
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_roots_of_short_families_need_no_rounds_of_tables(spark, monkeypatch):
+    rows = [(f, float(p), 1.0 + (p * f) % 5) for f in (1, 2, 3) for p in range(0, 3 * f + 2, 1 + f % 2)] + [(4, 1.0, 1.0)]
+    poles = spark.createDataFrame(rows, "family long, pole double, weight double")
+    seen, kept = [], enclosed_roots.written
+    monkeypatch.setattr(enclosed_roots, "written", lambda df, label: seen.append(label) or kept(df, label))
+    one = sorted(map(tuple, enclosed_roots.roots(poles).collect()))
+    assert seen.count("boxes") == 1
+    monkeypatch.setattr(enclosed_roots, "SHORT", 0)  # all by rounds over tables
+    two = sorted(map(tuple, enclosed_roots.roots(poles).collect()))
+    assert [r[:2] + r[4:] for r in one] == [r[:2] + r[4:] for r in two] and len(one) == len(rows) - 4
+    assert all(abs(a[2] - b[2]) < 1e-11 and abs(a[3] - b[3]) < 1e-11 and a[2] <= a[3] for a, b in zip(one, two, strict=True))
+
+
+def test_pairs_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(linalg, "PAIRS", 100)
+    x = spark.range(40).selectExpr("id AS i", "1.0D AS v").coalesce(1)
+    assert linalg.dealt(x, "i").rdd.getNumPartitions() == 16 and linalg.dealt(x.limit(0), "i").count() == 0
+    assert {r.v for r in linalg.matrix_free(x, lambda i, j: F.lit(0.5)).collect()} == {20.0}
