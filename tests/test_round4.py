@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quillon.catalogue import domain, measured, sources
+from quillon.catalogue import certificates, domain, measured, sources
 from quillon.operators import dag, enclosed_roots, exact_sums, linalg
 
 
@@ -68,3 +68,10 @@ def test_pairs_are_dealt_out(spark, monkeypatch):
     x = spark.range(40).selectExpr("id AS i", "1.0D AS v").coalesce(1)
     assert linalg.dealt(x, "i").rdd.getNumPartitions() == 16 and linalg.dealt(x.limit(0), "i").count() == 0
     assert {r.v for r in linalg.matrix_free(x, lambda i, j: F.lit(0.5)).collect()} == {20.0}
+
+
+def test_equal_equations_are_solved_once(spark, tmp_path):
+    d = stored(spark, tmp_path, part=([(1, 2), (4, 2), (3, 2), (6, 12)], "p_partkey long, p_size long"))
+    got = certificates.interval_newton(spark, d)
+    assert sorted(map(tuple, got.collect())) == [(1, 1.58113883, "unique", True), (3, None, "none", False), (4, 1.58113883, "unique", True), (6, None, "none", False)]
+    assert "Aggregate" in got._jdf.queryExecution().optimizedPlan().toString()
