@@ -49,6 +49,12 @@ def horner(coefficients: Column, x: Column) -> Column:
     return F.aggregate(F.reverse(coefficients), F.lit(0.0), lambda a, c: a * x + c)
 
 
+def rounded(x: Column, places: int) -> Column:
+    """``x`` to so many places, with its own sign where that is 0: -0.0 for what is under 0, as C's rounding has it. Spark's round makes it 0.0."""
+    r = F.round(x, places)
+    return F.when(r == 0, x * 0.0).otherwise(r)
+
+
 def relative_difference(a: Column, b: Column) -> Column:
     """|a - b| over the larger size; equal numbers differ by 0."""
     return F.when(a == b, 0.0).otherwise(F.abs(a - b) / F.greatest(F.abs(a), F.abs(b)))
