@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.numbers import rounded
 from ..operators import lookup, selection
 from ..registry import query
 from ..sources.tables import table
@@ -43,7 +44,7 @@ def reference_comparison(spark, d):
     li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit"))
     ref = table(spark, d, "part").filter("p_size < 40").select(F.col("p_partkey").alias("part"), "p_retailprice")
     out = lookup.against_reference(li, ref, "part", "unit", "p_retailprice")
-    return out.select("id", "line", "part", F.when(F.col("digits") == float("inf"), F.col("digits")).otherwise(F.round("digits", 6)).alias("digits"))
+    return out.select("id", "line", "part", F.when(F.col("digits") == float("inf"), F.col("digits")).otherwise(rounded(F.col("digits"), 6)).alias("digits"))
 
 
 @query("atom_exclusion", "SELECT l_orderkey AS ordinal, l_linenumber AS line FROM lineitem ANTI JOIN (SELECT o_orderkey AS l_orderkey FROM orders WHERE o_orderstatus = 'P') USING (l_orderkey)")

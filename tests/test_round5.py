@@ -1,6 +1,6 @@
 """What the second review of the third round found: small cases that failed before."""
 
-from quillon.catalogue import governed
+from quillon.catalogue import governed, lookups
 from tests.test_round4 import stored
 
 
@@ -14,3 +14,9 @@ def test_certified_digits_of_a_gap_of_one_are_minus_zero(spark, tmp_path):
     items = [(k, 1, 1, 2.0, 2001.0 + g) for k, g in enumerate((1.0, 1.0000002, 0.9999998, 10.0))]
     d = stored(spark, tmp_path, lineitem=(items, "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double, l_extendedprice double"), part=([(1, 3)], "p_partkey long, p_size int"))
     assert shown(governed.certified_comparison(spark, d).select("id", "digits").collect()) == ["(0, -0.0)", "(1, -0.0)", "(2, 0.0)", "(3, -1.0)"]
+
+
+def test_digits_of_a_gap_of_one_to_the_reference_are_minus_zero(spark, tmp_path):
+    items = [(k, 1, 1, 2.0, 2 * (900.0 + g)) for k, g in enumerate((1.0, 1.0000002, 0.9999998, 0.0))]
+    d = stored(spark, tmp_path, lineitem=(items, "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double, l_extendedprice double"), part=([(1, 3, 900.0)], "p_partkey long, p_size int, p_retailprice double"))
+    assert shown(lookups.reference_comparison(spark, d).select("id", "digits").collect()) == ["(0, -0.0)", "(1, -0.0)", "(2, 0.0)", "(3, inf)"]
