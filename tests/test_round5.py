@@ -1,6 +1,11 @@
 """What the second review of the third round found: small cases that failed before."""
 
+import numpy as np
+import pytest
+
 from quillon.catalogue import governed, lookups
+from quillon.operators import recurrences
+from tests import test_recurrences
 from tests.test_round4 import stored
 
 
@@ -20,3 +25,25 @@ def test_digits_of_a_gap_of_one_to_the_reference_are_minus_zero(spark, tmp_path)
     items = [(k, 1, 1, 2.0, 2 * (900.0 + g)) for k, g in enumerate((1.0, 1.0000002, 0.9999998, 0.0))]
     d = stored(spark, tmp_path, lineitem=(items, "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double, l_extendedprice double"), part=([(1, 3, 900.0)], "p_partkey long, p_size int, p_retailprice double"))
     assert shown(lookups.reference_comparison(spark, d).select("id", "digits").collect()) == ["(0, -0.0)", "(1, -0.0)", "(2, 0.0)", "(3, inf)"]
+
+
+@pytest.mark.parametrize("width,wide,chunk", [(7, 4, 3), (512, 8_192, 4_096)])
+def test_streamed_families_have_the_values_sums_and_signs_of_the_tree(spark, monkeypatch, width, wide, chunk):
+    for name, value in (("LIST", 0), ("WIDE", wide), ("CHUNK", chunk)):
+        monkeypatch.setattr(recurrences, name, value)
+    test_recurrences.test_values_sums_and_signs(spark, monkeypatch, width, 5, 3)
+
+
+def test_equal_points_meet_their_terms_once(spark, monkeypatch):
+    monkeypatch.setattr(recurrences, "LIST", 10)
+    d, e = np.linspace(-2, 2, 40), np.full(40, 0.5)
+    values = np.linalg.eigvalsh(np.diag(d) + np.diag(e[1:], 1) + np.diag(e[1:], -1))
+    rows = spark.createDataFrame([(k % 2, k // 2, float(d[k // 2]), 0.5) for k in range(80)], "f long, i long, entry double, beside double")
+    points = spark.range(6000).selectExpr("id % 2 AS f", "id", "CASE WHEN id % 2 = 0 THEN id % 5 ELSE id % 30 END / 7.0D AS at")
+    seen = []
+    lists = recurrences._lists
+    monkeypatch.setattr(recurrences, "_lists", lambda placed, size: seen.append(placed.count()) or lists(placed, size))
+    got = recurrences.inertia(points, rows, ["f"], "at", "i").collect()
+    # The even family has 5 points of its own and goes by the tree, the odd one 15 and is streamed.
+    assert len(got) == 6000 and sorted(seen) == [5, 15]
+    assert all(r.below == int((values < r.at).sum()) for r in got)
