@@ -30,3 +30,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = fresh(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def texts(df: DataFrame, path: str, key: str, *by: str) -> None:
+    """Write ``df``, one text besides ``key`` and ``by``, as a file for each row, dealt out by ``key`` over the shuffle's partitions whatever their bytes, in folders ``by``.
+
+    Tasks move their own files to their places; else the driver would move one after the other.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartition(n, key) if key in by else df.repartition(n, key).drop(key)
+    dealt.write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy(*by).text(path)

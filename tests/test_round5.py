@@ -5,6 +5,7 @@ import pytest
 
 from quillon.catalogue import governed, lookups
 from quillon.operators import recurrences
+from quillon.sources import work
 from tests import test_recurrences
 from tests.test_round4 import stored
 
@@ -47,3 +48,14 @@ def test_equal_points_meet_their_terms_once(spark, monkeypatch):
     # The even family has 5 points of its own and goes by the tree, the odd one 15 and is streamed.
     assert len(got) == 6000 and sorted(seen) == [5, 15]
     assert all(r.below == int((values < r.at).sum()) for r in got)
+
+
+def test_texts_are_a_file_a_row_from_all_tasks_and_not_a_folder_a_row(spark, tmp_path):
+    rows = spark.range(40).selectExpr("id AS s", "concat('t', id) AS value")
+    work.texts(rows, str(tmp_path / "flat"), "s")
+    files = list((tmp_path / "flat").rglob("*.txt"))
+    assert sorted(f.read_text() for f in files) == sorted(f"t{k}\n" for k in range(40))
+    assert len({f.parent for f in files}) == 1 and len({f.name[:10] for f in files}) == 4
+    named = rows.selectExpr("value", "s AS name", "s % 3 AS shard")
+    work.texts(named, str(tmp_path / "deep"), "name", "shard", "name")
+    assert {f.parent.parent.name for f in (tmp_path / "deep").rglob("*.txt")} == {f"shard={k}" for k in range(3)}
