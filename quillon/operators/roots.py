@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..sources.work import written
 
 
 def newton(f: Callable, df: Callable, a: float, b: float, tolerance: float = 1e-14, steps: int = 100) -> tuple[float, str]:
@@ -36,38 +40,59 @@ def newton(f: Callable, df: Callable, a: float, b: float, tolerance: float = 1e-
     return x, "step_limit"
 
 
-def secular_roots(poles: np.ndarray, weights: np.ndarray, constant: float = 1.0) -> np.ndarray:
-    """Roots of constant + sum w / (p - t), one in each gap between poles for weights of one sign, by bisection."""
+#: Gaps of a task.
+GAPS = 256
+
+
+def secular_roots(poles: np.ndarray, weights: np.ndarray, constant: float = 1.0, gaps: slice = slice(None)) -> np.ndarray:
+    """Roots of constant + sum w / (p - t), one in each gap (or in those of ``gaps``) between poles for weights of one sign, by bisection until it stands still."""
     order = np.argsort(poles)
     p, w = poles[order], weights[order]
     reach = np.abs(w).sum() / abs(constant) + 1.0
     ends = np.append(p, p[-1] + reach) if constant * w.sum() > 0 else np.append(p[0] - reach, p)
-    lo, hi = ends[:-1].copy(), ends[1:].copy()
+    lo, hi = ends[:-1][gaps].copy(), ends[1:][gaps].copy()
     rising = np.sign(w.sum())
     for _ in range(200):
         mid = (lo + hi) / 2
         with np.errstate(divide="ignore"):
             y = constant + (w[None, :] / (p[None, :] - mid[:, None])).sum(1)
         up = y * rising < 0
-        lo, hi = np.where(up, mid, lo), np.where(up, hi, mid)
+        before, lo, hi = (lo, hi), np.where(up, mid, lo), np.where(up, hi, mid)
+        if np.array_equal(lo, before[0]) and np.array_equal(hi, before[1]):
+            break
     return (lo + hi) / 2
 
 
 def rank_one_spectrum(df: DataFrame, by: str) -> DataFrame:
-    """(by, ordinal, value) of diag(d) + alpha u u^T from rows (by, d, u, alpha): secular equation, one root a gap."""
+    """(by, ordinal, value) of diag(d) + alpha u u^T from rows (by, d, u, alpha): secular equation, one root a gap.
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    A group's poles are one list, which goes to tasks of ``GAPS`` gaps each; a task holds a table of its gaps and all poles.
+    """
+    kind = df.schema[by].dataType.simpleString()
+
+    def poles(key, pdf: pd.DataFrame) -> pd.DataFrame:
         alpha = float(pdf["alpha"].iloc[0])
         moved = pdf[pdf["u"] != 0].groupby("d", as_index=False)["u"].agg(lambda u: float(np.sqrt((u**2).sum())))
         fixed = pdf[pdf["u"] == 0]["d"].tolist()
         for _, g in pdf[pdf["u"] != 0].groupby("d"):
             fixed += g["d"].tolist()[1:]  # equal entries keep all but one of their values
         d, u = moved["d"].to_numpy(), moved["u"].to_numpy()
-        values = secular_roots(d, alpha * u * u) if alpha and len(d) else d
-        out = np.sort(np.concatenate([values, fixed]))
-        return pd.DataFrame({by: key[0], "ordinal": np.arange(len(out)), "value": out})
-
-    return df.groupBy(by).applyInPandas(run, f"{by} {df.schema[by].dataType.simpleString()}, ordinal long, value double")
+        if not alpha or not len(d):
+            return pd.DataFrame({"group": [key[0]], "poles": [[]], "weights": [[]], "fixed": [np.concatenate([d, fixed])], "start": [0]})
+        starts = range(0, len(d), GAPS)
+        return pd.DataFrame({"group": key[0], "poles": [d] * len(starts), "weights": [alpha * u * u] * len(starts), "fixed": [fixed, *[[]] * (len(starts) - 1)], "start": starts})
+
+    def found(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for r in pdf.itertuples(index=False):
+                p = np.asarray(r.poles, np.float64)
+                values = secular_roots(p, np.asarray(r.weights, np.float64), gaps=slice(r.start, r.start + GAPS)) if len(p) else p
+                yield pd.DataFrame({"group": r.group, "value": np.concatenate([values, np.asarray(r.fixed, np.float64)])})
+
+    lists = df.groupBy(by).applyInPandas(poles, f"group {kind}, poles array<double>, weights array<double>, fixed array<double>, start long")
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    values = written(lists.repartition(n, "group", "start").mapInPandas(found, f"group {kind}, value double"), "spectrum")
+    return values.select(F.col("group").alias(by), (F.row_number().over(W.partitionBy("group").orderBy("value")) - 1).cast("long").alias("ordinal"), "value")
 
 
 def finite_form(cutoff: int, modes: int) -> tuple[np.ndarray, np.ndarray, float]:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from quillon.catalogue import governed, lookups
-from quillon.operators import recurrences
+from quillon.operators import recurrences, roots
 from quillon.sources import work
 from tests import test_recurrences
 from tests.test_round4 import stored
@@ -59,3 +59,15 @@ def test_texts_are_a_file_a_row_from_all_tasks_and_not_a_folder_a_row(spark, tmp
     named = rows.selectExpr("value", "s AS name", "s % 3 AS shard")
     work.texts(named, str(tmp_path / "deep"), "name", "shard", "name")
     assert {f.parent.parent.name for f in (tmp_path / "deep").rglob("*.txt")} == {f"shard={k}" for k in range(3)}
+
+
+def test_spectra_are_cut_into_gaps(spark, monkeypatch):
+    # One group of many gaps is many tasks' work; the values are those of the dense matrix.
+    monkeypatch.setattr(roots, "GAPS", 4)
+    r = np.random.default_rng(8)
+    d, u = np.round(r.normal(size=23), 1), np.where(np.arange(23) % 6 == 0, 0.0, r.normal(size=23))
+    rows = [("a", float(x), float(y), 0.7) for x, y in zip(d, u, strict=True)] + [("b", float(x), 0.5, 0.0) for x in d]
+    got = roots.rank_one_spectrum(spark.createDataFrame(rows, "m string, d double, u double, alpha double"), "m").collect()
+    for m, want in (("a", np.linalg.eigvalsh(np.diag(d) + 0.7 * np.outer(u, u))), ("b", np.sort(d))):
+        own = sorted((g.ordinal, g.value) for g in got if g.m == m)
+        assert [k for k, _ in own] == list(range(23)) and np.allclose([v for _, v in own], want, atol=1e-9)
