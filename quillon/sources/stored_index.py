@@ -23,6 +23,8 @@ BITS = 6
 MARKS = (1 << BITS) - 1
 #: Bits of a slice: the size of Spark's bitmap aggregates.
 SLICE = 32_768
+#: Rows of a file, unless fewer files than shuffle partitions come out: what a task sorts does not grow with the index.
+ROWS = 1_000_000
 #: Paths of at most so many files are handed to a scan; beyond, all files are scanned and filtered.
 PATHS_MOST = 20_000
 
@@ -67,7 +69,7 @@ def build(measured: DataFrame, inventory: DataFrame, path: str, files: int | Non
     inventory.write.mode("errorifexists").parquet(f"{path}/inventory")
     measured.write.mode("errorifexists").option("compression", "zstd").parquet(f"{path}/unsorted")
     rows = spark.read.schema(measured.schema).parquet(f"{path}/unsorted")
-    files = files or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    files = files or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // ROWS))
     laid = rows.withColumn("__at", curve(rows)).repartitionByRange(files, "__at", *ORDER).sortWithinPartitions("__at", *ORDER).drop("__at")
     laid.write.option("compression", "zstd").parquet(f"{path}/rows")
     stored = spark.read.schema(measured.schema).parquet(f"{path}/rows").withColumn("file", F.col("_metadata.file_path"))

@@ -5,7 +5,7 @@ import pytest
 
 from quillon.catalogue import governed, lookups
 from quillon.operators import recurrences, roots
-from quillon.sources import work
+from quillon.sources import stored_index, work
 from tests import test_recurrences
 from tests.test_round4 import stored
 
@@ -71,3 +71,16 @@ def test_spectra_are_cut_into_gaps(spark, monkeypatch):
     for m, want in (("a", np.linalg.eigvalsh(np.diag(d) + 0.7 * np.outer(u, u))), ("b", np.sort(d))):
         own = sorted((g.ordinal, g.value) for g in got if g.m == m)
         assert [k for k, _ in own] == list(range(23)) and np.allclose([v for _, v in own], want, atol=1e-9)
+
+
+def test_a_large_index_has_more_files_than_shuffle_partitions(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stored_index, "ROWS", 500)
+    rows = spark.range(10_000).selectExpr(
+        "CAST(id % 50 AS STRING) AS C", "id % 40 AS N", "id % 7 AS P", "id AS ordinal", "'k' AS kind", "'o' AS observable", "CAST(NULL AS STRING) AS outcome", "CAST(id AS STRING) AS value", "'{}' AS record"
+    )
+    told = spark.createDataFrame([("a", "s", "indexed", None)], "path string, sha256 string, status string, reason string")
+    path = f"file://{tmp_path}/index"
+    assert stored_index.build(rows, told, path) == 10_000
+    sizes = [r.rows for r in spark.read.parquet(f"{path}/files").select("rows").collect()]
+    assert len(sizes) >= 16 and max(sizes) < 2_000
+    assert sorted(r.N for r in stored_index.query(spark, path, 100_000, C="7")[0].collect()) == sorted(k % 40 for k in range(7, 10_000, 50))
