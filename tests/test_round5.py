@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from quillon.catalogue import governed, lookups
+from quillon.catalogue import governed, lookups, stores
 from quillon.operators import recurrences, roots
 from quillon.sources import stored_index, work
 from tests import test_recurrences
@@ -84,3 +84,10 @@ def test_a_large_index_has_more_files_than_shuffle_partitions(spark, tmp_path, m
     sizes = [r.rows for r in spark.read.parquet(f"{path}/files").select("rows").collect()]
     assert len(sizes) >= 16 and max(sizes) < 2_000
     assert sorted(r.N for r in stored_index.query(spark, path, 100_000, C="7")[0].collect()) == sorted(k % 40 for k in range(7, 10_000, 50))
+
+
+def test_members_are_not_sent_to_the_driver(spark, tmp_path):
+    d = stored(spark, tmp_path, part=([(k, f"n{k}", k % 5) for k in range(20)], "p_partkey long, p_name string, p_size int"))
+    got = stores.zip_json_store(spark, d)
+    assert got.count() == 20 and all(r.intact and r.repeatable for r in got.collect())
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
