@@ -91,3 +91,15 @@ def test_members_are_not_sent_to_the_driver(spark, tmp_path):
     got = stores.zip_json_store(spark, d)
     assert got.count() == 20 and all(r.intact and r.repeatable for r in got.collect())
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_streamed_sums_are_scaled_only_where_values_leave_their_size(monkeypatch):
+    j, x, seen = np.arange(64), np.linspace(-0.9, 0.9, 7), []
+    w = np.cos(j)
+    add = recurrences.Ranges._add
+    monkeypatch.setattr(recurrences.Ranges, "_add", lambda self, *a: seen.append(1) or add(self, *a))
+    s = recurrences.Stream(x, False)
+    s.take(np.stack([(2 * j + 1) / (j + 1), 0 * j, j / (j + 1), w], axis=1))
+    s.add()
+    assert len(seen) == 1
+    assert np.allclose(s.sums.v[0] * 2.0 ** s.sums.v2, np.polynomial.legendre.legval(x, w), rtol=0, atol=1e-13)
