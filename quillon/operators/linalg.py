@@ -22,6 +22,21 @@ def mirrored(lower: DataFrame) -> DataFrame:
     return lower.unionByName(lower.filter("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "v"))
 
 
+#: Stored entries of a task, and those below which a table is not cut further.
+ENTRIES, LEAST = 500_000, 50_000
+
+
+def tasks(rows: DataFrame) -> int:
+    """How many tasks the rows of a matrix are dealt out to: as many as the shuffle has, more where these would hold over ``ENTRIES`` each."""
+    n = rows.count()
+    return max(1, min(n // LEAST, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), -(-n // ENTRIES))
+
+
+def assembled(parts: DataFrame, n: int | None = None) -> DataFrame:
+    """(i, j, v): the matrix that parts (i, j, v) of entries add up to, dealt out by column to ``n`` tasks, so that a vector meets it where it lies."""
+    return parts.repartition(n or tasks(parts), "j").groupBy("i", "j").agg(F.sum("v").alias("v"))
+
+
 def banded(matrix: DataFrame, width: int) -> DataFrame:
     return matrix.filter(F.abs(F.col("i") - F.col("j")) <= width)
 
@@ -229,10 +244,15 @@ def chunked_multiply(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(b.select("chunk", F.col("entries").alias("other")), "chunk").select("chunk", F.zip_with("entries", "other", lambda x, y: x * y).alias("entries"))
 
 
-def batch(matrix: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(task, i, v) of A x for the vectors (task, i, v) of many tasks."""
+def batch(matrix: DataFrame, vectors: DataFrame, among: list | None = None) -> DataFrame:
+    """(task, i, v) of A x for the vectors (task, i, v) of many tasks. If ``among`` names them all, their sums stand side by side, so that an entry is met once."""
     x = vectors.select("task", F.col("i").alias("j"), F.col("v").alias("x"))
-    return matrix.join(x, "j").groupBy("task", "i").agg(F.sum(F.col("v") * F.col("x")).alias("v"))
+    if among is None:
+        return matrix.join(x, "j").groupBy("task", "i").agg(F.sum(F.col("v") * F.col("x")).alias("v"))
+    wide = x.groupBy("j").agg(*[F.max(F.when(F.col("task") == t, F.struct("x"))).alias(f"x{k}") for k, t in enumerate(among)])
+    cell = [F.struct(F.sum(F.col("v") * F.col(f"x{k}.x")).alias("v"), F.count(f"x{k}").alias("n"), F.lit(t).cast(vectors.schema["task"].dataType).alias("task")) for k, t in enumerate(among)]
+    sums = matrix.join(wide, "j").groupBy("i").agg(F.array(*cell).alias("cells"))
+    return sums.select("i", F.explode("cells").alias("c")).filter("c.n > 0").select("c.task", "i", "c.v")
 
 
 def compare_batches(one: DataFrame, two: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from quillon.catalogue import governed, lookups, stores
-from quillon.operators import recurrences, roots
+from quillon.operators import linalg, recurrences, roots
 from quillon.sources import stored_index, work
 from tests import test_recurrences
 from tests.test_round4 import stored
@@ -103,3 +103,16 @@ def test_streamed_sums_are_scaled_only_where_values_leave_their_size(monkeypatch
     s.add()
     assert len(seen) == 1
     assert np.allclose(s.sums.v[0] * 2.0 ** s.sums.v2, np.polynomial.legendre.legval(x, w), rtol=0, atol=1e-13)
+
+
+def test_entries_of_a_matrix_are_dealt_out_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(linalg, "ENTRIES", 50)
+    parts = spark.range(1000).selectExpr("id % 40 AS i", "id % 25 AS j", "1D AS v")
+    m = linalg.assembled(parts)
+    assert m.rdd.getNumPartitions() == 20 and sum(r.v for r in m.collect()) == 1000
+    vectors = spark.createDataFrame([(t, i, None if i == 3 else float(t + i)) for t in range(3) for i in range(25) if (t, i % 5) != (1, 0)], "task long, i long, v double")
+    want = sorted(map(tuple, linalg.batch(m, vectors).collect()))
+    side = linalg.batch(m, vectors, [0, 1, 2])
+    # An entry is met once, not once a task.
+    assert sorted(map(tuple, side.collect())) == want and 0 < len(want) < 3 * 40
+    assert side._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [task") == 0
