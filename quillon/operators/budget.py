@@ -222,11 +222,15 @@ def spend(df: DataFrame, by: list[str], order: list[str], cost: str, budget: int
     remaining, decided = items.select("group", "range", "place", "amount"), []
 
     def opened(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, left, taken = pdf.sort_values("place"), int(pdf["entry"].iloc[0]), []
-        for amount in pdf["amount"].tolist():
+        # All groups of a range at once: a small group is not worth a frame of its own.
+        pdf, taken, lefts, last, left = pdf.sort_values("place"), [], [], None, 0
+        for group, entry, amount in zip(pdf["group"].tolist(), pdf["entry"].tolist(), pdf["amount"].tolist(), strict=True):
+            if group != last:
+                last, left = group, entry
             taken.append(amount <= left)
             left -= amount if taken[-1] else 0
-        return pd.DataFrame({"place": pdf["place"].to_numpy(), "taken": taken, "group": pdf["group"].to_numpy(), "left": left})
+            lefts.append(left)
+        return pd.DataFrame({"place": pdf["place"].to_numpy(), "taken": taken, "group": pdf["group"].to_numpy(), "left": lefts})
 
     while True:
         fitting = written(remaining.join(_small(state), "group").filter(F.col("amount") <= F.col("left")), "budget-fitting")
@@ -239,9 +243,9 @@ def spend(df: DataFrame, by: list[str], order: list[str], cost: str, budget: int
         decided.append(judged.filter("bound IS NULL OR range < bound").select("place", F.lit(True).alias("taken")))
         if beyond.isEmpty():
             break
-        inside = written(judged.filter("range = bound").groupBy("group").applyInPandas(opened, "place long, taken boolean, group string, left long"), "budget-opened")
+        inside = written(judged.filter("range = bound").groupBy("range").applyInPandas(opened, "place long, taken boolean, group string, left long"), "budget-opened")
         decided.append(inside.select("place", "taken"))
-        state = written(inside.groupBy("group").agg(F.max("left").alias("left")), "budget-left")
+        state = written(inside.groupBy("group").agg(F.min("left").alias("left")), "budget-left")
         remaining = written(judged.filter("range > bound").select("group", "range", "place", "amount"), "budget-remaining")
     taken = reduce(DataFrame.unionAll, decided)
     out = items.select("row", "place").join(taken, "place", "left")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from quillon.catalogue import governed, lookups, stores
-from quillon.operators import linalg, recurrences, roots
+from quillon.operators import budget, linalg, recurrences, roots
 from quillon.sources import stored_index, work
 from tests import test_recurrences
 from tests.test_round4 import stored
@@ -126,3 +126,20 @@ def test_audited_objects_are_dealt_out_by_their_number(spark, tmp_path, monkeypa
     assert "hashpartitioning(shard" in (plan := got._jdf.queryExecution().executedPlan().toString()) and ", 20), REPARTITION_BY_NUM" in plan
     want = [(s, sum(k % 5 > 0 for k in o), 2 * sum(k % 5 > 0 for k in o), sum(k % 7 == 0 and k % 5 > 0 for k in o), sum(k % 5 == 0 and k % 7 > 0 for k in o)) for s in range(4) for o in [range(s, 1000, 3) if s < 3 else []]]
     assert sorted(map(tuple, got.collect())) == want
+
+
+def test_small_groups_of_a_range_are_opened_in_one_frame(spark, tmp_path, monkeypatch):
+    # Frames that are opened, by the rows they hold: a file each.
+    monkeypatch.setattr(budget, "RANGE", 64)
+    rows = spark.range(640).selectExpr("id DIV 4 AS g", "id", "1 + id % 4 AS cost")
+    held, whole = [], budget.written
+
+    def kept(df, label):
+        if label == "budget-opened":
+            held.append(df._jdf.queryExecution().logical().toString())
+        return whole(df, label)
+
+    monkeypatch.setattr(budget, "written", kept)
+    got = {(r.g, r.id % 4): r.taken for r in budget.spend(rows, ["g"], ["id"], "cost", 5).collect()}
+    assert got == {(g, k): k < 2 for g in range(160) for k in range(4)}
+    assert held and all("FlatMapGroupsInPandas [range" in h for h in held)
