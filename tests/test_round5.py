@@ -1,10 +1,14 @@
 """What the second review of the third round found: small cases that failed before."""
 
+from fractions import Fraction
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.catalogue import governed, lookups, stores
-from quillon.operators import budget, linalg, recurrences, roots
+from quillon.functions import certified
+from quillon.operators import budget, exact_sums, linalg, recurrences, roots
 from quillon.sources import stored_index, work
 from tests import test_recurrences
 from tests.test_round4 import stored
@@ -143,3 +147,26 @@ def test_small_groups_of_a_range_are_opened_in_one_frame(spark, tmp_path, monkey
     got = {(r.g, r.id % 4): r.taken for r in budget.spend(rows, ["g"], ["id"], "cost", 5).collect()}
     assert got == {(g, k): k < 2 for g in range(160) for k in range(4)}
     assert held and all("FlatMapGroupsInPandas [range" in h for h in held)
+
+
+def test_equal_rows_of_a_batch_are_worked_out_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def told(s, t):
+        calls.add(1)
+        return s * 2, f"{t}!"
+
+    rows = spark.range(0, 1000, 1, 1).selectExpr("id", "id % 5 AS s", "IF(id % 3 = 0, NULL, 'a') AS t")
+    got = rows.select("id", certified.rowwise(told, "struct<a:bigint,b:string>")("s", "t").alias("r")).collect()
+    assert all((r.r.a, r.r.b) == (2 * (r.id % 5), "None!" if r.id % 3 == 0 else "a!") for r in got) and calls.value == 10
+    signs = spark.createDataFrame([(0.0,), (-0.0,), (1.5,)], "x double").coalesce(1)
+    assert shown(signs.select(certified.rowwise(lambda x: str(float(x)), "string")("x")).collect()) == ["('-0.0',)", "('0.0',)", "('1.5',)"]
+
+
+def test_zeros_beside_a_product_are_not_spread_into_digits(spark, monkeypatch):
+    rows = spark.createDataFrame([("a", 0.1, 3.0), ("a", 0.5, 2.0), ("z", 0.0, 2.0), ("n", None, 2.0), ("i", float("nan"), 2.0)], "g string, a double, b double")
+    seen, placed = [], exact_sums.placed_digits
+    monkeypatch.setattr(exact_sums, "placed_digits", lambda df, by, x: seen.append(df.count()) or placed(df, by, x))
+    got = {r.g: r.dot for r in exact_sums.exact_dots(rows, ["g"], dot=(F.col("a"), F.col("b"))).collect()}
+    # The product of 0.1 and 3 alone has an error; null's and NaN's are null and NaN.
+    assert seen == [8] and got["a"] == float(Fraction(0.1) * 3 + 1) and got["z"] == 0.0 and got["n"] is None and np.isnan(got["i"])
