@@ -85,9 +85,11 @@ def rounded(df: DataFrame, out: str) -> DataFrame:
 def exact_sums(df: DataFrame, by: list[str], **values: list[Column] | Column) -> DataFrame:
     """(by, one double a name): for each name the sum of its column, or of all of its list of columns, over a group."""
     lists = {n: c if isinstance(c, list) else [c] for n, c in values.items()}
-    flat = [(n, c.cast("double")) for n, cs in lists.items() for c in cs]
+    flat = [(n, c.cast("double"), k > 0) for n, cs in lists.items() for k, c in enumerate(cs)]
     group = F.struct(*by).alias("by") if by else F.struct(F.lit(0).alias("_")).alias("by")
-    rows = df.select(group, F.explode(F.array(*[F.struct(F.lit(n).alias("name"), c.alias("v")) for n, c in flat])).alias("d")).select("by", "d.*")
+    rows = df.select(group, F.explode(F.array(*[F.struct(F.lit(n).alias("name"), c.alias("v"), F.lit(more).alias("more")) for n, c, more in flat])).alias("d"))
+    # A further column's zero, as the error of a product that is exact, adds nothing; the first one's says that there is something.
+    rows = rows.select("by", "d.*").filter("NOT more OR v IS NULL OR v <> 0").drop("more")
     marked = lambda place: F.bool_or(F.col("place") == place)
     sums = placed_digits(rows, ["by", "name"], "v").groupBy("by", "name").agg(
         F.map_from_entries(F.collect_list(F.when(F.col("place") >= 0, F.struct("place", "digit")))).alias("sums"), marked(NAN).alias("nan"), marked(PLUS).alias("plus"), marked(UNDER).alias("under"),
