@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 
 from ..operators.index import DECIMAL, allowed
 
-KINDS = {"object": "OBJECT", "list": "ARRAY", "text": "STRING", "whole": "BIGINT"}
+KINDS = {"text": "STRING", "whole": "BIGINT"}
+#: What a row of a list may hold; a row that is no object is null.
+ROWS = "array<struct<ordinal:variant,label:variant,values:variant,outcome:variant,notes:variant>>"
 
 MEASURED = ["C", "N", "P", "ordinal", "kind", "observable", "outcome", "value", "record"]
 
@@ -28,18 +30,28 @@ def _get(v: Column, field: str) -> Column:
     return F.try_variant_get(v, f"$.{field}", "variant")
 
 
+def _object(v: Column, at: str = "$") -> Column:
+    """Whether there is an object at a path. A struct without fields tells it: nothing below is copied or walked through."""
+    return F.try_variant_get(v, at, "struct<>").isNotNull()
+
+
+def _list(v: Column, at: str = "$") -> Column:
+    """Whether there is a list at a path; one with a first entry is told by that alone."""
+    return F.try_variant_get(v, f"{at}[0]", "variant").isNotNull() | F.try_variant_get(v, at, "array<variant>").isNotNull()
+
+
 def _is(v: Column, kind: str) -> Column:
-    """Whether a variant is there and of a kind; false for none."""
+    """Whether a variant is there and of a plain kind; false for none."""
     return F.coalesce(F.startswith(F.schema_of_variant(v), F.lit(KINDS[kind])), F.lit(False))
 
 
 def _has(v: Column, field: str) -> Column:
     """Whether an object has a field, of JSON's null too."""
-    return _is(v, "object") & F.coalesce(F.array_contains(F.map_keys(F.try_variant_get(v, "$", "map<string,variant>")), field), F.lit(False))
+    return _object(v, f"$.{field}") | _get(v, field).isNotNull()
 
 
 def _default(v: Column, field: str, other: Column) -> Column:
-    return F.when(_has(v, field), _get(v, field)).otherwise(other)
+    return F.coalesce(_get(v, field), other)
 
 
 def _null(v: Column) -> Column:
@@ -47,8 +59,8 @@ def _null(v: Column) -> Column:
 
 
 def _empty(v: Column) -> Column:
-    """What counts as nothing: none, null, and an empty object, list or text."""
-    return _null(v) | F.coalesce(F.to_json(v).isin("{}", "[]", '""', "0", "false"), F.lit(False))
+    """What counts as nothing: none, null, and an empty object, list or text. A list with a first entry is not written out."""
+    return _null(v) | F.try_variant_get(v, "$[0]", "variant").isNull() & F.coalesce(F.to_json(v).isin("{}", "[]", '""', "0", "false"), F.lit(False))
 
 
 def _text(v: Column) -> Column:
@@ -67,23 +79,24 @@ def parsed(files: DataFrame, rules: list[str] = ()) -> DataFrame:
     """(path, sha256, reason, measured array) of files (path, content, sha256)."""
     out = files.withColumn("packet", F.try_parse_json(F.try_validate_utf8(F.col("content").cast("string"))))
     p = F.col("packet")
-    out = out.withColumn("report", _default(p, "report", p))
-    report = F.col("report")
-    out = out.withColumn("data", _default(report, "data", report))
+    out = out.withColumn("inner", _has(p, "report"))
+    # The report is read by its paths, so that of all the packet holds only the data are copied, once.
+    reported = lambda field: F.when(F.col("inner"), _get(p, f"report.{field}")).otherwise(_get(p, field))
+    out = out.withColumn("data", F.coalesce(reported("data"), F.when(F.col("inner"), _get(p, "report")).otherwise(p)))
     data = F.col("data")
-    named = F.when(~_has(p, "manifest") | _is(_get(p, "manifest"), "object"), True).otherwise(False)
+    named = ~_has(p, "manifest") | _object(p, "$.manifest")
     key = _get(_get(p, "manifest"), "key")
-    kind = _default(report, "kind", F.coalesce(_get(key, "kind"), F.parse_json(F.lit('"unclassified"'))))
+    kind = F.coalesce(reported("kind"), F.coalesce(_get(key, "kind"), F.parse_json(F.lit('"unclassified"'))))
     manifest = F.when(~_empty(_get(p, "manifest")), _get(p, "manifest")).otherwise(_get(p, "source_manifest"))
     base = F.coalesce(_default(data, "outcome", F.parse_json(F.lit('"unassessed"'))), F.parse_json(F.lit("null")))
     out = out.withColumns({
         "C": _get(data, "lambda_squared"), "N": _get(data, "n_modes"),
         "P": _default(data, "source_precision_bits", _get(data, "precision_bits")), "kind": kind,
         "artifact_digest": _default(manifest, "content_digest", _get(p, "artifact_digest")),
-        "sources": F.when(~_empty(_get(data, "source")), _get(data, "source")).otherwise(_default(report, "source_dependencies", F.parse_json(F.lit("[]")))),
+        "sources": F.when(~_empty(_get(data, "source")), _get(data, "source")).otherwise(F.coalesce(reported("source_dependencies"), F.parse_json(F.lit("[]")))),
         "base": base, "convention": _default(data, "convention", _default(data, "ordinal_scope", F.parse_json(F.lit('"see source report"')))),
         "values": F.coalesce(_default(data, "values", F.parse_json(F.lit("{}"))), F.parse_json(F.lit("null"))),
-        "rows": F.coalesce(_default(data, "rows", F.parse_json(F.lit("[]"))), F.parse_json(F.lit("null"))), "named": named,
+        "named": named,
     })
     # The maps of values: (ordinal, scope, values, outcome, notes).
     empty_list = F.parse_json(F.lit("[]"))
@@ -92,30 +105,31 @@ def parsed(files: DataFrame, rules: list[str] = ()) -> DataFrame:
     )
     none = F.lit(None).cast("variant")
     aggregate = F.array(part(none, F.parse_json(F.lit('"aggregate"')), F.col("values"), F.col("base"), empty_list))
-    listed = F.filter(F.coalesce(F.try_variant_get(F.col("rows"), "$", "array<variant>"), F.array().cast("array<variant>")), lambda r: _is(r, "object"))
+    listed = F.filter(F.coalesce(F.try_variant_get(data, "$.rows", ROWS), F.array().cast(ROWS)), lambda r: r.isNotNull())
     rowed = F.transform(listed, lambda r: part(
-        _get(r, "ordinal"), _default(r, "label", F.parse_json(F.lit('"row"'))), _default(r, "values", F.parse_json(F.lit("{}"))),
-        _default(r, "outcome", F.col("base")), _default(r, "notes", empty_list),
+        r["ordinal"], F.coalesce(r["label"], F.parse_json(F.lit('"row"'))), F.coalesce(r["values"], F.parse_json(F.lit("{}"))),
+        F.coalesce(r["outcome"], F.col("base")), F.coalesce(r["notes"], empty_list),
     ))
-    bare = F.when(_empty(_get(data, "values")) & _empty(_get(data, "rows")), F.array(part(none, F.parse_json(F.lit('"retained_field"')), data, F.col("base"), empty_list))).otherwise(
+    bare = F.when(F.try_variant_get(data, "$.rows[0]", "variant").isNull() & _empty(_get(data, "values")) & _empty(_get(data, "rows")), F.array(part(none, F.parse_json(F.lit('"retained_field"')), data, F.col("base"), empty_list))).otherwise(
         F.array().cast("array<struct<ordinal:variant,scope:variant,values:variant,outcome:variant,notes:variant>>")
     )
     out = out.withColumn("maps", F.concat(aggregate, rowed, bare))
-    keep = lambda e: _is(e["value"], "text") & F.coalesce(F.regexp_like(_text(e["value"]), F.lit(DECIMAL)), F.lit(False)) & allowed(e["key"], list(rules))
+    keep = lambda e: allowed(e["key"], list(rules)) & _is(e["value"], "text") & F.coalesce(F.regexp_like(_text(e["value"]), F.lit(DECIMAL)), F.lit(False))
     entries = lambda m: F.filter(F.map_entries(F.coalesce(F.try_variant_get(m["values"], "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))), keep)
     found = F.flatten(F.transform("maps", lambda m: F.transform(entries(m), lambda e: F.struct(
         m["ordinal"].alias("ordinal"), m["scope"].alias("scope"), m["outcome"].alias("outcome"), m["notes"].alias("notes"), e["key"].alias("observable"), _text(e["value"]).alias("value"),
     ))))
-    out = out.withColumn("found", F.when(_is(data, "object"), found).otherwise(F.array().cast("array<struct<ordinal:variant,scope:variant,outcome:variant,notes:variant,observable:string,value:string>>")))
+    out = out.withColumn("found", F.when(_object(data), found).otherwise(F.array().cast("array<struct<ordinal:variant,scope:variant,outcome:variant,notes:variant,observable:string,value:string>>")))
     whole = lambda v: _null(v) | (_is(v, "whole") & F.coalesce(F.try_variant_get(v, "$", "bigint") >= 0, F.lit(False)))
     text = lambda v: _null(v) | _is(v, "text")
     some = F.size("found") > 0
+    rows_fit = _list(data, "$.rows") | _object(data, "$.rows") | _get(data, "rows").isNull() | _is(_get(data, "rows"), "text")
     shaped = (
-        _is(F.col("report"), "object") & F.col("named") & (~_has(_get(p, "manifest"), "key") | _is(key, "object"))
-        & (~_is(data, "object") | (F.forall("maps", lambda m: _is(m["values"], "object")) & (_is(F.col("rows"), "list") | _is(F.col("rows"), "object") | _is(F.col("rows"), "text"))))
+        F.when(F.col("inner"), _object(p, "$.report")).otherwise(_object(p)) & F.col("named") & (~_has(p, "manifest.key") | _object(p, "$.manifest.key"))
+        & (~_object(data) | (F.forall("maps", lambda m: _object(m["values"])) & rows_fit))
     )
     reason = (
-        F.when(F.col("content").isNull(), "over the byte limit").when(p.isNull(), "not JSON").when(~_is(p, "object"), "not an object")
+        F.when(F.col("content").isNull(), "over the byte limit").when(p.isNull(), "not JSON").when(~_object(p), "not an object")
         .when(~F.coalesce(shaped, F.lit(False)), "a part is of another kind")
         .when(some & ~whole(F.col("N")), "N is not a whole number").when(some & ~whole(F.col("P")), "P is not a whole number")
         .when(F.exists("found", lambda f: ~whole(f["ordinal"])), "an ordinal is not a whole number")
