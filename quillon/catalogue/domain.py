@@ -79,16 +79,16 @@ def dense(spark, d):
     from pyspark.sql import Window
 
     place = F.row_number().over(Window.partitionBy("matrix_id").orderBy("k")) - 1
-    r = rank_one(spark, d).withColumn("i", place)
-    both = r.select("matrix_id", "i", "d", "u", "alpha").join(r.select("matrix_id", F.col("i").alias("j"), F.col("u").alias("w")), "matrix_id")
+    r = work.written(rank_one(spark, d).withColumn("i", place), "rank-one")
+    both = linalg.met(r.select("matrix_id", "i", "d", "u", "alpha"), r.select("matrix_id", F.col("i").alias("j"), F.col("u").alias("w")), "matrix_id")
     return both.select("matrix_id", "i", "j", (F.col("alpha") * F.col("u") * F.col("w") + F.when(F.col("i") == F.col("j"), F.col("d")).otherwise(0.0)).alias("v"))
 
 
 @query("independent_routes", "SELECT s_nationkey AS matrix_id, count(*) AS n, 'agree' AS verdict FROM supplier GROUP BY 1")
 def independent_routes(spark, d):
-    """Diagonal plus rank one by its secular equation and as a dense matrix, value by value."""
+    """Diagonal plus rank one by its secular equation and as a dense matrix, entry by entry with like rows folded, value by value."""
     one = roots.rank_one_spectrum(rank_one(spark, d), "matrix_id")
-    return states.agreement(one, linalg.eigenvalues(dense(spark, d)), ["matrix_id"], "ordinal", "value", 1e-8).select("matrix_id", "n", "verdict")
+    return states.agreement(one, linalg.folded_eigenvalues(dense(spark, d)), ["matrix_id"], "ordinal", "value", 1e-8).select("matrix_id", "n", "verdict")
 
 
 @query("three_evaluators", "SELECT s_nationkey AS matrix_id, round(sum(s_suppkey % 40 + 0.7 * power(s_suppkey % 3 + 1, 2)), 6) AS source, round(sum(s_suppkey % 40 + 0.7 * power(s_suppkey % 3 + 1, 2)), 6) AS matrix, round(sum(s_suppkey % 40 + 0.7 * power(s_suppkey % 3 + 1, 2)), 6) AS zeros FROM supplier GROUP BY 1")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.work import written
 from .exact_sums import exact_dots
 
 
@@ -103,6 +104,56 @@ def eigenvalues(matrices: DataFrame, by: str = "matrix_id") -> DataFrame:
     return matrices.groupBy(by).applyInPandas(run, f"{by} {matrices.schema[by].dataType.simpleString()}, ordinal long, value double")
 
 
+#: Rows of a matrix's or its classes' lists that are broadcast; beyond, they are joined by shuffle.
+LISTED = 1_000_000
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= LISTED else rows
+
+
+def folded_eigenvalues(matrices: DataFrame, by: str = "matrix_id") -> DataFrame:
+    """(matrix, ordinal, value) ascending for each symmetric matrix, whose entries are stored once each, in both triangles, with all of its diagonal.
+
+    Rows that exchanging leaves as they are (equal diagonal d, equal entry a between them, equal entries elsewhere) are a class: m of them have m - 1 eigenvalues
+    d - a, and the others are those of the matrix of classes. Classes are found where the entries lie, by sums of hashes of a row; only a matrix of classes is one group.
+    """
+    # 40 bits of a hash a summand, so that sums of 16 million stay whole numbers.
+    mark = lambda *c: F.shiftright(F.xxhash64(*c), 24)
+    beside = F.col("i") != F.col("j")
+    signed = lambda i, v: [mark(i, v), mark(v, i)]
+    one, two = signed(F.col("j"), F.col("v"))
+    rows = matrices.groupBy(by, "i").agg(
+        F.max(F.when(~beside, F.col("v"))).alias("own"), *[F.coalesce(F.sum(F.when(beside, x)), F.lit(0)).alias(n) for n, x in (("one", one), ("two", two), ("values", mark("v")))]
+    )
+    w = W.partitionBy(by, "own", "values")
+    rows = written(rows.withColumn("first", F.min("i").over(w)), "rows")
+    heads = rows.filter("i = first").select(by, F.col("first"), *[F.col(c).alias(f"first_{c}") for c in ("one", "two")])
+    links = rows.filter("i <> first").select(by, "i", F.col("first").alias("j"))
+    links = matrices.join(_small(links), [by, "i", "j"]).select(by, "i", F.col("v").alias("a"))
+    judged = rows.join(heads, [by, "first"]).join(links, [by, "i"], "left")
+    gone, theirs = signed(F.col("first"), F.col("a")), signed(F.col("i"), F.col("a"))
+    alike = (F.col("one") - gone[0] == F.col("first_one") - theirs[0]) & (F.col("two") - gone[1] == F.col("first_two") - theirs[1])
+    judged = judged.withColumn("head", F.when(F.col("i") == F.col("first"), F.col("i")).when(alike, F.col("first")).otherwise(F.col("i")))
+    classes = judged.groupBy(by, "head").agg(F.count("*").alias("m"), F.max("own").alias("own"), F.max("a").alias("a"))
+    # Rows that only looked like their first one are classes of their own.
+    classes = classes.withColumns({"place": F.row_number().over(W.partitionBy(by).orderBy("head")) - 1, "a": F.when(F.col("m") > 1, F.col("a")).otherwise(0.0)})
+    classes = written(classes, "classes")
+    side = lambda c, p: _small(classes.select(by, F.col("head").alias(c), *[F.col(n).alias(f"{p}_{n}") for n in ("m", "place", "a")]))
+    both = matrices.join(side("i", "left"), [by, "i"]).join(side("j", "right"), [by, "j"])
+    value = F.when(beside, F.sqrt(F.col("left_m").cast("double") * F.col("right_m")) * F.col("v")).otherwise(F.col("v") + (F.col("left_m") - 1) * F.col("left_a"))
+    quotient = eigenvalues(both.select(by, F.col("left_place").alias("i"), F.col("right_place").alias("j"), value.alias("v")), by)
+    repeated = classes.filter("m > 1").select(by, (F.col("own") - F.col("a")).alias("value"), F.explode(F.sequence(F.lit(2).cast("long"), F.col("m"))))
+    values = written(quotient.select(by, "value").unionByName(repeated.select(by, "value")), "spectrum")
+    return values.select(by, (F.row_number().over(W.partitionBy(by).orderBy("value")) - 1).cast("long").alias("ordinal"), "value")
+
+
+def met(one: DataFrame, two: DataFrame, by: str) -> DataFrame:
+    """Pairs of rows of the groups of two tables, dealt out by row of the first: about ``PAIRS`` a task, whatever the number of groups."""
+    pairs = one.groupBy(by).count().join(two.groupBy(by).agg(F.count("*").alias("other")), by).agg(F.sum(F.col("count") * F.col("other"))).first()[0] or 0
+    return one.repartition(max(1, min(-(-pairs // PAIRS), TASKS)), *one.columns).join(_small(two), by)
+
+
 def jacobi(a: np.ndarray, sweeps: int = 60) -> tuple[np.ndarray, np.ndarray]:
     """Eigenvalues and vectors by cyclic rotations: an independent route to the library's."""
     a, n = a.copy(), len(a)
